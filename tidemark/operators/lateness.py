@@ -172,6 +172,24 @@ def late_rows(df: DataFrame, time: str, pos: str, policy: SlidingPolicy, moves:
     return described.filter(F.col("_closed") == F.size("_windows")).select(*df.columns)
 
 
+def not_behind(df: DataFrame, time: str, pos: str, lag: int = 0, moves: Column | None = None) -> DataFrame:
+    """Rows that are not behind progress when they arrive, progress trailing the largest event
+    time by ``lag``. The test is on the row, not on its windows."""
+    observed_pos = F.col(pos) if moves is None else F.when(moves, F.col(pos))
+    ticks = materialise(df.groupBy(F.col(time).alias("_tick")).agg(F.min(observed_pos).alias("pos")))
+    ahead = 1 + lag
+    passed = first_reached(
+        ticks.filter(F.col("pos").isNotNull()).select(F.col("_tick").alias("bound"), "pos"),
+        ticks.select((F.col("_tick") + ahead).alias("bound")),
+        "bound",
+        "pos",
+        "_passed",
+    ).select((F.col("bound") - ahead).alias("_tick"), "_passed")
+    passed = broadcast_if_small(materialise(passed))
+    in_time = F.col("_passed").isNull() | (F.col(pos) <= F.col("_passed"))
+    return df.join(passed, F.col(time) == F.col("_tick")).filter(in_time).select(*df.columns)
+
+
 def _count_to_rows(df: DataFrame, first: Column, last: Column, step: int, name: str) -> DataFrame:
     """One row per value ``first, first + step, ... <= last``.
 
