@@ -144,26 +144,34 @@ def sessions(
 
 
 def range_min_ahead(
-    points: DataFrame, probes: DataFrame, keys: list[str], time: str, value: str, reach: int, name: str
+    points: DataFrame, probes: DataFrame, keys: list[str], time: str, values: dict[str, str], reach: int
 ) -> DataFrame:
-    """For every probe ``(keys, time)``: the smallest ``value`` of the key's points in
-    ``(time, time + reach]``, as column ``name`` (NULL if there is none).
+    """For every probe ``(keys, time)``: the smallest values of the key's points in
+    ``(time, time + reach]``. ``values`` maps columns of ``points`` to result columns, which are
+    NULL where there is no point.
 
     A sliding frame would look at every point of the frame for every row. Instead the axis is
     cut into cells of ``reach + 1`` ticks, so that the range covers the rest of the probe's own
     cell and a beginning of the next one: one running minimum backwards, one forwards.
     """
     cell = reach + 1
-    nothing = F.lit(None).cast(points.schema[value].dataType)
 
-    def rows(df, at, role, found):
-        return df.select(*keys, at.alias("_at"), F.lit(role).alias("_role"), found.alias("_value"))
+    def rows(df, at, role, with_values):
+        return df.select(
+            *keys,
+            at.alias("_at"),
+            F.lit(role).alias("_role"),
+            *[
+                F.col(name) if with_values else F.lit(None).cast(points.schema[name].dataType).alias(name)
+                for name in values
+            ],
+        )
 
     time_col = F.col(time)
     everything = (
-        rows(points, time_col, "point", F.col(value))
-        .unionByName(rows(probes, time_col, "begin", nothing))
-        .unionByName(rows(probes, time_col + cell, "end", nothing))
+        rows(points, time_col, "point", True)
+        .unionByName(rows(probes, time_col, "begin", False))
+        .unionByName(rows(probes, time_col + cell, "end", False))
         .withColumn("_cell", floor_div(F.col("_at"), cell))
         .withColumn("_is_point", F.col("_role") == "point")
     )
@@ -173,9 +181,16 @@ def range_min_ahead(
     forwards = in_cell.orderBy(F.col("_at"), F.col("_is_point")).rowsBetween(*whole)
     backwards = in_cell.orderBy(F.desc("_at"), F.col("_is_point")).rowsBetween(*whole)
     begin = F.col("_role") == "begin"
+    both = {f"_up_{name}": F.min(name).over(forwards) for name in values}
+    both.update({f"_down_{name}": F.min(name).over(backwards) for name in values})
     return (
-        everything.withColumns({"_up": F.min("_value").over(forwards), "_down": F.min("_value").over(backwards)})
+        everything.withColumns(both)
         .filter(~F.col("_is_point"))
         .groupBy(*keys, F.when(begin, F.col("_at")).otherwise(F.col("_at") - cell).alias(time))
-        .agg(F.min(F.when(begin, F.col("_down")).otherwise(F.col("_up"))).alias(name))
+        .agg(
+            *[
+                F.min(F.when(begin, F.col(f"_down_{name}")).otherwise(F.col(f"_up_{name}"))).alias(result)
+                for name, result in values.items()
+            ]
+        )
     )

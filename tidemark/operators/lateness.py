@@ -66,22 +66,28 @@ def _closing_positions(df: DataFrame, time: str, pos: str, policy: SlidingPolicy
         ).agg(F.min(observed_pos).alias("pos"))
     )
     starts = window_starts(F.col("pane"), policy.size, policy.slide)
-    panes = seen.select("pane").distinct()
-    used = panes.select("pane", F.explode(starts).alias("start"))
+    used = seen.select("pane").distinct().select("pane", F.explode(starts).alias("start"))
     if policy.min_start is not None:
         used = used.filter(F.col("start") >= policy.min_start)
     windows = used.select("start").distinct()
     observed = seen.filter(F.col("pos").isNotNull())
-    for name in bounds:
-        at = first_reached(
+
+    def position(name: str) -> DataFrame:
+        return first_reached(
             observed.select(F.col(f"{name}_start").alias("start"), "pos"), windows, "start", "pos", f"{name}_pos"
         )
-        used = used.join(at, "start")
+
+    used = used.join(position("fire"), "start")
+    if policy.accept == policy.fire:
+        used = used.withColumn("accept_pos", F.col("fire_pos"))
+    else:
+        used = used.join(position("accept"), "start")
     # size / slide windows per pane: a short list
     lists = used.groupBy(F.col("pane").alias("_pane")).agg(
         F.sort_array(F.collect_list(F.struct("start", "fire_pos", "accept_pos"))).alias("_windows")
     )
-    return broadcast_if_small(materialise(lists))
+    # there are at most as many lists as rows seen
+    return broadcast_if_small(lists, rows=seen)
 
 
 def _closed_before(windows: Column, field: str, pos: Column, most: int) -> Column:

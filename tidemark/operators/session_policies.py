@@ -19,9 +19,9 @@ per (key, session, tick), and one round is the rule.
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +36,7 @@ from tidemark.session import broadcast_if_small, join_null_safe, materialise
 # Positions of any whole-number type are compared as this one.
 _POSITION = "decimal(38,0)"
 # What a late row carries along while its session is looked up.
-_CARRIED = ["_weight", "_accept_pos"]
+_CARRIED = ["_weight", "_fire_pos", "_accept_pos"]
 
 
 @dataclass(frozen=True)
@@ -67,6 +67,7 @@ class Decision:
     """What became of every row: session spines, late rows kept in them, single sessions, drops."""
 
     sessions: DataFrame  # keys, first, last, count, from timely rows
+    timely: DataFrame  # rows accepted on their own
     points: DataFrame  # timely rows per (keys, time), with the session ("island") they are in
     joined: DataFrame  # late rows that joined a session, with it ("island")
     single: DataFrame  # rows accepted when their own session had already closed
@@ -104,8 +105,7 @@ def _not_after(pos: Column, bound: Column) -> Column:
 def _cuts(points: DataFrame, time: str, keys: list[str], policy: SessionPolicy, closes: str, cut: str) -> DataFrame:
     """``points`` plus ``cut``: nothing ahead within reach had arrived when the point closed."""
     ahead = range_min_ahead(
-        points.select(*keys, time, "_first_pos"), points.select(*keys, time), keys, time, "_first_pos",
-        policy.reach, "_ahead_pos",
+        points, points.select(*keys, time), keys, time, {"_first_pos": "_ahead_pos"}, policy.reach
     )
     joined = join_null_safe(points, ahead, [*keys, time])
     return joined.withColumn(
@@ -158,7 +158,9 @@ def decide(
     if policy.pre_merge:
         spine = islands(points, "_t", keys, {"count": "sum"}, None, cut_after="_cut_after", block=block)
         nothing = late.limit(0).withColumn("island", F.lit(None).cast("bigint"))
-        return Decision(_with_fire(spine, closing, keys), points, nothing, late.limit(0), late)
+        return Decision(
+            _with_fire(spine, closing, keys), rows.filter(timely), points, nothing, late.limit(0), late
+        )
 
     points = materialise(label_islands(points, "_t", keys, "_cut_after", "island", block))
     spine = points.groupBy(*keys, "island").agg(
@@ -167,13 +169,11 @@ def decide(
 
     late = materialise(late)
     offered = _offered_session(late, points, keys, policy, max_group_rows, block)
-    accepted = _acceptance(offered.filter(F.col("island").isNotNull()), points, keys, policy, block)
-    verdicts = join_null_safe(
-        offered, accepted.select(*keys, "island", "_t", "_after"), [*keys, "island", "_t"]
-    ).withColumn("_joins", F.coalesce(at > F.col("_after"), F.lit(False))).drop("_after")
+    verdicts = _acceptance(offered, points, keys, policy, block)
     alone = ~F.col("_joins") & _not_after(at, F.col("_accept_pos"))
     return Decision(
         _with_fire(spine, closing, keys),
+        rows.filter(timely),
         points,
         verdicts.filter("_joins").drop("_joins"),
         verdicts.filter(alone).drop("_joins", "island"),
@@ -277,93 +277,118 @@ def _offered_session(
     return materialise(result)
 
 
+# Rounds of plain relaxation before runs of late ticks are followed inside their blocks.
+_PLAIN_ROUNDS = 6
+
+
 def _acceptance(
     offered: DataFrame, points: DataFrame, keys: list[str], policy: SessionPolicy, block: int | None
 ) -> DataFrame:
-    """Per (keys, session, tick) with late rows: ``_after``, the position from which late rows
-    at that tick join the session (NULL: never)."""
+    """``offered`` plus ``_joins``: was the late row accepted by the session it was offered?
+
+    Two bounds per (keys, session, tick) close in on the position of the first row kept there:
+    ``_most`` counts only rows known to be kept, ``_least`` also those that still may be. A row
+    after ``_most`` of the ticks ahead joins, one not after ``_least`` does not. The position at
+    a tick depends on later ticks only, so the bounds meet, usually in the first round.
+    """
     group = [*keys, "island"]
-    ticks = materialise(offered.groupBy(*group, "_t").agg(F.min("_pos").alias("_earliest")))
-    spine = points.select(*group, "_t", F.col("_first_pos").alias("_kept_pos"))
-    width = block_size(policy.reach, block)
-    kept = None
+    some = offered.filter(F.col("island").isNotNull())
+    ticks = materialise(some.groupBy(*group, "_t").agg(F.min("_pos").alias("_earliest")))
+    spine = points.select(*group, "_t", F.col("_first_pos").alias("_most"), F.col("_first_pos").alias("_least"))
+    unknown = F.lit(None).cast(_POSITION)
+    bounds = ticks.select(*group, "_t", unknown.alias("_most"), F.col("_earliest").alias("_least"))
+    rounds = 0
     while True:
-        known = spine if kept is None else spine.unionByName(kept).groupBy(*group, "_t").agg(
-            F.min("_kept_pos").alias("_kept_pos")
-        )
-        after = materialise(
-            range_min_ahead(known, ticks.select(*group, "_t"), group, "_t", "_kept_pos", policy.reach, "_after")
+        ahead = range_min_ahead(
+            spine.unionByName(bounds), ticks.select(*group, "_t"), group, "_t",
+            {"_most": "_after_most", "_least": "_after_least"}, policy.reach,
         )
-        if ticks.isEmpty():
-            return after
-        # exact: the first late row at the tick that came after its tick opened up
-        first_kept = (
-            join_null_safe(offered, after, [*group, "_t"], "inner")
-            .filter(F.col("_pos") > F.col("_after"))
+        judged = materialise(join_null_safe(offered, ahead, [*group, "_t"]))
+        joins = F.coalesce(F.col("_pos") > F.col("_after_most"), F.lit(False))
+        may_join = F.coalesce(F.col("_pos") > F.col("_after_least"), F.lit(False))
+        if judged.filter(may_join & ~joins).isEmpty():
+            return judged.withColumn("_joins", joins).drop("_after_most", "_after_least")
+        rounds += 1
+        bounds = materialise(
+            judged.filter(F.col("island").isNotNull())
             .groupBy(*group, "_t")
-            .agg(F.min("_pos").alias("_kept_pos"))
-        )
-        # and what follows from that along a run of late ticks, inside each block of ticks
-        steps = join_null_safe(join_null_safe(ticks, after, [*group, "_t"]), first_kept, [*group, "_t"])
-        new = materialise(_along_ticks(steps, group, policy.reach, width))
-        if kept is not None:
-            changed = new.select(*group, "_t", "_kept_pos").join(
-                kept.select(*[F.col(c).alias(f"_old{i}") for i, c in enumerate([*group, "_t", "_kept_pos"])]),
-                _all_equal([*group, "_t", "_kept_pos"]),
-                "left_anti",
+            .agg(
+                F.min(F.when(joins, F.col("_pos"))).alias("_most"),
+                F.min(F.when(may_join, F.col("_pos"))).alias("_least"),
+                F.min("_pos").alias("_earliest"),
+                F.max("_pos").alias("_latest"),
             )
-            if changed.isEmpty():
-                return after
-        elif new.isEmpty():
-            return after
-        kept = new
-
+        )
+        if rounds > _PLAIN_ROUNDS:
+            bounds = materialise(_along_ticks(bounds, spine, group, policy.reach, block_size(policy.reach, block)))
+        else:
+            bounds = bounds.select(*group, "_t", "_most", "_least")
 
-def _all_equal(columns: list[str]) -> Column:
-    condition = F.lit(True)
-    for i, column in enumerate(columns):
-        condition = condition & F.col(column).eqNullSafe(F.col(f"_old{i}"))
-    return condition
 
+def _along_ticks(bounds: DataFrame, spine: DataFrame, group: list[str], reach: int, width: int) -> DataFrame:
+    """Tighten both bounds down runs of unsettled ticks, from late to early.
 
-def _along_ticks(steps: DataFrame, group: list[str], reach: int, width: int) -> DataFrame:
-    """Follow acceptance down runs of late ticks. One input row per tick, so a block of ``width``
-    ticks bounds the group; a run that crosses blocks goes on in the next round."""
-    kinds = {f.name: f.dataType for f in steps.schema.fields}
-    schema = ", ".join([f"`{c}` {kinds[c].simpleString()}" for c in [*group, "_t"]] + [f"_kept_pos {_POSITION}"])
+    One input row per tick, so a block of ``width`` ticks (and the first ``reach`` ticks of the
+    next one, to read from) bounds the group; a run that crosses blocks goes on in the next round.
+    """
+    columns = [*group, "_t", "_most", "_least"]
+    is_settled = F.col("_most").eqNullSafe(F.col("_least"))
+    settled = bounds.filter(is_settled).select(*columns)
+    unsettled = bounds.filter(~is_settled)
+    outside = range_min_ahead(
+        spine.unionByName(settled), unsettled.select(*group, "_t"), group, "_t", {"_most": "_outside"}, reach
+    )
+    own = floor_div(F.col("_t"), width)
+    seen_by = F.array(own, floor_div(F.col("_t") - reach, width))
+    frames = (
+        join_null_safe(unsettled, outside, [*group, "_t"])
+        .withColumns({"_own": own, "_tick_block": F.explode(F.array_distinct(seen_by))})
+        .withColumn("_mine", F.col("_own") == F.col("_tick_block"))
+    )
+    kinds = {f.name: f.dataType.simpleString() for f in bounds.schema.fields}
 
     def follow(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("_t", ascending=False, ignore_index=True)
-        tick = frame["_t"].to_numpy()
-        earliest, after, kept = (
-            frame[c].astype(object).where(frame[c].notna(), None).to_numpy(dtype=object)
-            for c in ("_earliest", "_after", "_kept_pos")
-        )
-        ahead: list[tuple[int, object]] = []  # (tick, kept position), positions rising
-        head = 0
-        out = np.empty(len(frame), dtype=object)
-        for i in range(len(frame)):
-            while head < len(ahead) and ahead[head][0] > tick[i] + reach:
-                head += 1
-            opened = after[i]
-            if head < len(ahead) and (opened is None or ahead[head][1] < opened):
-                opened = ahead[head][1]
-            best = kept[i]
-            if opened is not None and earliest[i] > opened and (best is None or earliest[i] < best):
-                best = earliest[i]
-            out[i] = best
-            if best is not None:
-                while len(ahead) > head and ahead[-1][1] >= best:
-                    ahead.pop()
-                ahead.append((tick[i], best))
-        frame["_kept_pos"] = out
-        return frame.loc[frame["_kept_pos"].notna(), [*group, "_t", "_kept_pos"]]
-
-    return (
-        steps.withColumn("_tick_block", floor_div(F.col("_t"), width))
-        .groupBy(*group, "_tick_block")
-        .applyInPandas(follow, schema)
+        frame["_most"], frame["_least"] = _follow(frame, reach)
+        return frame.loc[frame["_mine"], columns]
+
+    followed = frames.groupBy(*group, "_tick_block").applyInPandas(
+        follow, ", ".join(f"`{c}` {kinds[c]}" for c in columns)
     )
+    return settled.unionByName(followed)
+
+
+def _follow(frame: pd.DataFrame, reach: int) -> tuple[list, list]:
+    """The tightened bounds of ticks that are sorted from late to early."""
+    ahead: tuple[deque, deque] = (deque(), deque())  # (tick, bound) of most / least, bounds rising
+
+    def opened(queue: deque, tick: int, outside):
+        while queue and queue[0][0] > tick + reach:
+            queue.popleft()
+        return min((b for b in (queue[0][1] if queue else None, outside) if b is not None), default=None)
+
+    def remember(queue: deque, tick: int, bound) -> None:
+        if bound is not None:
+            while queue and queue[-1][1] >= bound:
+                queue.pop()
+            queue.append((tick, bound))
+
+    mosts, leasts = [], []
+    names = ["_t", "_mine", "_earliest", "_latest", "_most", "_least", "_outside"]
+    for tick, mine, earliest, latest, most, least, outside in zip(*(frame[name] for name in names)):
+        most_open, least_open = opened(ahead[0], tick, outside), opened(ahead[1], tick, outside)
+        if mine:
+            if most_open is not None and earliest > most_open and (most is None or earliest < most):
+                most = earliest
+            if least_open is None or latest <= least_open:
+                least = None
+            elif least is not None and least <= least_open:
+                least = least_open
+        mosts.append(most)
+        leasts.append(least)
+        remember(ahead[0], tick, most)
+        remember(ahead[1], tick, least)
+    return mosts, leasts
 
 
 def policy_sessions(

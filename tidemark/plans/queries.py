@@ -174,7 +174,8 @@ def count_window_tumbling(spark, folder):
   SELECT key, us // 3600000000 * 3600000000 AS start_us, count(*) AS count FROM ev GROUP BY ALL)
 SELECT key, start_us, count,
        round(avg(count) OVER (PARTITION BY key ORDER BY start_us ROWS UNBOUNDED PRECEDING), 6) AS average,
-       printf('Average so far is %.6f', avg(count) OVER (PARTITION BY key ORDER BY start_us ROWS UNBOUNDED PRECEDING)) AS text
+       printf('Average so far is %.6f',
+              round(avg(count) OVER (PARTITION BY key ORDER BY start_us ROWS UNBOUNDED PRECEDING), 6)) AS text
 FROM w""",
 )
 def running_average_of_counts(spark, folder):
@@ -386,8 +387,8 @@ def format_rows(spark, folder):
 
 @query(
     "format_gmt_text",
-    """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.') ||
-    CASE WHEN epoch_ms(ts) % 1000 < 10 THEN '0' ELSE '' END || (epoch_ms(ts) % 1000)::VARCHAR AS text FROM events""",
+    """WITH m AS (SELECT event_id, ts, epoch_us(ts) // 1000 % 1000 AS ms FROM events)
+SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.') || CASE WHEN ms < 10 THEN '0' ELSE '' END || ms::VARCHAR AS text FROM m""",
 )
 def format_gmt_text(spark, folder):
     millis = F.call_function("div", F.col("us"), F.lit(1000))

@@ -59,12 +59,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(materialised: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if the (already materialised) side is small; otherwise leave the
-    join to the planner, which then shuffles both sides and splits skewed partitions."""
-    if materialised.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(materialised)
-    return materialised
+def broadcast_if_small(df: DataFrame, rows: DataFrame | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast of ``df`` only if it is known to be small.
+
+    ``rows`` is a materialised DataFrame with at least as many rows (``df`` itself, if it is
+    materialised). Beyond the limit the join is left to the planner, which then shuffles both
+    sides and splits skewed partitions.
+    """
+    bound = df if rows is None else rows
+    return F.broadcast(df) if bound.limit(max_rows + 1).count() <= max_rows else df
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
