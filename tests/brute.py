@@ -105,4 +105,4 @@ def count_windows(rows, size, slide, keyed):
         if len(items) % slide == 0:
             last = items[-size:]
             out.append((group, len(items), min(last), max(last), len(last)))
-    return sorted(out, key=str)
+    return sorted(out)

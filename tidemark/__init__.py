@@ -1,0 +1,8 @@
+"""Event-time window analytics on data that arrives out of order."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, so executors need no installation.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

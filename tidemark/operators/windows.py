@@ -58,7 +58,9 @@ def window_starts(time: Column, size: int, slide: int) -> Column:
     """Starts of the windows ``[start, start + size)`` that hold ``time``, ascending."""
     last = floor_to(time, slide)
     first = floor_to(time - size, slide) + slide
-    return F.sequence(first, last, F.lit(slide).cast("bigint"))
+    starts = F.sequence(first, last, F.lit(slide).cast("bigint"))
+    # with slide > size there are times in no window: no list, so nothing to explode
+    return starts if slide <= size else F.when(first <= last, starts)
 
 
 def sliding(

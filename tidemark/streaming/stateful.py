@@ -69,6 +69,10 @@ class _WindowPanes(StatefulProcessor):
             for at in {end + self.policy.fire, end + self.policy.accept}:
                 if at > progress:
                     self.handle.registerTimer(at)
+        elif not fired and progress >= end + self.policy.fire:
+            # progress went past the window in the batch before; the timer comes after these rows
+            out.append((start, end, name, "on_time", n))
+            fired = True
         for frame in frames:
             before, n = n, n + len(frame)
             if fired:
@@ -127,6 +131,7 @@ class _SessionPanes(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.sessions = handle.getListState("sessions", "first bigint, last bigint, n bigint, fired boolean")
+        self.seen_until = handle.getValueState("seen_until", "progress bigint")
 
     def _open(self) -> list[tuple]:
         return [tuple(s) for s in self.sessions.get()] if self.sessions.exists() else []
@@ -140,8 +145,9 @@ class _SessionPanes(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         name, policy = key[0], self.policy
         progress = timerValues.getCurrentWatermarkInMs()
-        sessions = [s for s in self._open() if progress < s[1] + policy.gap + policy.alive]
-        out, known = [], {s[1] for s in sessions}
+        # timers come after the rows of a batch, so what progress has finished is finished here
+        sessions, out = self._advance(name, progress)
+        known = {s[1] for s in sessions}
         for frame in rows:
             for t in frame.sort_values("arrival")["ts_ms"] if "arrival" in frame else frame["ts_ms"]:
                 t = int(t)
@@ -163,21 +169,26 @@ class _SessionPanes(StatefulProcessor):
         yield _frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        policy, out, keep = self.policy, [], []
         progress = timerValues.getCurrentWatermarkInMs()
-        again = False
+        sessions, out = self._advance(key[0], progress)
+        if self.repeat and any(s[3] for s in sessions):
+            self.handle.registerTimer(progress + 1)
+        self._keep(sessions)
+        yield _frame(out)
+
+    def _advance(self, name: str, progress: int) -> tuple[list[tuple], list[tuple]]:
+        """The sessions still open at ``progress``, and the reports of those that fire at it."""
+        policy, out, still_open = self.policy, [], []
+        moved = self.seen_until.get()[0] if self.seen_until.exists() else None
         for first, last, n, fired in self._open():
             if progress >= last + policy.gap + policy.fire:
-                if not fired or self.repeat:
-                    out.append((first, last + policy.gap, key[0], "repeat" if fired else "on_time", n))
+                if not fired or (self.repeat and progress != moved):
+                    out.append((first, last + policy.gap, name, "repeat" if fired else "on_time", n))
                 fired = True
             if progress < last + policy.gap + policy.alive:
-                keep.append((first, last, n, fired))
-                again |= fired and self.repeat
-        if again:
-            self.handle.registerTimer(progress + 1)
-        self._keep(keep)
-        yield _frame(out)
+                still_open.append((first, last, n, fired))
+        self.seen_until.update((progress,))
+        return still_open, out
 
     def close(self) -> None:
         pass
