@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.ticks import floor_div
 from tidemark.operators.windows import COUNT, Agg, partial_columns
-from tidemark.session import broadcast_if_small, join_null_safe, materialise
+from tidemark.session import broadcast_if_small, join_null_safe
 
 # Ticks per block: the most rows a (key, block) can have after the pre-aggregation.
 BLOCK_TICKS = 1 << 20
@@ -103,16 +103,19 @@ def islands(
 
 
 def label_islands(
-    points: DataFrame, time: str, keys: list[str], cut_after: str, label: str, block: int | None = None
+    points: DataFrame, time: str, keys: list[str], cut_after: str, label: str, rows: DataFrame, block: int | None = None
 ) -> DataFrame:
-    """``points`` plus ``label``: the first tick of the island (ended by ``cut_after``) they are in."""
+    """``points`` plus ``label``: the first tick of the island (ended by ``cut_after``) they are in.
+
+    ``rows`` is a materialised DataFrame with at least as many rows as ``points``.
+    """
     pieces, breaks = _in_pieces(points, time, keys, None, True, cut_after, block)
     chained = _chained(_bounds(pieces, time, keys, []), keys, breaks)
     starts = chained.select(
         *keys, "_block", "_piece", F.min("first").over(Window.partitionBy(*keys, "_chain")).alias("_chain_first")
     )
-    # only a piece whose chain began in an earlier block has a label of its own
-    moved = broadcast_if_small(materialise(starts))
+    # edge pieces only: far fewer than points
+    moved = broadcast_if_small(starts, rows)
     in_piece = Window.partitionBy(*keys, "_block", "_piece")
     own = pieces.withColumn("_piece_first", F.min(time).over(in_piece))
     return join_null_safe(own, moved, [*keys, "_block", "_piece"]).select(

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.ticks import floor_div, floor_to
 from tidemark.operators.progress import first_reached
 from tidemark.operators.windows import window_starts
-from tidemark.session import broadcast_if_small, materialise
+from tidemark.session import BROADCAST_ROWS, at_most, broadcast_if_small, materialise
 
 # Longest array handed from one row to the next step when a count is turned into rows.
 CHUNK = 1 << 16
@@ -50,13 +50,23 @@ class SlidingPolicy:
         return -(-self.size // self.slide)
 
 
-def _closing_positions(df: DataFrame, time: str, pos: str, policy: SlidingPolicy, moves: Column | None) -> DataFrame:
-    """Per pane: the start and the two positions of every window that holds it, in start order."""
-    bounds = {"fire": policy.fire, "accept": policy.accept}
+@dataclass(frozen=True)
+class _Closing:
+    """When the windows of each pane close."""
+
+    lists: DataFrame  # _pane, _windows: start and positions of the windows that hold the pane
+    last_closed: int | None  # start of the last window that progress closed
+
+
+def _closing_positions(
+    df: DataFrame, time: str, pos: str, policy: SlidingPolicy, moves: Column | None, ending: bool = False
+) -> _Closing:
+    """One aggregation of the table gives the panes in use and the progress observations; the
+    rest works on those few rows. ``ending`` asks for ``last_closed`` as well."""
     reached = {
-        name: floor_to(F.col(time) - (policy.size + offset), policy.slide) for name, offset in bounds.items()
+        name: floor_to(F.col(time) - (policy.size + offset), policy.slide)
+        for name, offset in (("fire", policy.fire), ("accept", policy.accept))
     }
-    # One aggregation of the table gives the panes in use and the progress observations.
     observed_pos = F.col(pos) if moves is None else F.when(moves, F.col(pos))
     seen = materialise(
         df.groupBy(
@@ -65,29 +75,28 @@ def _closing_positions(df: DataFrame, time: str, pos: str, policy: SlidingPolicy
             reached["accept"].alias("accept_start"),
         ).agg(F.min(observed_pos).alias("pos"))
     )
+    small = at_most(seen, BROADCAST_ROWS)
     starts = window_starts(F.col("pane"), policy.size, policy.slide)
-    used = seen.select("pane").distinct().select("pane", F.explode(starts).alias("start"))
+    used = seen.select("pane", F.explode(starts).alias("start"))
     if policy.min_start is not None:
         used = used.filter(F.col("start") >= policy.min_start)
-    windows = used.select("start").distinct()
     observed = seen.filter(F.col("pos").isNotNull())
 
     def position(name: str) -> DataFrame:
-        return first_reached(
-            observed.select(F.col(f"{name}_start").alias("start"), "pos"), windows, "start", "pos", f"{name}_pos"
-        )
+        at = observed.select(F.col(f"{name}_start").alias("start"), "pos")
+        return first_reached(at, used, "start", "pos", f"{name}_pos", small)
 
-    used = used.join(position("fire"), "start")
+    positions = position("fire")
     if policy.accept == policy.fire:
-        used = used.withColumn("accept_pos", F.col("fire_pos"))
+        positions = positions.withColumn("accept_pos", F.col("fire_pos"))
     else:
-        used = used.join(position("accept"), "start")
-    # size / slide windows per pane: a short list
-    lists = used.groupBy(F.col("pane").alias("_pane")).agg(
-        F.sort_array(F.collect_list(F.struct("start", "fire_pos", "accept_pos"))).alias("_windows")
+        positions = positions.join(position("accept"), "start")
+    # size / slide windows per pane: a short list; at most as many lists as rows seen
+    lists = used.join(positions, "start").groupBy(F.col("pane").alias("_pane")).agg(
+        F.sort_array(F.collect_set(F.struct("start", "fire_pos", "accept_pos"))).alias("_windows")
     )
-    # there are at most as many lists as rows seen
-    return broadcast_if_small(lists, rows=seen)
+    last_closed = observed.agg(F.max("accept_start")).first()[0] if ending else None
+    return _Closing(F.broadcast(lists) if small else lists, last_closed)
 
 
 def _closed_before(windows: Column, field: str, pos: Column, most: int) -> Column:
@@ -120,38 +129,38 @@ def with_closed_windows(
     """``df`` plus ``_windows`` (the row's windows), ``_fired`` and ``_closed`` (how many of them
     had fired, and no longer accepted rows, when the row arrived). ``moves`` marks the rows that
     move progress (default: all)."""
-    return _describe(df, time, pos, policy, _closing_positions(df, time, pos, policy, moves))
+    return _describe(df, time, pos, policy, _closing_positions(df, time, pos, policy, moves).lists)
 
 
-def window_counts(
-    df: DataFrame,
-    time: str,
-    pos: str,
-    policy: SlidingPolicy,
-    keys: list[str],
-    moves: Column | None = None,
-    counted: Column | None = None,
+def _window_counts(
+    df: DataFrame, time: str, pos: str, policy: SlidingPolicy, keys: list[str], closing: _Closing
 ) -> DataFrame:
-    """Per window and key: ``on_time`` rows (arrived before it fired), ``late`` rows (accepted
-    after that), ``dropped`` rows, and ``fired`` / ``closed`` (did progress get that far)."""
-    positions = _closing_positions(df, time, pos, policy, moves)
-    described = _describe(df if counted is None else df.filter(counted), time, pos, policy, positions)
+    described = _describe(df, time, pos, policy, closing.lists)
     groups = described.groupBy(*keys, "_pane", "_fired", "_closed").agg(F.count(F.lit(1)).alias("_n"))
-    each = groups.join(positions, "_pane").select(*keys, "_fired", "_closed", "_n", F.posexplode("_windows").alias("_i", "_window"))
+    starts = window_starts(F.col("_pane"), policy.size, policy.slide)
+    if policy.min_start is not None:
+        starts = F.filter(starts, lambda start: start >= policy.min_start)
+    each = groups.select(*keys, "_fired", "_closed", "_n", F.posexplode(starts).alias("_i", "start"))
     n, i = F.col("_n"), F.col("_i")
 
     def where(condition):
         return F.sum(F.when(condition, n).otherwise(0))
 
-    return each.groupBy(*keys, F.col("_window.start").alias("start")).agg(
+    return each.groupBy(*keys, "start").agg(
         where(i >= F.col("_fired")).alias("on_time"),
         where((i < F.col("_fired")) & (i >= F.col("_closed"))).alias("late"),
         where(i < F.col("_closed")).alias("dropped"),
-        F.first(F.col("_window.fire_pos").isNotNull()).alias("fired"),
-        F.first(F.col("_window.accept_pos").isNotNull()).alias("closed"),
     ).withColumn("end", F.col("start") + policy.size)
 
 
+def window_counts(
+    df: DataFrame, time: str, pos: str, policy: SlidingPolicy, keys: list[str], moves: Column | None = None
+) -> DataFrame:
+    """Per window and key: ``on_time`` rows (arrived before it fired), ``late`` rows (accepted
+    after that) and ``dropped`` rows."""
+    return _window_counts(df, time, pos, policy, keys, _closing_positions(df, time, pos, policy, moves))
+
+
 def final_counts(
     df: DataFrame,
     time: str,
@@ -163,12 +172,15 @@ def final_counts(
     flush: bool = True,
 ) -> DataFrame:
     """One result per window: fire once, report all rows accepted by then. Without ``flush`` a
-    window that progress never closed is not reported (there is no end of input)."""
-    counts = window_counts(df, time, pos, policy, keys, moves, counted).withColumn(
+    window that progress never closed is not reported (there is no end of input). ``counted``
+    marks the rows that count (the others still move progress)."""
+    closing = _closing_positions(df, time, pos, policy, moves, ending=not flush)
+    rows = df if counted is None else df.filter(counted)
+    counts = _window_counts(rows, time, pos, policy, keys, closing).withColumn(
         "count", F.col("on_time") + F.col("late")
     )
     if not flush:
-        counts = counts.filter("closed")
+        counts = counts.filter(F.col("start") <= F.lit(closing.last_closed).cast("bigint"))
     return counts.filter("count > 0").select("start", "end", *keys, "count")
 
 
@@ -183,6 +195,7 @@ def not_behind(df: DataFrame, time: str, pos: str, lag: int = 0, moves: Column |
     time by ``lag``. The test is on the row, not on its windows."""
     observed_pos = F.col(pos) if moves is None else F.when(moves, F.col(pos))
     ticks = materialise(df.groupBy(F.col(time).alias("_tick")).agg(F.min(observed_pos).alias("pos")))
+    small = at_most(ticks, BROADCAST_ROWS)
     ahead = 1 + lag
     passed = first_reached(
         ticks.filter(F.col("pos").isNotNull()).select(F.col("_tick").alias("bound"), "pos"),
@@ -190,8 +203,9 @@ def not_behind(df: DataFrame, time: str, pos: str, lag: int = 0, moves: Column |
         "bound",
         "pos",
         "_passed",
+        small,
     ).select((F.col("bound") - ahead).alias("_tick"), "_passed")
-    passed = broadcast_if_small(materialise(passed))
+    passed = F.broadcast(passed) if small else passed
     in_time = F.col("_passed").isNull() | (F.col(pos) <= F.col("_passed"))
     return df.join(passed, F.col(time) == F.col("_tick")).filter(in_time).select(*df.columns)
 

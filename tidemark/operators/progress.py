@@ -95,25 +95,28 @@ def timestamp_or_progress(
     )
 
 
-def first_reached(observed: DataFrame, probes: DataFrame, bound: str, pos: str, name: str) -> DataFrame:
+def first_reached(
+    observed: DataFrame, probes: DataFrame, bound: str, pos: str, name: str, small: bool = False
+) -> DataFrame:
     """For every ``bound`` in ``probes``: the smallest ``pos`` in ``observed`` at that bound or a
     higher one, as column ``name`` (NULL if progress never gets there).
 
-    A suffix minimum in two levels: within blocks of bounds in parallel, and over the block
-    minima (one row per ``BLOCK`` bounds).
+    A suffix minimum over one row per bound. If the caller knows that there are few bounds
+    (``small``) one window does it; otherwise two levels, within blocks of bounds in parallel
+    and over the block minima (one row per ``BLOCK`` bounds).
     """
-    observed_min = observed.groupBy(bound).agg(F.min(pos).alias("_pos"))
+    no_pos = F.lit(None).cast(observed.schema[pos].dataType)
     points = (
-        observed_min.withColumn("_probe", F.lit(False))
-        .unionByName(
-            probes.select(bound).withColumns(
-                {"_pos": F.lit(None).cast(observed.schema[pos].dataType), "_probe": F.lit(True)}
-            )
-        )
+        observed.select(bound, F.col(pos).alias("_pos"), F.lit(False).alias("_probe"))
+        .unionByName(probes.select(bound, no_pos.alias("_pos"), F.lit(True).alias("_probe")))
         .groupBy(bound)
         .agg(F.min("_pos").alias("_pos"), F.max("_probe").alias("_probe"))
-        .withColumn("_block", floor_div(F.col(bound), BLOCK))
     )
+    upwards = (Window.unboundedPreceding, Window.currentRow)
+    if small:
+        suffix = F.min("_pos").over(Window.orderBy(F.desc(bound)).rowsBetween(*upwards))
+        return points.withColumn(name, suffix).filter("_probe").select(bound, name)
+    points = points.withColumn("_block", floor_div(F.col(bound), BLOCK))
     blocks = (
         points.groupBy("_block")
         .agg(F.min("_pos").alias("_block_pos"))
@@ -124,7 +127,7 @@ def first_reached(observed: DataFrame, probes: DataFrame, bound: str, pos: str,
             .alias("_after_block"),
         )
     )
-    inside = Window.partitionBy("_block").orderBy(F.desc(bound)).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_block").orderBy(F.desc(bound)).rowsBetween(*upwards)
     return (
         points.withColumn("_within", F.min("_pos").over(inside))
         .filter("_probe")

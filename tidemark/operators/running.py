@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import broadcast_if_small, materialise
+from tidemark.session import at_most, broadcast_if_small, materialise
 
 # Largest group a single window task is trusted with.
 MAX_GROUP_ROWS = 5_000_000
@@ -67,9 +67,15 @@ def running(
     order: list[Column],
     aggregates: dict[str, Running],
     max_group_rows: int = MAX_GROUP_ROWS,
+    rows: DataFrame | None = None,
 ) -> DataFrame:
-    """``df`` plus one column per entry of ``aggregates``. ``order`` must be unique in a group."""
-    if largest_group(df, keys) <= max_group_rows:
+    """``df`` plus one column per entry of ``aggregates``. ``order`` must be unique in a group.
+
+    ``rows``, a materialised DataFrame with at least as many rows, saves looking at the groups
+    of a ``df`` that is small as a whole.
+    """
+    small = rows is not None and at_most(rows, max_group_rows)
+    if small or largest_group(df, keys) <= max_group_rows:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns({name: agg.over(window) for name, agg in aggregates.items()})
     return _running_in_chunks(df, keys, order, aggregates)

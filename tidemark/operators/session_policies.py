@@ -30,7 +30,7 @@ from tidemark.functions.ticks import floor_div
 from tidemark.operators.islands import block_size, islands, label_islands, range_min_ahead
 from tidemark.operators.progress import first_reached
 from tidemark.operators.running import MAX_GROUP_ROWS, Running, running
-from tidemark.session import broadcast_if_small, join_null_safe, materialise
+from tidemark.session import BROADCAST_ROWS, at_most, broadcast_if_small, join_null_safe, materialise
 
 
 # Positions of any whole-number type are compared as this one.
@@ -81,6 +81,7 @@ def _closing_positions(
     number = F.col(pos).cast(_POSITION)
     observed_pos = number if moves is None else F.when(moves, number)
     ticks = materialise(df.groupBy(time).agg(F.min(observed_pos).alias("pos")))
+    small = at_most(ticks, BROADCAST_ROWS)
     observed = ticks.filter(F.col("pos").isNotNull()).select(F.col(time).alias("bound"), "pos")
     table, have = ticks.select(F.col(time).alias("tick")), {}
     for name, offset in (("fire", policy.fire), ("alive", policy.alive), ("accept", policy.accept)):
@@ -90,11 +91,12 @@ def _closing_positions(
         have[offset] = name
         shift = policy.gap + offset
         probes = ticks.select((F.col(time) + shift).alias("bound"))
-        reached = first_reached(observed, probes, "bound", "pos", f"_{name}_pos")
+        reached = first_reached(observed, probes, "bound", "pos", f"_{name}_pos", small)
         table = table.join(
             reached.select((F.col("bound") - shift).alias("tick"), f"_{name}_pos"), "tick"
         )
-    return broadcast_if_small(materialise(table))
+    table = materialise(table)
+    return F.broadcast(table) if small else table
 
 
 def _not_after(pos: Column, bound: Column) -> Column:
@@ -152,6 +154,7 @@ def decide(
             F.min(F.least("_alive_pos", "_accept_pos")).alias("_joinable_pos"),
         )
     )
+    summary = points
     points = _cuts(points, "_t", keys, policy, "_alive_pos", "_cut_after")
     late = rows.filter(~timely)
 
@@ -162,12 +165,11 @@ def decide(
             _with_fire(spine, closing, keys), rows.filter(timely), points, nothing, late.limit(0), late
         )
 
-    points = materialise(label_islands(points, "_t", keys, "_cut_after", "island", block))
+    points = materialise(label_islands(points, "_t", keys, "_cut_after", "island", summary, block))
     spine = points.groupBy(*keys, "island").agg(
         F.min("_t").alias("first"), F.max("_t").alias("last"), F.sum("count").alias("count")
     ).drop("island")
 
-    late = materialise(late)
     offered = _offered_session(late, points, keys, policy, max_group_rows, block)
     verdicts = _acceptance(offered, points, keys, policy, block)
     alone = ~F.col("_joins") & _not_after(at, F.col("_accept_pos"))
@@ -200,7 +202,7 @@ def _offered_session(
     if policy.accept < policy.alive:
         again = _cuts(points.drop("_cut_after"), "_t", keys, policy, "_joinable_pos", "_pause_after")
         stretches = label_islands(
-            again.withColumn("_end_after", F.col("_pause_after")), "_t", keys, "_end_after", "_stretch", block
+            again.withColumn("_end_after", F.col("_pause_after")), "_t", keys, "_end_after", "_stretch", points, block
         )
     else:
         stretches = stretches.withColumn("_stretch", F.col("island"))
@@ -222,6 +224,7 @@ def _offered_session(
                 "_any_born": Running("min", "_born"),
             },
             max_group_rows,
+            rows=points,
         )
     )
     # The first stretch that had not ended when the row came. Stretches end in time order, so it
@@ -245,13 +248,15 @@ def _offered_session(
         "_pos",
         *_CARRIED,
     )
+    questions = materialise(ends.unionByName(asks))
     open_rows = materialise(
         running(
-            ends.unionByName(asks),
+            questions,
             keys,
             [F.desc("_at"), F.col("_is_row"), F.col("_t"), F.col("_candidate")],
             {"_stretch": Running("min", "_candidate")},
             max_group_rows,
+            rows=questions,
         )
         .filter("_is_row = 1")
         .select(*keys, "_t", "_pos", *_CARRIED, "_stretch")
@@ -288,41 +293,56 @@ def _acceptance(
 
     Two bounds per (keys, session, tick) close in on the position of the first row kept there:
     ``_most`` counts only rows known to be kept, ``_least`` also those that still may be. A row
-    after ``_most`` of the ticks ahead joins, one not after ``_least`` does not. The position at
-    a tick depends on later ticks only, so the bounds meet, usually in the first round.
+    after ``_most`` of the ticks ahead joins, one not after ``_least`` does not; the others wait
+    for the next round. The position at a tick depends on later ticks only, so the bounds meet.
     """
     group = [*keys, "island"]
-    some = offered.filter(F.col("island").isNotNull())
-    ticks = materialise(some.groupBy(*group, "_t").agg(F.min("_pos").alias("_earliest")))
-    spine = points.select(*group, "_t", F.col("_first_pos").alias("_most"), F.col("_first_pos").alias("_least"))
+    at_tick = [*group, "_t"]
+    spine = points.select(*at_tick, F.col("_first_pos").alias("_most"), F.col("_first_pos").alias("_least"))
+    waiting = offered.filter(F.col("island").isNotNull())
     unknown = F.lit(None).cast(_POSITION)
-    bounds = ticks.select(*group, "_t", unknown.alias("_most"), F.col("_earliest").alias("_least"))
-    rounds = 0
+    bounds = materialise(
+        waiting.groupBy(*at_tick).agg(F.min("_pos").alias("_least")).select(*at_tick, unknown.alias("_most"), "_least")
+    )
+    settled = [offered.filter(F.col("island").isNull()).withColumn("_joins", F.lit(False))]
+    ticks, rounds = bounds, 0
     while True:
         ahead = range_min_ahead(
-            spine.unionByName(bounds), ticks.select(*group, "_t"), group, "_t",
+            spine.unionByName(bounds), ticks.select(*at_tick), group, "_t",
             {"_most": "_after_most", "_least": "_after_least"}, policy.reach,
         )
-        judged = materialise(join_null_safe(offered, ahead, [*group, "_t"]))
+        judged = materialise(join_null_safe(waiting, ahead, at_tick))
         joins = F.coalesce(F.col("_pos") > F.col("_after_most"), F.lit(False))
         may_join = F.coalesce(F.col("_pos") > F.col("_after_least"), F.lit(False))
-        if judged.filter(may_join & ~joins).isEmpty():
-            return judged.withColumn("_joins", joins).drop("_after_most", "_after_least")
+        open_still = may_join & ~joins
+        settled.append(judged.filter(~open_still).withColumn("_joins", joins).select(*offered.columns, "_joins"))
+        waiting = judged.filter(open_still).select(*offered.columns)
+        if waiting.isEmpty():
+            break
         rounds += 1
-        bounds = materialise(
-            judged.filter(F.col("island").isNotNull())
-            .groupBy(*group, "_t")
-            .agg(
-                F.min(F.when(joins, F.col("_pos"))).alias("_most"),
-                F.min(F.when(may_join, F.col("_pos"))).alias("_least"),
-                F.min("_pos").alias("_earliest"),
-                F.max("_pos").alias("_latest"),
-            )
+        ticks = judged.groupBy(*at_tick).agg(
+            F.min(F.when(joins, F.col("_pos"))).alias("_new_most"),
+            F.min(F.when(may_join, F.col("_pos"))).alias("_new_least"),
+            F.min(F.when(open_still, F.col("_pos"))).alias("_earliest"),
+            F.max(F.when(open_still, F.col("_pos"))).alias("_latest"),
+        )
+        updated = join_null_safe(bounds, ticks.withColumn("_seen", F.lit(True)), at_tick)
+        bounds = updated.select(
+            *at_tick,
+            F.least("_most", "_new_most").alias("_most"),
+            F.when(F.col("_seen"), F.least("_most", "_new_least")).otherwise(F.col("_least")).alias("_least"),
+            "_earliest",
+            "_latest",
         )
+        bounds = materialise(bounds)
         if rounds > _PLAIN_ROUNDS:
             bounds = materialise(_along_ticks(bounds, spine, group, policy.reach, block_size(policy.reach, block)))
-        else:
-            bounds = bounds.select(*group, "_t", "_most", "_least")
+        ticks = bounds.filter(F.col("_earliest").isNotNull())
+        bounds = bounds.select(*at_tick, "_most", "_least")
+    result = settled[0]
+    for more in settled[1:]:
+        result = result.unionByName(more)
+    return result
 
 
 def _along_ticks(bounds: DataFrame, spine: DataFrame, group: list[str], reach: int, width: int) -> DataFrame:
@@ -331,12 +351,13 @@ def _along_ticks(bounds: DataFrame, spine: DataFrame, group: list[str], reach: i
     One input row per tick, so a block of ``width`` ticks (and the first ``reach`` ticks of the
     next one, to read from) bounds the group; a run that crosses blocks goes on in the next round.
     """
-    columns = [*group, "_t", "_most", "_least"]
-    is_settled = F.col("_most").eqNullSafe(F.col("_least"))
-    settled = bounds.filter(is_settled).select(*columns)
-    unsettled = bounds.filter(~is_settled)
+    columns = [*group, "_t", "_most", "_least", "_earliest", "_latest"]
+    waits = F.col("_earliest").isNotNull()
+    settled = bounds.filter(~waits)
+    unsettled = bounds.filter(waits)
     outside = range_min_ahead(
-        spine.unionByName(settled), unsettled.select(*group, "_t"), group, "_t", {"_most": "_outside"}, reach
+        spine.unionByName(settled.select(*spine.columns)), unsettled.select(*group, "_t"), group, "_t",
+        {"_most": "_outside"}, reach,
     )
     own = floor_div(F.col("_t"), width)
     seen_by = F.array(own, floor_div(F.col("_t") - reach, width))
@@ -355,7 +376,7 @@ def _along_ticks(bounds: DataFrame, spine: DataFrame, group: list[str], reach: i
     followed = frames.groupBy(*group, "_tick_block").applyInPandas(
         follow, ", ".join(f"`{c}` {kinds[c]}" for c in columns)
     )
-    return settled.unionByName(followed)
+    return settled.select(*columns).unionByName(followed)
 
 
 def _follow(frame: pd.DataFrame, reach: int) -> tuple[list, list]:
@@ -381,9 +402,9 @@ def _follow(frame: pd.DataFrame, reach: int) -> tuple[list, list]:
             if most_open is not None and earliest > most_open and (most is None or earliest < most):
                 most = earliest
             if least_open is None or latest <= least_open:
-                least = None
-            elif least is not None and least <= least_open:
-                least = least_open
+                least = most  # none of the waiting rows joins
+            elif least <= least_open:
+                least = least_open if most is None else min(most, least_open)
         mosts.append(most)
         leasts.append(least)
         remember(ahead[0], tick, most)

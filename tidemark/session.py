@@ -59,6 +59,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def at_most(materialised: DataFrame, rows: int) -> bool:
+    """Does this (materialised) DataFrame have at most ``rows`` rows? Looks no further than that."""
+    return materialised.limit(rows + 1).count() <= rows
+
+
 def broadcast_if_small(df: DataFrame, rows: DataFrame | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of ``df`` only if it is known to be small.
 
@@ -66,8 +71,7 @@ def broadcast_if_small(df: DataFrame, rows: DataFrame | None = None, max_rows: i
     materialised). Beyond the limit the join is left to the planner, which then shuffles both
     sides and splits skewed partitions.
     """
-    bound = df if rows is None else rows
-    return F.broadcast(df) if bound.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if at_most(df if rows is None else rows, max_rows) else df
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
