@@ -86,7 +86,7 @@ def test_running_in_chunks_equals_window_function(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "5")
     try:
         for keys in (["key"], []):
-            split = running(df, keys, [F.col("pos")], aggs, max_group_rows=10)
+            split = running(df, keys, "pos", aggs, max_group_rows=10)
             plain = df.withColumns({n: a.over(Window.partitionBy(*keys).orderBy("pos")) for n, a in aggs.items()})
             assert {tuple(r) for r in split.collect()} == {tuple(r) for r in plain.collect()}
     finally:
@@ -193,8 +193,8 @@ def test_many_windows_per_row(spark):
 
 def test_long_counts_become_rows(spark, monkeypatch):
     monkeypatch.setattr(lateness, "CHUNK", 4)
-    df = spark.createDataFrame([(1, 23), (2, 1)], "g int, n bigint")
-    got = lateness._count_to_rows(df, F.lit(2).cast("bigint"), F.col("n"), 2, "count")
+    df = spark.createDataFrame([(1, 2, 23, 2), (2, 2, 1, 2)], "g int, _first bigint, _last bigint, _step bigint")
+    got = lateness._ranges_to_rows(df, ["g"], "count")
     assert collected(got, "g", "count") == [(1, c) for c in range(2, 24, 2)]
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.running import MAX_GROUP_ROWS, Running, running
 
 
 def running_average(
-    df: DataFrame, value: str, keys: list[str], order: list[Column], name: str = "average",
+    df: DataFrame, value: str, keys: list[str], order: str | list[str], name: str = "average",
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Average of ``value`` over the results of the key so far, this one included."""

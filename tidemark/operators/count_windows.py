@@ -18,14 +18,15 @@ from tidemark.operators.running import MAX_GROUP_ROWS, Running, running
 def count_windows(
     df: DataFrame,
     time: str,
-    pos: str,
+    pos: str | list[str],
     size: int,
     slide: int,
     keys: list[str],
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """``keys, firing, min_ts, max_ts, count``: ``firing`` is the row number that fired the window."""
-    numbered = running(df.select(*keys, time, pos), keys, [F.col(pos)], {"_rn": Running("count")}, max_group_rows)
+    order = [pos] if isinstance(pos, str) else pos
+    numbered = running(df.select(*keys, time, *order), keys, order, {"_rn": Running("count")}, max_group_rows)
     # The firing windows that cover row rn: multiples of slide in [rn, rn + size - 1].
     first = floor_div(F.col("_rn") + (slide - 1), slide) * slide
     last = floor_div(F.col("_rn") + (size - 1), slide) * slide
@@ -45,6 +46,6 @@ def count_windows(
     )
 
 
-def each_row_a_window(df: DataFrame, time: str, pos: str, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def each_row_a_window(df: DataFrame, time: str, pos: str | list[str], max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Count windows of one row: what a report of single late rows uses."""
     return count_windows(df, time, pos, 1, 1, [], max_group_rows)

@@ -62,13 +62,13 @@ def _bounds(pieces: DataFrame, time: str, keys: list[str], merged: list[Column])
 
 
 def _chained(bounds: DataFrame, keys: list[str], breaks) -> DataFrame:
-    """Edge pieces (at most two per key and block) with the number of their chain."""
-    along = Window.partitionBy(*keys).orderBy("first")
-    return (
-        bounds.filter("_at_edge")
-        .withColumn("_break", breaks(F.lag("last").over(along), F.lag("_cut").over(along), F.col("first")))
-        .withColumn("_chain", F.sum("_break").over(along))
-    )
+    """Pieces with the number of their chain. Pieces at an edge (at most two per key and block) are
+    chained along the key; each of the others is a lane of its own and stays where it is."""
+    lanes = bounds.withColumn("_lane", F.when(~F.col("_at_edge"), F.col("first")))
+    along = Window.partitionBy(*keys, "_lane").orderBy("first")
+    return lanes.withColumn(
+        "_break", breaks(F.lag("last").over(along), F.lag("_cut").over(along), F.col("first"))
+    ).withColumn("_chain", F.sum("_break").over(along))
 
 
 def islands(
@@ -92,14 +92,12 @@ def islands(
     merged = [functions[how](name).alias(name) for name, how in merges.items()]
     pieces, breaks = _in_pieces(points, time, keys, gap, inclusive, cut_after, block)
     bounds = _bounds(pieces, time, keys, merged)
-    columns = [*keys, "first", "last", *merges]
-    inner = bounds.filter(~F.col("_at_edge")).select(*columns)
-    edges = (
+    return (
         _chained(bounds, keys, breaks)
-        .groupBy(*keys, "_chain")
+        .groupBy(*keys, "_lane", "_chain")
         .agg(F.min("first").alias("first"), F.max("last").alias("last"), *merged)
+        .select(*keys, "first", "last", *merges)
     )
-    return inner.unionByName(edges.select(*columns))
 
 
 def label_islands(
@@ -110,7 +108,7 @@ def label_islands(
     ``rows`` is a materialised DataFrame with at least as many rows as ``points``.
     """
     pieces, breaks = _in_pieces(points, time, keys, None, True, cut_after, block)
-    chained = _chained(_bounds(pieces, time, keys, []), keys, breaks)
+    chained = _chained(_bounds(pieces, time, keys, []).filter("_at_edge"), keys, breaks)
     starts = chained.select(
         *keys, "_block", "_piece", F.min("first").over(Window.partitionBy(*keys, "_chain")).alias("_chain_first")
     )

@@ -17,7 +17,7 @@ from math import gcd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ticks import floor_div, floor_to
+from tidemark.functions.ticks import floor_to
 from tidemark.operators.progress import first_reached
 from tidemark.operators.windows import window_starts
 from tidemark.session import BROADCAST_ROWS, at_most, broadcast_if_small, materialise
@@ -110,17 +110,13 @@ def _closed_before(windows: Column, field: str, pos: Column, most: int) -> Colum
 
 
 def _describe(df: DataFrame, time: str, pos: str, policy: SlidingPolicy, positions: DataFrame) -> DataFrame:
-    most = policy.most_windows
-    return (
-        df.withColumn("_pane", floor_to(F.col(time), policy.pane))
-        .join(positions, "_pane")
-        .withColumns(
-            {
-                "_fired": _closed_before(F.col("_windows"), "fire_pos", F.col(pos), most),
-                "_closed": _closed_before(F.col("_windows"), "accept_pos", F.col(pos), most),
-            }
-        )
-    )
+    def closed_before(field: str) -> Column:
+        return _closed_before(F.col("_windows"), field, F.col(pos), policy.most_windows)
+
+    joined = df.withColumn("_pane", floor_to(F.col(time), policy.pane)).join(positions, "_pane")
+    described = joined.withColumn("_fired", closed_before("fire_pos"))
+    same = policy.accept == policy.fire
+    return described.withColumn("_closed", F.col("_fired") if same else closed_before("accept_pos"))
 
 
 def with_closed_windows(
@@ -210,24 +206,22 @@ def not_behind(df: DataFrame, time: str, pos: str, lag: int = 0, moves: Column |
     return df.join(passed, F.col(time) == F.col("_tick")).filter(in_time).select(*df.columns)
 
 
-def _count_to_rows(df: DataFrame, first: Column, last: Column, step: int, name: str) -> DataFrame:
-    """One row per value ``first, first + step, ... <= last``.
+def _ranges_to_rows(df: DataFrame, keep: list[str], name: str) -> DataFrame:
+    """``keep`` columns and one row per value ``_first, _first + _step, ... <= _last``.
 
     In two steps with a repartition between them, so that a window with a huge count becomes
     many bounded rows on many tasks and never one huge array.
     """
-    span = CHUNK * step
-    parts = F.when(first <= last, F.sequence(F.lit(0).cast("bigint"), floor_div(last - first, span)))
-    columns = df.columns
+    span = F.col("_step") * CHUNK
+    parts = F.call_function("div", F.col("_last") - F.col("_first"), span)
     chunked = (
-        df.withColumns({"_first": first, "_last": last})
-        .withColumn("_part", F.explode(parts))
+        df.filter(F.col("_first") <= F.col("_last"))
+        .withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts)))
         .withColumn("_from", F.col("_first") + F.col("_part") * span)
-        .repartition(*columns, "_part")
+        .repartition(*keep, "_part")
     )
-    upto = F.least(F.col("_from") + (span - step), F.col("_last"))
-    values = F.sequence("_from", upto, F.lit(step).cast("bigint"))
-    return chunked.withColumn(name, F.explode(values)).select(*columns, name)
+    upto = F.least(F.col("_from") + (span - F.col("_step")), F.col("_last"))
+    return chunked.withColumn(name, F.explode(F.sequence("_from", upto, "_step"))).select(*keep, name)
 
 
 def panes(
@@ -249,32 +243,24 @@ def panes(
     What a pane shows depends only on the counts, so no row order is needed here.
     """
     counts = window_counts(df, time, pos, policy, keys, moves)
-    shape = ["start", "end", *keys]
-    reports = []
-    zero = F.lit(0).cast("bigint")
-    if early_every:
-        reports.append(
-            _count_to_rows(
-                counts.select(*shape, "on_time"), zero + early_every, F.col("on_time"), early_every, "count"
-            ).withColumn("pane_kind", F.lit("early"))
+    on_time = F.col("on_time")
+
+    def reports(kind: str, first: Column, last: Column, step: int) -> Column:
+        return F.struct(
+            F.lit(kind).alias("pane_kind"),
+            first.cast("bigint").alias("_first"),
+            last.cast("bigint").alias("_last"),
+            F.lit(step).cast("bigint").alias("_step"),
         )
+
+    ranges = [reports("early", F.lit(early_every), on_time, early_every)] if early_every else []
     if final:
-        reports.append(
-            counts.filter("on_time > 0").withColumn("count", F.col("on_time")).withColumn("pane_kind", F.lit("on_time"))
-        )
-        if policy.accept > policy.fire:
-            reports.append(
-                _count_to_rows(
-                    counts.select(*shape, "on_time", "late"),
-                    F.col("on_time") + 1,
-                    F.col("on_time") + F.col("late"),
-                    1,
-                    "count",
-                ).withColumn("pane_kind", F.lit("late"))
-            )
-    return reduce(
-        DataFrame.unionByName, [report.select(*shape, "pane_kind", "count") for report in reports]
-    )
+        # a window with no row in time does not fire: the range 1..0 is empty
+        ranges.append(reports("on_time", F.greatest(on_time, F.lit(1)), on_time, 1))
+        ranges.append(reports("late", on_time + 1, on_time + F.col("late"), 1))
+    keep = ["start", "end", *keys]
+    spread = counts.select(*keep, F.explode(F.array(*ranges)).alias("_report")).select(*keep, "_report.*")
+    return _ranges_to_rows(spread, [*keep, "pane_kind"], "count")
 
 
 def discarding(

@@ -23,23 +23,23 @@ BLOCK = 4096
 
 
 def watermark_per_record(
-    df: DataFrame, time: str, pos: str, name: str = "wm_before", max_group_rows: int = MAX_GROUP_ROWS
+    df: DataFrame, time: str, pos: str | list[str], name: str = "wm_before", max_group_rows: int = MAX_GROUP_ROWS
 ) -> DataFrame:
     """Largest event time among the rows that arrived before; NULL for the first row."""
-    return running(df, [], [F.col(pos)], {name: Running("max", time, inclusive=False)}, max_group_rows)
+    return running(df, [], pos, {name: Running("max", time, inclusive=False)}, max_group_rows)
 
 
 def stream_time(
-    df: DataFrame, time: str, pos: str, name: str = "stream_time", max_group_rows: int = MAX_GROUP_ROWS
+    df: DataFrame, time: str, pos: str | list[str], name: str = "stream_time", max_group_rows: int = MAX_GROUP_ROWS
 ) -> DataFrame:
     """Largest event time up to and including the row."""
-    return running(df, [], [F.col(pos)], {name: Running("max", time)}, max_group_rows)
+    return running(df, [], pos, {name: Running("max", time)}, max_group_rows)
 
 
 def watermark_punctuated(
     df: DataFrame,
     time: str,
-    pos: str,
+    pos: str | list[str],
     is_control: Column,
     name: str = "wm_before",
     max_group_rows: int = MAX_GROUP_ROWS,
@@ -47,14 +47,14 @@ def watermark_punctuated(
     """Progress that only control rows move."""
     marked = df.withColumn("_control_time", F.when(is_control, F.col(time)))
     return running(
-        marked, [], [F.col(pos)], {name: Running("max", "_control_time", inclusive=False)}, max_group_rows
+        marked, [], pos, {name: Running("max", "_control_time", inclusive=False)}, max_group_rows
     ).drop("_control_time")
 
 
 def watermark_with_lag(
     df: DataFrame,
     time: str,
-    pos: str,
+    pos: str | list[str],
     lag: int,
     every: int | None = None,
     name: str = "wm_before",
@@ -72,24 +72,24 @@ def watermark_with_lag(
     seen = running(
         df,
         [],
-        [F.col(pos)],
+        pos,
         {"_arrival": Running("count"), "_seen": Running("max", time)},
         max_group_rows,
     ).withColumn("_published", F.when(F.col("_arrival") % every == 0, F.col("_seen")))
     return (
-        running(seen, [], [F.col(pos)], {"_last": Running("max", "_published", inclusive=False)}, max_group_rows)
+        running(seen, [], pos, {"_last": Running("max", "_published", inclusive=False)}, max_group_rows)
         .withColumn(name, F.col("_last") - F.lit(lag))
         .drop("_arrival", "_seen", "_published", "_last")
     )
 
 
 def timestamp_or_progress(
-    df: DataFrame, raw_time: str, pos: str, name: str = "event_time", max_group_rows: int = MAX_GROUP_ROWS
+    df: DataFrame, raw_time: str, pos: str | list[str], name: str = "event_time", max_group_rows: int = MAX_GROUP_ROWS
 ) -> DataFrame:
     """Event time parsed from text; a row that does not parse takes the progress made so far."""
     parsed = df.withColumn("_parsed", F.trim(F.col(raw_time)).try_cast("bigint"))
     return (
-        running(parsed, [], [F.col(pos)], {"_progress": Running("max", "_parsed", inclusive=False)}, max_group_rows)
+        running(parsed, [], pos, {"_progress": Running("max", "_parsed", inclusive=False)}, max_group_rows)
         .withColumn(name, F.coalesce("_parsed", "_progress"))
         .drop("_parsed", "_progress")
     )

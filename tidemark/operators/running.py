@@ -19,10 +19,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.ticks import POSITION, position_parts
 from tidemark.session import at_most, broadcast_if_small, materialise
 
 # Largest group a single window task is trusted with.
-MAX_GROUP_ROWS = 5_000_000
+MAX_GROUP_ROWS = 1_000_000
 
 _FUNCTIONS = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
 
@@ -64,9 +65,10 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
 def running(
     df: DataFrame,
     keys: list[str],
-    order: list[Column],
+    order: str | list[str],
     aggregates: dict[str, Running],
     max_group_rows: int = MAX_GROUP_ROWS,
+    descending: bool = False,
     rows: DataFrame | None = None,
 ) -> DataFrame:
     """``df`` plus one column per entry of ``aggregates``. ``order`` must be unique in a group.
@@ -74,11 +76,27 @@ def running(
     ``rows``, a materialised DataFrame with at least as many rows, saves looking at the groups
     of a ``df`` that is small as a whole.
     """
+    columns = df.columns
+    df, sort = _sortable(df, [order] if isinstance(order, str) else order, descending)
     small = rows is not None and at_most(rows, max_group_rows)
     if small or largest_group(df, keys) <= max_group_rows:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumns({name: agg.over(window) for name, agg in aggregates.items()})
-    return _running_in_chunks(df, keys, order, aggregates)
+        window = Window.partitionBy(*keys).orderBy(*sort)
+        result = df.withColumns({name: agg.over(window) for name, agg in aggregates.items()})
+    else:
+        result = _running_in_chunks(df, keys, sort, aggregates)
+    return result.select(*columns, *aggregates)
+
+
+def _sortable(df: DataFrame, order: list[str], descending: bool) -> tuple[DataFrame, list[Column]]:
+    """Sort columns, with wide decimals (positions) taken apart into two LONGs."""
+    kinds, names, parts = dict(df.dtypes), [], {}
+    for column in order:
+        if kinds[column] == POSITION:
+            names += [f"_hi_{column}", f"_lo_{column}"]
+            parts[names[-2]], parts[names[-1]] = position_parts(F.col(column))
+        else:
+            names.append(column)
+    return df.withColumns(parts) if parts else df, [F.desc(n) if descending else F.col(n) for n in names]
 
 
 def _running_in_chunks(
@@ -116,4 +134,4 @@ def _running_in_chunks(
     window = Window.partitionBy(*keys, "_chunk").orderBy("_at")
     return joined.withColumns(
         {name: agg.merge(F.col(f"_before_{name}"), agg.over(window)) for name, agg in aggregates.items()}
-    ).select(*df.columns, *aggregates)
+    )

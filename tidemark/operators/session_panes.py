@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ticks import floor_div
+from tidemark.functions.ticks import POSITION, floor_div
 from tidemark.operators.progress import watermark_per_record
 from tidemark.operators.running import MAX_GROUP_ROWS, Running, running
 from tidemark.operators.session_policies import Decision, SessionPolicy, decide
@@ -53,7 +53,7 @@ def early_panes(
     decision = decide(df, time, pos, policy, keys, max_group_rows=max_group_rows, **options)
     group = [*keys, "island"]
     rows = materialise(_members(decision, keys))
-    order = [F.col("_pos")]
+    order = "_pos"
     grown = running(
         rows,
         group,
@@ -111,7 +111,7 @@ def session_panes(
     decision = decide(df, time, pos, policy, keys, data=data, moves=moves, **options)
     group = [*keys, "island"]
     rows = materialise(_members(decision, keys))
-    nothing = F.lit(None).cast("decimal(38,0)")
+    nothing = F.lit(None).cast(POSITION)
     parts = rows.select(*group, "_pos", F.lit("row").alias("_kind"), "_t", "_fire_pos")
     if repeat:
         parts = parts.unionByName(_steps(df, rows, decision, time, pos, policy, keys, moves, nothing))
@@ -144,7 +144,7 @@ def _steps(df, rows, decision, time, pos, policy, keys, moves, nothing) -> DataF
     width = 4 * (policy.gap + max(policy.alive, 0) + 1)
     movers = df if moves is None else df.filter(moves)
     steps = (
-        watermark_per_record(movers.select(F.col(time).alias("_to"), F.col(pos).cast("decimal(38,0)").alias("_pos")),
+        watermark_per_record(movers.select(F.col(time).alias("_to"), F.col(pos).cast(POSITION).alias("_pos")),
                              "_to", "_pos", "_from")
         .filter(F.col("_from").isNull() | (F.col("_to") > F.col("_from")))
         .withColumn("_block", floor_div(F.col("_to"), width))

@@ -26,15 +26,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ticks import floor_div
+from tidemark.functions.ticks import POSITION, arrival_position, floor_div
 from tidemark.operators.islands import block_size, islands, label_islands, range_min_ahead
 from tidemark.operators.progress import first_reached
 from tidemark.operators.running import MAX_GROUP_ROWS, Running, running
 from tidemark.session import BROADCAST_ROWS, at_most, broadcast_if_small, join_null_safe, materialise
 
 
-# Positions of any whole-number type are compared as this one.
-_POSITION = "decimal(38,0)"
 # What a late row carries along while its session is looked up.
 _CARRIED = ["_weight", "_fire_pos", "_accept_pos"]
 
@@ -78,7 +76,7 @@ def _closing_positions(
     df: DataFrame, time: str, pos: str, policy: SessionPolicy, moves: Column | None
 ) -> DataFrame:
     """Per tick: where a session whose last row has that tick fires, is removed, and rejects rows."""
-    number = F.col(pos).cast(_POSITION)
+    number = F.col(pos).cast(POSITION)
     observed_pos = number if moves is None else F.when(moves, number)
     ticks = materialise(df.groupBy(time).agg(F.min(observed_pos).alias("pos")))
     small = at_most(ticks, BROADCAST_ROWS)
@@ -136,7 +134,7 @@ def decide(
     closing = _closing_positions(df, time, pos, policy, moves)
     weight = F.lit(1) if counted is None else F.when(counted, 1).otherwise(0)
     rows = df.select(
-        *keys, F.col(time).alias("_t"), F.col(pos).cast(_POSITION).alias("_pos"), weight.cast("bigint").alias("_weight"),
+        *keys, F.col(time).alias("_t"), F.col(pos).cast(POSITION).alias("_pos"), weight.cast("bigint").alias("_weight"),
         (F.lit(True) if data is None else data).alias("_data"),
     ).filter("_data").drop("_data").join(closing, F.col("_t") == F.col("tick")).drop("tick")
 
@@ -213,36 +211,36 @@ def _offered_session(
     )
     # Over the stretches of a key from the last to the first: the following one, and the
     # earliest birth from here on.
-    backwards = [F.desc("_stretch")]
     stretches = materialise(
         running(
             stretches,
             keys,
-            backwards,
+            "_stretch",
             {
                 "_next": Running("min", "_stretch", inclusive=False),
                 "_any_born": Running("min", "_born"),
             },
             max_group_rows,
+            descending=True,
             rows=points,
         )
     )
     # The first stretch that had not ended when the row came. Stretches end in time order, so it
     # is the smallest one among those that end at or after the row's position.
-    never = F.lit("9" * 38).cast(_POSITION)
+    never = arrival_position(F.lit(10**18 - 1), F.lit(0))
     ends = stretches.select(
         *keys,
         F.coalesce("_dies", never).alias("_at"),
-        F.lit(0).alias("_is_row"),
+        F.lit(1).alias("_is_end"),
         F.col("_stretch").alias("_candidate"),
         F.lit(None).cast("bigint").alias("_t"),
-        F.lit(None).cast(_POSITION).alias("_pos"),
+        F.lit(None).cast(POSITION).alias("_pos"),
         *[F.lit(None).cast(late.schema[c].dataType).alias(c) for c in _CARRIED],
     )
     asks = late.select(
         *keys,
         F.col("_pos").alias("_at"),
-        F.lit(1).alias("_is_row"),
+        F.lit(0).alias("_is_end"),
         F.lit(None).cast("bigint").alias("_candidate"),
         "_t",
         "_pos",
@@ -253,12 +251,13 @@ def _offered_session(
         running(
             questions,
             keys,
-            [F.desc("_at"), F.col("_is_row"), F.col("_t"), F.col("_candidate")],
+            ["_at", "_is_end"],
             {"_stretch": Running("min", "_candidate")},
             max_group_rows,
+            descending=True,
             rows=questions,
         )
-        .filter("_is_row = 1")
+        .filter("_is_end = 0")
         .select(*keys, "_t", "_pos", *_CARRIED, "_stretch")
     )
     # That stretch may be born later than the row while a later one is already open.
@@ -300,7 +299,7 @@ def _acceptance(
     at_tick = [*group, "_t"]
     spine = points.select(*at_tick, F.col("_first_pos").alias("_most"), F.col("_first_pos").alias("_least"))
     waiting = offered.filter(F.col("island").isNotNull())
-    unknown = F.lit(None).cast(_POSITION)
+    unknown = F.lit(None).cast(POSITION)
     bounds = materialise(
         waiting.groupBy(*at_tick).agg(F.min("_pos").alias("_least")).select(*at_tick, unknown.alias("_most"), "_least")
     )

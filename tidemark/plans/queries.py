@@ -26,6 +26,7 @@ SIZE, SLIDE, GAP = 60, 15, 10
 SIZE_US, SLIDE_US, GAP_US = SIZE * MINUTE_US, SLIDE * MINUTE_US, GAP * MINUTE_US
 CONTROL = "signup"
 LATENESS = 10
+ARRIVAL = ["arrival", "event_id"]
 US = {"start": "start_us", "end": "end_us"}
 
 
@@ -155,17 +156,17 @@ SELECT {key} firing, min_ts, max_ts, count FROM framed WHERE firing % {slide} =
 
 @query("count_window_keyed", _COUNT_WINDOW_SQL.format(arr=ARR, part="key", key="key,", before=4, slide=2))
 def count_window_keyed(spark, folder):
-    return count_windows(replay(spark, folder), "t", "pos", 5, 2, ["key"])
+    return count_windows(replay(spark, folder), "t", ARRIVAL, 5, 2, ["key"])
 
 
 @query("count_window_all", _COUNT_WINDOW_SQL.format(arr=ARR, part="1", key="", before=4, slide=2))
 def count_window_all(spark, folder):
-    return count_windows(replay(spark, folder), "t", "pos", 5, 2, [])
+    return count_windows(replay(spark, folder), "t", ARRIVAL, 5, 2, [])
 
 
 @query("count_window_tumbling", _COUNT_WINDOW_SQL.format(arr=ARR, part="1", key="", before=0, slide=1))
 def count_window_tumbling(spark, folder):
-    return each_row_a_window(replay(spark, folder), "t", "pos")
+    return each_row_a_window(replay(spark, folder), "t", ARRIVAL)
 
 
 @query(
@@ -180,7 +181,7 @@ FROM w""",
 )
 def running_average_of_counts(spark, folder):
     counts = tumbling(events(spark, folder), "us", SIZE_US, ["key"], COUNT, **US)
-    averaged = running_average(counts, "count", ["key"], [F.col("start_us")])
+    averaged = running_average(counts, "count", ["key"], "start_us")
     return averaged.select("key", "start_us", "count", F.round("average", 6).alias("average"),
                            format_average(F.col("average")).alias("text"))
 
@@ -190,14 +191,14 @@ def running_average_of_counts(spark, folder):
 
 @query("watermark_per_record", f"WITH {ARR} SELECT event_id, t, wm AS wm_before FROM arr")
 def watermark_per_record(spark, folder):
-    rows = replay(spark, folder).select("event_id", "t", "pos")
-    return progress.watermark_per_record(rows, "t", "pos").drop("pos")
+    rows = replay(spark, folder).select("event_id", "t", "arrival")
+    return progress.watermark_per_record(rows, "t", ARRIVAL).drop("arrival")
 
 
 @query("stream_time", f"WITH {ARR} SELECT event_id, t, greatest(t, coalesce(wm, t)) AS stream_time FROM arr")
 def stream_time(spark, folder):
-    rows = replay(spark, folder).select("event_id", "t", "pos")
-    return progress.stream_time(rows, "t", "pos").drop("pos")
+    rows = replay(spark, folder).select("event_id", "t", "arrival")
+    return progress.stream_time(rows, "t", ARRIVAL).drop("arrival")
 
 
 @query(
@@ -206,8 +207,8 @@ def stream_time(spark, folder):
     (ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wm_before FROM ev""",
 )
 def watermark_punctuated(spark, folder):
-    rows = replay(spark, folder).select("event_id", "t", "pos", "key")
-    return progress.watermark_punctuated(rows, "t", "pos", is_control("key", CONTROL)).drop("pos", "key")
+    rows = replay(spark, folder).select("event_id", "t", "arrival", "key")
+    return progress.watermark_punctuated(rows, "t", ARRIVAL, is_control("key", CONTROL)).drop("arrival", "key")
 
 
 @query(
@@ -219,9 +220,9 @@ SELECT event_id, t, wm - 5 AS wm_before,
 FROM published""",
 )
 def watermark_lag(spark, folder):
-    rows = replay(spark, folder).select("event_id", "t", "pos")
-    each = progress.watermark_with_lag(rows, "t", "pos", 5)
-    return progress.watermark_with_lag(each, "t", "pos", 5, every=10, name="wm_every_10").drop("pos")
+    rows = replay(spark, folder).select("event_id", "t", "arrival")
+    each = progress.watermark_with_lag(rows, "t", ARRIVAL, 5)
+    return progress.watermark_with_lag(each, "t", ARRIVAL, 5, every=10, name="wm_every_10").drop("arrival")
 
 
 @query(
@@ -232,8 +233,8 @@ SELECT event_id, coalesce(parsed, max(parsed) OVER
 )
 def timestamp_fallback(spark, folder):
     text = F.when(F.col("event_id") % 5 == 0, F.lit("no time")).otherwise(F.concat(F.lit(" "), F.col("t").cast("string")))
-    rows = replay(spark, folder).select("event_id", "pos", text.alias("raw"))
-    return progress.timestamp_or_progress(rows, "raw", "pos").select("event_id", "event_time")
+    rows = replay(spark, folder).select("event_id", "arrival", text.alias("raw"))
+    return progress.timestamp_or_progress(rows, "raw", ARRIVAL).select("event_id", "event_time")
 
 
 # ---- sliding windows under a policy ----------------------------------------------------------
@@ -320,7 +321,7 @@ def late_rows(spark, folder):
 )
 def late_rows_as_windows(spark, folder):
     late = PROFILES["flink"].late(replay(spark, folder), "t", "pos", SIZE, SLIDE)
-    return each_row_a_window(late, "t", "pos")
+    return each_row_a_window(late, "t", ARRIVAL)
 
 
 _PANES_SQL = """WITH {pairs}, kept AS (

@@ -28,7 +28,7 @@ def read_events(
 ) -> DataFrame:
     """Parsed events of a file or folder with ``pos``, their arrival number (from 1)."""
     parsed = parse_lines(read_lines(spark, path), policy, keep=["arrival"])
-    return running(parsed, [], [F.col("arrival")], {"pos": Running("count")}, max_group_rows).drop("arrival")
+    return running(parsed, [], ["arrival"], {"pos": Running("count")}, max_group_rows).drop("arrival")
 
 
 def stream_lines(spark: SparkSession, folder: str, files_per_trigger: int | None = 1) -> DataFrame:
