@@ -14,6 +14,7 @@ from tidemark.operators.count_windows import count_windows, each_row_a_window
 from tidemark.operators.islands import sessions
 from tidemark.operators.lateness import SlidingPolicy
 from tidemark.operators.routing import is_control, split
+from tidemark.operators.session_panes import early_panes, session_panes
 from tidemark.operators.windows import COUNT, Agg, sliding, sliding_right_closed, tumbling
 from tidemark.plans.profiles import PROFILES, profile_diff
 from tidemark.plans.tables import MINUTE_US, events, replay
@@ -528,7 +529,7 @@ _SESSION_STATE_SQL = """WITH RECURSIVE {arr}, k AS (
   SELECT key, t, wm, row_number() OVER (PARTITION BY key ORDER BY n) AS r FROM arr),
 steps AS (
   SELECT key, 0::BIGINT AS r, NULL::BIGINT AS f, NULL::BIGINT AS l, 0::BIGINT AS c,
-         NULL::BIGINT AS df, NULL::BIGINT AS dl, 0::BIGINT AS dc
+         NULL::BIGINT AS df, NULL::BIGINT AS dl, 0::BIGINT AS dc, NULL::BIGINT AS t, TRUE AS took
   FROM (SELECT DISTINCT key FROM k)
   UNION ALL
   SELECT key, r,
@@ -537,7 +538,8 @@ steps AS (
          CASE WHEN NOT take THEN oc WHEN joins THEN oc + 1 ELSE 1 END,
          CASE WHEN of IS NULL OR (take AND NOT joins) THEN pf END,
          CASE WHEN of IS NULL OR (take AND NOT joins) THEN pl END,
-         CASE WHEN of IS NULL OR (take AND NOT joins) THEN pc ELSE 0 END
+         CASE WHEN of IS NULL OR (take AND NOT joins) THEN pc ELSE 0 END,
+         t, take
   FROM (
     SELECT *, {take} AS take FROM (
       SELECT *, of IS NOT NULL AND t - ol {touch} AND of - t {touch} AS joins FROM (
@@ -551,54 +553,91 @@ closed AS (
   UNION ALL
   SELECT key, arg_max(f, r), arg_max(l, r), arg_max(c, r) FROM
     (SELECT key, r, coalesce(f, -1) AS f, coalesce(l, -1) AS l, c FROM steps) GROUP BY key)
-SELECT f AS start, {end_label} AS "end", key, c AS count FROM closed WHERE f >= 0 {where}"""
+"""
+_SESSION_ROWS = 'SELECT f AS start, {end_label} AS "end", key, c AS count FROM closed WHERE f >= 0 {where}'
 
 
-@query(
-    "session_policy_flink",
-    _SESSION_STATE_SQL.format(
-        arr=ARR, alive="-1", touch="<= 10", end_label="l + 10", where="",
-        take="wm IS NULL OR greatest(t, CASE WHEN joins THEN ol ELSE t END) + 9 > wm",
-    ),
+def _state_sql(alive: str, touch: str, take: str, result: str) -> str:
+    return _SESSION_STATE_SQL.format(arr=ARR, alive=alive, touch=touch, take=take) + result
+
+
+_MERGED = "wm IS NULL OR greatest(t, CASE WHEN joins THEN ol ELSE t END) + {} > wm"
+_FLINK = dict(alive="-1", touch="<= 10", take=_MERGED.format(9))
+_BEAM = dict(alive="0", touch="< 10", take="wm IS NULL OR t + 10 > wm")
+_KAFKA = dict(alive="0", touch="<= 10", take=_MERGED.format(11))
+_FLINK_SQL = _state_sql(**_FLINK, result=_SESSION_ROWS.format(end_label="l + 10", where=""))
+_BEAM_SQL = _state_sql(**_BEAM, result=_SESSION_ROWS.format(end_label="l + 10", where="AND upper(key) <> 'SIGNUP'"))
+
+# The same with a list of open sessions per key, where progress does not follow every record.
+_SESSION_LIST_SQL = """WITH RECURSIVE {arr}, {progress}, k AS (
+  SELECT key, t, wm, row_number() OVER (PARTITION BY key ORDER BY n) AS r FROM moved WHERE {data}),
+steps AS (
+  SELECT key, 0::BIGINT AS r, []::STRUCT(f BIGINT, l BIGINT, c BIGINT)[] AS live,
+         []::STRUCT(f BIGINT, l BIGINT, c BIGINT)[] AS done
+  FROM (SELECT DISTINCT key FROM k)
+  UNION ALL
+  SELECT key, r,
+         CASE WHEN NOT take THEN still ELSE list_append(list_filter(still, lambda x: NOT ({near})),
+           {{'f': least(t, coalesce(list_min(list_transform(joins, lambda x: x.f)), t)),
+             'l': greatest(t, coalesce(list_max(list_transform(joins, lambda x: x.l)), t)),
+             'c': 1 + coalesce(list_sum(list_transform(joins, lambda x: x.c))::BIGINT, 0)}}) END,
+         gone
+  FROM (SELECT *, wm IS NULL OR wm < {tested} + 10 + {accept} AS take FROM (
+    SELECT *, list_filter(still, lambda x: {near}) AS joins FROM (
+      SELECT k.key, k.r, k.t, k.wm,
+             list_filter(s.live, lambda x: k.wm IS NULL OR k.wm < x.l + 10 + {alive}) AS still,
+             list_filter(s.live, lambda x: k.wm >= x.l + 10 + {alive}) AS gone
+      FROM steps s JOIN k ON k.key = s.key AND k.r = s.r + 1)))),
+found AS (
+  SELECT key, unnest(done) AS x FROM steps
+  UNION ALL
+  SELECT key, unnest(arg_max(live, r)) AS x FROM steps GROUP BY key)
+SELECT x.f AS start, x.l + 10 AS "end", key, {count} AS count FROM found
+WHERE x.l + 10 <= (SELECT max(t) FROM ev WHERE {moves})"""
+_STORM_SQL = _SESSION_LIST_SQL.format(
+    arr=ARR,
+    progress="""moved AS (SELECT * EXCLUDE (wm), max(CASE WHEN key = 'signup' THEN t END) OVER
+  (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wm FROM arr)""",
+    data="key <> 'signup'", moves="key = 'signup'", near="x.f - t < 10 AND t - x.l < 10", alive=11, accept=10,
+    tested="greatest(t, coalesce(list_max(list_transform(joins, lambda x: x.l)), t))", count="x.c",
 )
+_SPARK_SQL = _SESSION_LIST_SQL.format(
+    arr=ARR,
+    progress="""finished AS (
+  SELECT batch, max(max(t)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+  FROM arr GROUP BY batch), moved AS (SELECT * EXCLUDE (wm), seen AS wm FROM arr JOIN finished USING (batch))""",
+    data="TRUE", moves="TRUE", near="x.f - t <= 10 AND t - x.l <= 10", alive=0, accept=0, tested="t",
+    count="CASE WHEN key = 'signup' THEN 0 ELSE x.c END",
+)
+
+
+@query("session_policy_flink", _FLINK_SQL)
 def session_policy_flink(spark, folder):
     return PROFILES["flink"].sessions(replay(spark, folder), "t", "pos", GAP, ["key"])
 
 
-@query(
-    "session_policy_beam",
-    _SESSION_STATE_SQL.format(
-        arr=ARR, alive="0", touch="< 10", end_label="l + 10", where="AND upper(key) <> 'SIGNUP'",
-        take="wm IS NULL OR t + 10 > wm",
-    ),
-)
+@query("session_policy_beam", _BEAM_SQL)
 def session_policy_beam(spark, folder):
     return PROFILES["beam"].sessions(replay(spark, folder), "t", "pos", GAP, ["key"], CONTROL)
 
 
-@query(
-    "session_policy_kafka",
-    _SESSION_STATE_SQL.format(
-        arr=ARR, alive="0", touch="<= 10", end_label="l", where="",
-        take="wm IS NULL OR greatest(t, CASE WHEN joins THEN ol ELSE t END) + 11 > wm",
-    ),
-)
+@query("session_policy_kafka", _state_sql(**_KAFKA, result=_SESSION_ROWS.format(end_label="l", where="")))
 def session_policy_kafka(spark, folder):
     return PROFILES["kafka"].sessions(replay(spark, folder), "t", "pos", GAP, ["key"])
 
 
-@query("session_policy_spark")
+@query("session_policy_spark", _SPARK_SQL)
 def session_policy_spark(spark, folder):
     return PROFILES["spark"].sessions(replay(spark, folder), "t", "batch", GAP, ["key"], CONTROL)
 
 
-@query("session_policy_storm")
+@query("session_policy_storm", _STORM_SQL)
 def session_policy_storm(spark, folder):
     profile = PROFILES["storm"].with_lateness(LATENESS)
     return profile.sessions(replay(spark, folder), "t", "pos", GAP, ["key"], CONTROL)
 
 
-@query("session_late_rows", None)
+@query("session_late_rows", _state_sql(**_FLINK, result="SELECT key, t FROM steps WHERE NOT took"))
 def session_late_rows(spark, folder):
     return PROFILES["flink"].session_drops(replay(spark, folder), "t", "pos", GAP, ["key"]).select("key", "t")
 
@@ -626,9 +665,44 @@ def profile_diff_sliding(spark, folder):
     return profile_diff(left, right, ["key"])
 
 
-@query("profile_diff_sessions")
+@query(
+    "profile_diff_sessions",
+    f"""WITH a AS (SELECT start, "end", key, sum(count)::BIGINT AS left_count FROM ({_FLINK_SQL}) GROUP BY ALL),
+b AS (SELECT start, "end", key, sum(count)::BIGINT AS right_count FROM ({_BEAM_SQL}) GROUP BY ALL)
+SELECT start, "end", key, left_count, right_count FROM a FULL JOIN b USING (start, "end", key)
+WHERE left_count IS DISTINCT FROM right_count""",
+)
 def profile_diff_sessions(spark, folder):
     rows = replay(spark, folder)
     left = PROFILES["flink"].sessions(rows, "t", "pos", GAP, ["key"])
     right = PROFILES["beam"].sessions(rows, "t", "pos", GAP, ["key"], CONTROL)
     return profile_diff(left, right, ["key"])
+
+
+@query(
+    "session_early_panes",
+    _state_sql(
+        **_FLINK,
+        result="""SELECT f AS start, l + 10 AS "end", key, 'early' AS pane_kind, c AS count FROM steps
+WHERE r > 0 AND took AND c % 2 = 0
+UNION ALL SELECT f, l + 10, key, 'on_time', c FROM closed WHERE f >= 0""",
+    ),
+)
+def session_early_panes(spark, folder):
+    policy = PROFILES["flink"].session_policy(GAP)
+    return early_panes(replay(spark, folder), "t", "pos", policy, ["key"], every=2)
+
+
+@query("session_panes_with_lateness")
+def session_panes_with_lateness(spark, folder):
+    policy = PROFILES["flink"].with_lateness(LATENESS).session_policy(GAP)
+    return session_panes(replay(spark, folder), "t", "pos", policy, ["key"])
+
+
+@query("session_panes_repeated")
+def session_panes_repeated(spark, folder):
+    policy = PROFILES["storm"].with_lateness(LATENESS).session_policy(GAP)
+    control = is_control("key", CONTROL)
+    return session_panes(
+        replay(spark, folder), "t", "pos", policy, ["key"], moves=control, data=~control, repeat=True, flush=False
+    )
