@@ -96,6 +96,53 @@ def panes(rows, size, slide, fire, accept, early_every):
     return sorted(out)
 
 
+def session_panes(rows, gap, inclusive, fire, alive, accept, repeat=False, is_data=None, moves=None, flush=True):
+    """Every report ``(kind, first, last, key, count)`` of growing sessions."""
+    wm = -math.inf
+    live, out = [], []  # [first, last, key, count, fired]
+
+    def report(s, kind):
+        out.append((kind, s[0], s[1], s[2], s[3]))
+
+    def advance(to):
+        for s in list(live):
+            if to >= s[1] + gap + fire and (repeat or not s[4]):
+                report(s, "repeat" if s[4] else "on_time")
+                s[4] = True
+            if to >= s[1] + gap + alive:
+                live.remove(s)
+
+    for t, key in rows:
+        if is_data is None or is_data(key):
+            near = [
+                s for s in live
+                if s[2] == key and (abs_gap(s, t) <= gap if inclusive else abs_gap(s, t) < gap)
+            ]
+            last = max([t] + [s[1] for s in near])
+            if wm < last + gap + accept:
+                for s in near:
+                    live.remove(s)
+                merged = [min([t] + [s[0] for s in near]), last, key, 1 + sum(s[3] for s in near),
+                          any(s[4] for s in near)]
+                live.append(merged)
+                if merged[4] or (not repeat and wm >= last + gap + fire):
+                    merged[4] = True
+                    report(merged, "late")
+        if (moves is None or moves(key)) and t > wm:
+            wm = t
+            advance(wm)
+    if flush:
+        for s in live:
+            if not s[4]:
+                report(s, "on_time")
+    return sorted(out)
+
+
+def abs_gap(s, t):
+    """Distance of ``t`` from the session's rows."""
+    return max(s[0] - t, t - s[1], 0)
+
+
 def count_windows(rows, size, slide, keyed):
     seen, out = {}, []
     for t, key in rows:

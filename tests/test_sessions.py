@@ -114,3 +114,22 @@ def test_early_session_panes(spark):
     assert sorted((r.pane_kind, r["count"]) for r in again) == [("early", 2), ("early", 4), ("on_time", 11)]
     with pytest.raises(ValueError):
         early_panes(df, "t", "pos", SessionPolicy(10, accept=5), ["key"], 2)
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+def test_session_reports_against_row_by_row(spark, seed):
+    events = disordered(seed, n=150)
+    df = table(spark, events)
+
+    def got(panes):
+        return sorted((r.pane_kind, r.start, r.end - 10, r.key, r["count"]) for r in panes.collect())
+
+    late = POLICIES["merged_late"]
+    assert got(session_panes(df, "t", "pos", late, ["key"])) == brute.session_panes(events, 10, True, -1, 6, 6)
+    control = POLICIES["control"]
+    repeated = session_panes(
+        df, "t", "pos", control, ["key"], moves=F.col("key") == "W", data=F.col("key") != "W", repeat=True, flush=False
+    )
+    assert got(repeated) == brute.session_panes(
+        events, 10, False, 0, 11, 10, True, lambda k: k != "W", lambda k: k == "W", flush=False
+    )

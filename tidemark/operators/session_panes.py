@@ -119,21 +119,31 @@ def session_panes(
     schema = "start bigint, `end` bigint, " + "".join(f"`{k}` {kinds[k]}, " for k in keys) + "pane_kind string, count bigint"
     names = ["start", "end", *keys, "pane_kind", "count"]
 
-    def follow(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        book = _Book(policy, repeat)
+    def follow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, book = None, None
         for frame in frames:
-            for kind, tick, at, fire_at in zip(frame["_kind"], frame["_t"], frame["_pos"], frame["_fire_pos"]):
+            out: list[tuple] = []
+            for *session, kind, tick, at, fire_at in frame.itertuples(index=False, name=None):
+                session = [None if pd.isna(part) else part for part in session]
+                if session != current:
+                    if book is not None:
+                        out += book.end(flush)
+                    current, book = session, _Book(policy, repeat, session[:-1])
                 if kind == "row":
                     book.row(int(tick), at, fire_at)
                 else:
                     book.step(at)
-            yield book.take(key[: len(keys)], names)
-        book.end(flush)
-        yield book.take(key[: len(keys)], names)
-
-    # Grouping needs rows together by group; sorted by position within it they come in that order.
-    ordered = parts.repartition(*group).sortWithinPartitions(*group, "_pos")
-    return ordered.groupBy(*group).applyInPandas(follow, schema)
+            if book is not None:
+                out += book.take()
+            yield pd.DataFrame(out, columns=names)
+        if book is not None:
+            yield pd.DataFrame(book.end(flush), columns=names)
+
+    # A session's rows are in one partition, next to each other and in arrival order.
+    ordered = parts.select(*group, "_kind", "_t", "_pos", "_fire_pos").repartition(*group).sortWithinPartitions(
+        *group, "_pos"
+    )
+    return ordered.mapInPandas(follow, schema)
 
 
 def _steps(df, rows, decision, time, pos, policy, keys, moves, nothing) -> DataFrame:
@@ -172,13 +182,17 @@ def _steps(df, rows, decision, time, pos, policy, keys, moves, nothing) -> DataF
 class _Book:
     """The open parts of one session while its rows come in arrival order."""
 
-    def __init__(self, policy: SessionPolicy, repeat: bool):
-        self.policy, self.repeat = policy, repeat
+    def __init__(self, policy: SessionPolicy, repeat: bool, key: list):
+        self.policy, self.repeat, self.key = policy, repeat, key
         self.parts: list[dict] = []
         self.out: list[tuple] = []
 
     def _report(self, part: dict, kind: str) -> None:
-        self.out.append((part["first"], part["last"] + self.policy.gap, kind, part["count"]))
+        self.out.append((part["first"], part["last"] + self.policy.gap, *self.key, kind, part["count"]))
+
+    def take(self) -> list[tuple]:
+        out, self.out = self.out, []
+        return out
 
     def _fire_until(self, at) -> None:
         for part in self.parts:
@@ -216,13 +230,9 @@ class _Book:
                 self._report(part, "repeat" if part["fired"] else "on_time")
                 part["fired"] = True
 
-    def end(self, flush: bool) -> None:
+    def end(self, flush: bool) -> list[tuple]:
         for part in self.parts:
             if not part["fired"] and (flush or part["fire_at"] is not None):
                 part["fired"] = True
                 self._report(part, "on_time")
-
-    def take(self, key: tuple, names: list[str]) -> pd.DataFrame:
-        frame = pd.DataFrame([(s, e, *key, kind, n) for s, e, kind, n in self.out], columns=names)
-        self.out = []
-        return frame
+        return self.take()
