@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A derived side is broadcast only after its row count was seen to be at most this many rows.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 
 
 def local_session(name: str = "tidemark", cores: str = "*", conf: dict | None = None) -> SparkSession:
