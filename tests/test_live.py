@@ -3,7 +3,6 @@ import os
 
 import pytest
 from data import DELAYED, INORDER, rows, table
-from pyspark.sql import functions as F
 
 from tidemark.operators.lateness import SlidingPolicy
 from tidemark.plans.profiles import PROFILES

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.ticks import floor_to
 from tidemark.operators.progress import first_reached
 from tidemark.operators.windows import window_starts
-from tidemark.session import BROADCAST_ROWS, at_most, broadcast_if_small, materialise
+from tidemark.session import BROADCAST_ROWS, at_most, materialise
 
 # Longest array handed from one row to the next step when a count is turned into rows.
 CHUNK = 1 << 16

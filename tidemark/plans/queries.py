@@ -12,7 +12,6 @@ from tidemark.operators import lateness, progress
 from tidemark.operators.averages import running_average
 from tidemark.operators.count_windows import count_windows, each_row_a_window
 from tidemark.operators.islands import sessions
-from tidemark.operators.lateness import SlidingPolicy
 from tidemark.operators.routing import is_control, split
 from tidemark.operators.session_panes import early_panes, session_panes
 from tidemark.operators.windows import COUNT, Agg, sliding, sliding_right_closed, tumbling
