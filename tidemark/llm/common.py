@@ -119,13 +119,27 @@ def arrays_of(parts: list, lengths: list[int], kind: pa.DataType) -> pa.Array:
 
 
 def flushes(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.Table]:
-    """Join Arrow batches to tables of about ``most_bytes`` or more, so that work in a table is worth its fixed cost."""
+    """Join and cut Arrow batches to tables of about ``most_bytes`` (one row may be larger), so that a table is worth
+    its fixed cost and fits in memory."""
     held, size = [], 0
     for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size >= most_bytes:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held, size = [], 0
+        step = max(1, batch.num_rows * most_bytes // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            held.append(part)
+            size += part.nbytes
+            if size >= most_bytes:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
     if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        yield pa.Table.from_batches(held)
+
+
+#: The Arrow types of the column types that results use.
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(),
+          "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    """``name type, ...`` as an Arrow schema."""
+    return pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in ddl.split(","))])

@@ -5,20 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
+from tidemark.llm import simhash, suffixes
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.repeat_digests(table(spark, folder, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
 
 SQL: dict[str, str] = {}
+
+SQL["op1_substring_dedup"] = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, i, list_slice(ws, i, i + 12) AS w
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM words)
+), firsts AS (
+  SELECT w, min(doc_id) AS first_doc FROM windows GROUP BY w
+), hits AS (
+  SELECT doc_id, unnest(range(i, i + 13)) AS at FROM windows JOIN firsts USING (w) WHERE first_doc < doc_id
+), removed AS (
+  SELECT doc_id, list(DISTINCT at) AS gone FROM hits GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string([ws[j] FOR j IN range(1, len(ws) + 1) IF gone IS NULL OR NOT list_contains(gone, j)], ' '), '')) AS kept_sha256
+FROM words LEFT JOIN removed USING (doc_id)
+"""
