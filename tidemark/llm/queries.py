@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash, suffixes
+from tidemark.llm import simhash, suffixes, winnowing
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,6 +16,14 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.repeat_digests(table(spark, folder, "documents"))
 
 
+def op2_winnowing_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = winnowing.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -23,6 +31,7 @@ def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_winnowing_decontamination": op2_winnowing_decontamination,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
 
@@ -37,11 +46,35 @@ WITH words AS (
 ), firsts AS (
   SELECT w, min(doc_id) AS first_doc FROM windows GROUP BY w
 ), hits AS (
-  SELECT doc_id, unnest(range(i, i + 13)) AS at FROM windows JOIN firsts USING (w) WHERE first_doc < doc_id
+  SELECT doc_id, unnest(range(i, i + 13)) AS pos FROM windows JOIN firsts USING (w) WHERE first_doc < doc_id
 ), removed AS (
-  SELECT doc_id, list(DISTINCT at) AS gone FROM hits GROUP BY doc_id
+  SELECT doc_id, list(DISTINCT pos) AS gone FROM hits GROUP BY doc_id
 )
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
   sha256(coalesce(array_to_string([ws[j] FOR j IN range(1, len(ws) + 1) IF gone IS NULL OR NOT list_contains(gone, j)], ' '), '')) AS kept_sha256
 FROM words LEFT JOIN removed USING (doc_id)
 """
+
+SQL["op2_winnowing_decontamination"] = r"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), item_words AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item_id, least(13, len(ws)) AS n, list_slice(ws, i, i + least(13, len(ws)) - 1) AS w
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 11, 2))) AS i FROM item_words WHERE len(ws) > 0)
+), doc_windows AS (
+  SELECT doc_id, n, i, list_slice(ws, i, i + n - 1) AS w
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM doc_words, (SELECT DISTINCT n FROM item_windows))
+), found AS (
+  SELECT doc_id, item_id, i, n FROM doc_windows JOIN item_windows USING (n, w)
+), hit AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM found) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
