@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, simhash, suffixes, winnowing
+from tidemark.llm import packing, secrets, simhash, suffixes, winnowing
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_winnowing_decontamination(spark: SparkSession, folder: str) -> DataFrame
     )
 
 
+def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_report(table(spark, folder, "documents"))
+
+
 def op6_mixture_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
@@ -36,6 +40,7 @@ def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_winnowing_decontamination": op2_winnowing_decontamination,
+    "op3_secret_scan": op3_secret_scan,
     "op6_mixture_packing": op6_mixture_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
