@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, secrets, simhash, suffixes, winnowing
+from tidemark.llm import packing, quality, secrets, simhash, suffixes, winnowing
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_report(table(spark, folder, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op6_mixture_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
@@ -41,6 +45,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_winnowing_decontamination": op2_winnowing_decontamination,
     "op3_secret_scan": op3_secret_scan,
+    "op4_quality_classifier": op4_quality_classifier,
     "op6_mixture_packing": op6_mixture_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
