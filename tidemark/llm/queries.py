@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, quality, secrets, simhash, suffixes, winnowing
+from tidemark.llm import language, packing, quality, secrets, simhash, suffixes, winnowing
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_winnowing_decontamination": op2_winnowing_decontamination,
@@ -48,6 +52,7 @@ QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op6_mixture_packing": op6_mixture_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_language_id": op8_language_id,
 }
 
 SQL: dict[str, str] = {}
