@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, packing, quality, secrets, simhash, suffixes, winnowing
+from tidemark.llm import language, neighbours, packing, personal, quality, secrets, simhash, suffixes, winnowing
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,6 +45,14 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
 
 
+def op9_multi_index_hashing(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op10_anchor_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.personal_data(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_winnowing_decontamination": op2_winnowing_decontamination,
@@ -53,6 +61,8 @@ QUERIES = {
     "op6_mixture_packing": op6_mixture_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_language_id": op8_language_id,
+    "op9_multi_index_hashing": op9_multi_index_hashing,
+    "op10_anchor_pii": op10_anchor_pii,
 }
 
 SQL: dict[str, str] = {}
