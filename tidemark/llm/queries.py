@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, neighbours, packing, personal, quality, secrets, simhash, suffixes, winnowing
+from tidemark.llm import language, neighbours, packing, pages, personal, quality, secrets, simhash, suffixes, winnowing
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op5_site_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.main_text(table(spark, folder, "pages"))
+
+
 def op6_mixture_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op2_winnowing_decontamination": op2_winnowing_decontamination,
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_site_templates": op5_site_templates,
     "op6_mixture_packing": op6_mixture_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_language_id": op8_language_id,

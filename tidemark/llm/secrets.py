@@ -114,7 +114,8 @@ def secret_report(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
-    """``docs``, all columns and rows, with every secret in ``text`` replaced by ``mark`` (spans that overlap by one)."""
+    """``docs``, all columns and rows, with every secret in ``text`` replaced by ``mark`` (spans that overlap by one).
+    ``n_chars``, if there is such a column, becomes the new text's length where secrets were replaced."""
     row = Window.partitionBy("doc_id", "th").orderBy("start", "end")
     reach = F.max("end").over(row.rowsBetween(Window.unboundedPreceding, -1))
     runs = (
@@ -130,4 +131,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE) -> DataF
     kept = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("_hash"))
     joined = kept.join(cuts, F.expr("_doc <=> _id AND _hash = _th"), "left")
     new = joined.withColumn("_text", F.when(F.col("_cuts").isNotNull(), text).otherwise(F.col("text")))
-    return new.select(*[F.col("_text").alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
+    changed = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        length = F.length("_text").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("_cuts").isNotNull(), length).otherwise(F.col("_row")["n_chars"])
+    return new.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
