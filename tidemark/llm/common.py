@@ -16,8 +16,8 @@ from tidemark.session import ensure_checkpoint_dir
 #: Lower-cases A-Z only, other bytes stay.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
-# A worker forgets its word codes beyond this many, so that its memory stays bounded.
-_MOST_CODES = 1_000_000
+# A worker remembers this many word codes, so that its memory stays bounded.
+_MOST_CODES = 1 << 18
 
 # A derived table is hinted for broadcast only when it was counted and is below this many bytes.
 BROADCAST_BYTES = 16 << 20
@@ -33,8 +33,6 @@ class Codes(dict):
         return code
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) >= _MOST_CODES:
-            self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 

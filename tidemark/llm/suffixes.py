@@ -29,7 +29,7 @@ from tidemark.session import materialise
 # Suffixes of one group, at most (but for those that a whole window makes equal), and text bytes of one shard and task buffer.
 GROUP_SUFFIXES = 8 << 20
 SHARD_BYTES = 16 << 20
-BUFFER_BYTES = 12 << 20
+BUFFER_BYTES = 8 << 20
 
 _COUNTS = pa.schema([("level", pa.int32()), ("prefix", pa.int64()), ("n", pa.int64())])
 # a negative bin holds leaves that a task has settled already, for shard -1 - bin
