@@ -100,7 +100,7 @@ def links_of_run(fps: np.ndarray, nodes: np.ndarray, threshold: int) -> tuple[np
 def links_of_bin(anchor: np.ndarray, fp: np.ndarray, node: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between fingerprints of a common anchor; ``node`` names the fingerprints."""
     order = np.argsort(anchor, kind="stable")
-    anchor, fp, node = anchor[order], fp[order], node[order]
+    anchor, fp, node = anchor[order], fp[order].view(np.uint64), node[order]  # bits of signed numbers aren't counted as such
     begin = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.empty(0, int)
     size = np.diff(np.append(begin, len(anchor)))
     a, b = [], []
