@@ -120,10 +120,30 @@ class ProgressLog(StreamingQueryListener):
         self._write(json.dumps({"terminated": str(event.id)}))
 
 
-def dropped_late(query) -> int:
-    """Rows that the watermark dropped so far, over all stateful steps of the query."""
-    return sum(
-        operator["numRowsDroppedByWatermark"]
-        for progress in query.recentProgress
-        for operator in json.loads(progress.json)["stateOperators"]
-    )
+class DroppedLate(StreamingQueryListener):
+    """Counts the rows that the watermark dropped, over all batches and stateful steps of each query.
+
+    A query itself remembers only its last batches, so the counts are added up as batches end. Register it with
+    ``spark.streams.addListener`` before the query starts.
+    """
+
+    def __init__(self) -> None:
+        self._rows: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self._rows.setdefault(str(event.runId), 0)
+
+    def onQueryProgress(self, event) -> None:
+        progress = json.loads(event.progress.json)
+        dropped = sum(operator["numRowsDroppedByWatermark"] for operator in progress["stateOperators"])
+        self._rows[progress["runId"]] = self._rows.get(progress["runId"], 0) + dropped
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def rows(self, query) -> int:
+        """Rows dropped so far by this run of the query, as far as its batches were reported."""
+        return self._rows.get(str(query.runId), 0)

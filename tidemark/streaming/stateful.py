@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,9 @@ STATE_STORE = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
+# Rows of a key that are followed before their reports are passed on.
+_SLICE = 10_000
+
 PANE = "start_ms bigint, end_ms bigint, key string, pane_kind string, count bigint"
 
 
@@ -56,13 +60,11 @@ class _WindowPanes(StatefulProcessor):
         name, start = key
         start, end = int(start), int(start) + self.policy.size
         progress = timerValues.getCurrentWatermarkInMs()
-        frames = list(rows) if progress >= end + self.policy.accept else rows
         out = []
         if progress >= end + self.policy.accept:
             # only the last window of a row tells that no window took it
-            for frame in frames:
-                out += [(int(t), int(t), name, "late_row", 1) for t in frame["ts_ms"][frame["is_last"]]]
-            yield _frame(out)
+            for frame in rows:
+                yield _frame([(int(t), int(t), name, "late_row", 1) for t in frame["ts_ms"][frame["is_last"]]])
             return
         n, fired = self.state.get() if self.state.exists() else (0, progress >= end + self.policy.fire)
         if n == 0:
@@ -73,15 +75,15 @@ class _WindowPanes(StatefulProcessor):
             # progress went past the window in the batch before; the timer comes after these rows
             out.append((start, end, name, "on_time", n))
             fired = True
-        for frame in frames:
+        yield _frame(out)
+        for frame in rows:
             before, n = n, n + len(frame)
             if fired:
-                out += [(start, end, name, "late", i) for i in range(before + 1, n + 1)]
+                yield _frame([(start, end, name, "late", i) for i in range(before + 1, n + 1)])
             elif self.early_every:
                 step = self.early_every
-                out += [(start, end, name, "early", i) for i in range((before // step + 1) * step, n + 1, step)]
+                yield _frame([(start, end, name, "early", i) for i in range((before // step + 1) * step, n + 1, step)])
         self.state.update((n, fired))
-        yield _frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         name, start = key
@@ -117,11 +119,31 @@ def live_panes(
         .withColumn("start_ms", F.explode(window_starts(F.col("ts_ms"), policy.size, policy.slide)))
         .withColumn("is_last", F.col("start_ms") + policy.slide > F.col("ts_ms"))
     )
+    if policy.min_start is not None:
+        rows = rows.filter(F.col("start_ms") >= policy.min_start)
     return rows.groupBy("key", "start_ms").transformWithStateInPandas(
         _WindowPanes(policy, early_every), PANE, "Append", "EventTime"
     )
 
 
+def _in_arrival_order(frames: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+    """Times of a key's rows in a batch. How the rows are cut to frames must not matter, so with an arrival column all
+    of them are ordered together, held as two numbers each; without one they are taken as they come."""
+    first = next(frames, None)
+    if first is None:
+        return
+    if "arrival" not in first:
+        yield first["ts_ms"].to_numpy()
+        for frame in frames:
+            yield frame["ts_ms"].to_numpy()
+        return
+    held = [(f["arrival"].to_numpy(), f["ts_ms"].to_numpy()) for f in (first, *frames)]
+    arrival, ticks = (np.concatenate(column) for column in zip(*held))
+    ticks = ticks[np.argsort(arrival, kind="stable")]
+    for start in range(0, len(ticks), _SLICE):
+        yield ticks[start : start + _SLICE]
+
+
 class _SessionPanes(StatefulProcessor):
     """State per key: its open sessions."""
 
@@ -148,9 +170,10 @@ class _SessionPanes(StatefulProcessor):
         # timers come after the rows of a batch, so what progress has finished is finished here
         sessions, out = self._advance(name, progress)
         known = {s[1] for s in sessions}
-        for frame in rows:
-            for t in frame.sort_values("arrival")["ts_ms"] if "arrival" in frame else frame["ts_ms"]:
-                t = int(t)
+        yield _frame(out)
+        for ticks in _in_arrival_order(rows):
+            out = []
+            for t in ticks.tolist():
                 joins = [s for s in sessions if s[0] - t <= policy.reach and t - s[1] <= policy.reach]
                 first = min([t] + [s[0] for s in joins])
                 last = max([t] + [s[1] for s in joins])
@@ -162,11 +185,11 @@ class _SessionPanes(StatefulProcessor):
                 sessions = [s for s in sessions if s not in joins] + [merged]
                 if merged[3] and self.refire:
                     out.append((first, last + policy.gap, name, "late", merged[2]))
+            yield _frame(out)
         for last in {s[1] for s in sessions} - known:
             for at in {last + policy.gap + policy.fire, last + policy.gap + policy.alive}:
                 self.handle.registerTimer(max(at, progress + 1))
         self._keep(sessions)
-        yield _frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         progress = timerValues.getCurrentWatermarkInMs()
