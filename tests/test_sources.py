@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import bound_or_default, format_average, format_row, gmt_text
 from tidemark.functions.ticks import arrival_position, floor_div, floor_to, position_parts
+from tidemark.operators.lateness import SlidingPolicy, final_counts
 from tidemark.operators.routing import is_control, observed, split, without_control
+from tidemark.operators.session_policies import SessionPolicy
 from tidemark.sources.parsing import parse_lines
 from tidemark.sources.readers import read_events, topic_options, with_flush_row
 
@@ -58,11 +60,31 @@ def test_read_events_in_arrival_order(spark, tmp_path):
     one = tmp_path / "all.txt"
     one.write_text("\n".join(f"{t},{k},{v}" for t, k, v in DELAYED))
     events = read_events(spark, str(one), "storm")
-    flushed = with_flush_row(events).orderBy("pos").collect()
+    flushed = with_flush_row(events, SlidingPolicy(1000, 100)).orderBy("pos").collect()
     assert [r.ts_ms for r in flushed] == [t for t, _, _ in DELAYED] + [1500]
     assert flushed[-1].key == "W" and flushed[-1].pos == 15
 
 
+def test_a_flush_row_closes_all_windows(spark):
+    """Its time is past what the policy needs, whatever the size."""
+    events = spark.createDataFrame([(0, "A", 1), (3_600_000, "A", 2), (3_599_999, "A", 3)], "ts_ms bigint, key string, pos bigint")
+    events = events.withColumn("event_time", F.timestamp_millis("ts_ms"))
+    for policy in (SlidingPolicy(3_600_000, 600_000, -1, 60_000), SlidingPolicy(10, 20)):
+        flushed = with_flush_row(events, policy)
+        closed = final_counts(flushed, "ts_ms", "pos", policy, ["key"], flush=False).filter("key = 'A'")
+        full = final_counts(flushed, "ts_ms", "pos", policy, ["key"]).filter("key = 'A'")
+        assert {tuple(r) for r in closed.collect()} == {tuple(r) for r in full.collect()}
+    assert with_flush_row(events, SessionPolicy(5_000, alive=700)).agg(F.max("ts_ms")).first()[0] == 3_605_700
+
+
+def test_random_fill_does_not_follow_the_splits(spark):
+    lines = spark.createDataFrame([(i, f"{i},A") for i in range(2000)], "place bigint, value string")
+    fill = lambda df: {r.place: r.value for r in parse_lines(df, "flink", keep=["place"]).collect()}
+    one, many = fill(lines.coalesce(1)), fill(lines.repartition(7))
+    assert one == many and 19.5 < sum(one.values()) / 2000 < 20.5 and len(set(one.values())) > 500
+    assert 4 < (sum((v - 20) ** 2 for v in one.values()) / 2000) ** 0.5 < 6
+
+
 def test_topic_options():
     assert topic_options("host:1", "in")["startingOffsets"] == "earliest"
 
@@ -93,7 +115,7 @@ def test_ticks(spark):
     df = spark.createDataFrame([(v,) for v in (-11, -10, -1, 0, 9, 10)], "v bigint")
     got = df.select("v", floor_to(F.col("v"), 10).alias("to"), floor_div(F.col("v"), 10).alias("by")).collect()
     assert all(r.to == r.v // 10 * 10 and r.by == r.v // 10 for r in got)
-    pairs = [(5, 3), (5, 10**18), (6, 0), (10**17, 9 * 10**18)]
+    pairs = [(5, 3), (5, 10**18), (6, 0), (10**17, 9 * 10**18), (2**63 - 1, 2**63 - 1), (1_700_000_000 * 10**9, 0)]
     positions = spark.createDataFrame(pairs, "a bigint, i bigint").withColumn(
         "p", arrival_position(F.col("a"), F.col("i"))
     )

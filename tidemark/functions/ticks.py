@@ -35,15 +35,21 @@ def arrival_position(arrival: Column, tiebreak: Column) -> Column:
 
     A DECIMAL stays in the fixed-width part of an aggregation buffer, so ``min`` over it runs
     as a hash aggregate; a struct of the two columns would fall back to a sort aggregate.
-    Both inputs are LONG, ``tiebreak`` is not negative. A table that already has a unique
+    Both inputs are LONG over their whole range, ``tiebreak`` is not negative. A table that already has a unique
     LONG arrival number (a log offset, say) uses that column as the position directly.
     """
     shift = F.lit(_SHIFT).cast("decimal(20,0)")
     return (
-        (arrival.cast("decimal(18,0)") * shift).cast(POSITION) + tiebreak.cast("decimal(19,0)")
+        (arrival.cast("decimal(19,0)") * shift).cast(POSITION) + tiebreak.cast("decimal(19,0)")
     ).cast(POSITION)
 
 
+def never() -> Column:
+    """A position that no row comes after."""
+    last = F.lit(2**63 - 1).cast("bigint")
+    return arrival_position(last, last)
+
+
 def position_parts(position: Column) -> tuple[Column, Column]:
     """``(arrival, tiebreak)`` of such a number: two LONGs sort several times faster than it."""
     shift = F.lit(_SHIFT).cast("decimal(20,0)")

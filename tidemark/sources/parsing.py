@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import pi
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,7 +104,7 @@ def parse_lines(df: DataFrame, policy: ParsePolicy | str, line: str = "value", k
     if policy.missing_value == "zero":
         number = F.when(text_value.isNull(), F.lit(0.0)).otherwise(number)
     elif policy.missing_value == "random":
-        number = F.coalesce(number, F.round(F.randn(policy.seed) * 5 + 20, 2))
+        number = F.coalesce(number, F.round(_normal(keep, policy.seed) * 5 + 20, 2))
     elif policy.missing_value == "empty":
         text_value = F.coalesce(text_value, F.lit(""))
 
@@ -121,5 +122,15 @@ def parse_lines(df: DataFrame, policy: ParsePolicy | str, line: str = "value", k
     return parsed.withColumn("event_time", F.timestamp_millis("ts_ms"))
 
 
+def _normal(keep: list[str], seed: int) -> Column:
+    """A normal number that is fixed by the line, what is kept beside it (its place, say) and the seed, so that it
+    doesn't change with how the input is split. (Two uniform numbers from hashes, and the Box-Muller transform.)"""
+    uniform = [
+        (F.pmod(F.xxhash64(F.lit(seed), F.lit(part), F.col("_line"), *keep), F.lit(1 << 53)) + F.lit(0.5)) / float(1 << 53)
+        for part in (1, 2)
+    ]
+    return F.sqrt(-2 * F.log(uniform[0])) * F.cos(uniform[1] * (2 * pi))
+
+
 def _problem(what: str) -> Column:
     return F.concat(F.lit(what + ": "), F.col("_line"))

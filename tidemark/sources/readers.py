@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.lateness import SlidingPolicy
 from tidemark.operators.running import MAX_GROUP_ROWS, Running, running
+from tidemark.operators.session_policies import SessionPolicy
 from tidemark.sources.parsing import ParsePolicy, parse_lines
 
 
@@ -31,20 +33,29 @@ def read_events(
     return running(parsed, [], ["arrival"], {"pos": Running("count")}, max_group_rows).drop("arrival")
 
 
-def stream_lines(spark: SparkSession, folder: str, files_per_trigger: int | None = 1) -> DataFrame:
-    """New files of a folder as a stream of lines, oldest file first."""
+def stream_lines(
+    spark: SparkSession, folder: str, files_per_trigger: int | None = None, arrival: str | None = None
+) -> DataFrame:
+    """New files of a folder as a stream of lines, oldest file first; ``files_per_trigger`` limits a batch.
+
+    ``arrival`` names a LONG column for the time the line's file was written, in microseconds: what a live policy takes
+    as order within a batch. Lines of one file have no order on a stream.
+    """
     reader = spark.readStream.format("text")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.load(folder)
+    lines = reader.load(folder)
+    return lines.select("value", F.unix_micros("_metadata.file_modification_time").alias(arrival)) if arrival else lines
 
 
 def stream_events(
-    spark: SparkSession, folder: str, policy: ParsePolicy | str = "spark", files_per_trigger: int | None = 1
+    spark: SparkSession, folder: str, policy: ParsePolicy | str = "spark", files_per_trigger: int | None = None,
+    arrival: str | None = None,
 ) -> DataFrame:
     """Parsed events of a watched folder. Lines without a usable time are dropped: a stream has
     no arrival order to take a time from."""
-    return parse_lines(stream_lines(spark, folder, files_per_trigger), policy).filter("event_time IS NOT NULL")
+    lines = stream_lines(spark, folder, files_per_trigger, arrival)
+    return parse_lines(lines, policy, keep=[arrival] if arrival else None).filter("event_time IS NOT NULL")
 
 
 def topic_options(servers: str, topic: str, starting: str = "earliest", **options: str) -> dict[str, str]:
@@ -55,14 +66,19 @@ def topic_options(servers: str, topic: str, starting: str = "earliest", **option
 def stream_topic(
     spark: SparkSession, servers: str, topic: str, policy: ParsePolicy | str = "kafka", **options: str
 ) -> DataFrame:
-    """Parsed events of a log topic."""
+    """Parsed events of a log topic, with ``partition`` and ``offset``: the order of arrival within a partition."""
     raw = spark.readStream.format("kafka").options(**topic_options(servers, topic, **options)).load()
-    return parse_lines(raw.select(F.col("value").cast("string").alias("value")), policy)
+    lines = raw.select(F.col("value").cast("string").alias("value"), "partition", "offset")
+    return parse_lines(lines, policy, keep=["partition", "offset"])
 
 
-def with_flush_row(events: DataFrame, control_key: str = "W", horizon_ms: int = 1000) -> DataFrame:
-    """Batch events plus one control row ``horizon_ms`` after the last one, arriving last: it closes
-    every window that is still open. Columns other than time, key and ``pos`` are NULL."""
+def with_flush_row(
+    events: DataFrame, closes: SlidingPolicy | SessionPolicy, control_key: str = "W"
+) -> DataFrame:
+    """Batch events plus one control row, arriving last and so far after the last event that it closes every window
+    or session that is still open under the policy ``closes`` (in milliseconds). Columns other than time, key and
+    ``pos`` are NULL."""
+    horizon_ms = closes.horizon
     flush = events.agg(F.max("ts_ms").alias("ts_ms"), F.max("pos").alias("pos")).select(
         *[
             {
