@@ -1,13 +1,16 @@
 """Sliding windows over row counts, in arrival order.
 
 A window of ``size`` rows fires at every ``slide``-th row of its group and covers the last
-``size`` rows up to there; rows after the last firing never fire. Every row goes to the few
-firings that cover it, and each firing is an ordinary group of at most ``size`` rows. Only the
-row number needs the order, and ``running`` spreads a hot key over many tasks for that.
+``size`` rows up to there; rows after the last firing never fire. Rows are first aggregated
+to slices of ``gcd(size, slide)`` row numbers; the few slices, not the rows, go to the firings
+that cover them. Only the row number needs the order, and ``running`` spreads a hot key over
+many tasks for that.
 """
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,19 +30,28 @@ def count_windows(
     """``keys, firing, min_ts, max_ts, count``: ``firing`` is the row number that fired the window."""
     order = [pos] if isinstance(pos, str) else pos
     numbered = running(df.select(*keys, time, *order), keys, order, {"_rn": Running("count")}, max_group_rows)
-    # The firing windows that cover row rn: multiples of slide in [rn, rn + size - 1].
-    first = floor_div(F.col("_rn") + (slide - 1), slide) * slide
-    last = floor_div(F.col("_rn") + (size - 1), slide) * slide
+    # Firings and window bounds are multiples of this many rows, so a window is made of whole slices.
+    slice_rows = gcd(size, slide)
+    slices = numbered.groupBy(*keys, floor_div(F.col("_rn") + (slice_rows - 1), slice_rows).alias("_slice")).agg(
+        F.min(time).alias("min_ts"),
+        F.max(time).alias("max_ts"),
+        F.count(F.lit(1)).alias("count"),
+        F.max("_rn").alias("_reached"),
+    )
+    # The firings that cover the slice that ends at row e: multiples of slide in [e, e + size - slice_rows].
+    end = F.col("_slice") * slice_rows
+    first = floor_div(end + (slide - 1), slide) * slide
+    last = floor_div(end + (size - slice_rows), slide) * slide
     step = F.lit(slide).cast("bigint")
-    # with slide > size a row may be covered by no firing at all
-    covering = numbered.filter(first <= last).withColumn("firing", F.explode(F.sequence(first, last, step)))
+    # with slide > size a slice may be covered by no firing at all
+    covering = slices.filter(first <= last).withColumn("firing", F.explode(F.sequence(first, last, step)))
     return (
         covering.groupBy(*keys, "firing")
         .agg(
-            F.min(time).alias("min_ts"),
-            F.max(time).alias("max_ts"),
-            F.count(F.lit(1)).alias("count"),
-            F.max("_rn").alias("_reached"),
+            F.min("min_ts").alias("min_ts"),
+            F.max("max_ts").alias("max_ts"),
+            F.sum("count").alias("count"),
+            F.max("_reached").alias("_reached"),
         )
         .filter(F.col("_reached") == F.col("firing"))
         .select(*keys, "firing", "min_ts", "max_ts", "count")

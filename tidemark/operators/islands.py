@@ -135,12 +135,16 @@ def sessions(
     """Aggregates per session: ``[first, last + gap)`` of rows that follow each other within ``gap``.
 
     ``inclusive=False`` keeps two sessions apart that only touch (distance exactly ``gap``).
-    Aggregates are those whose partial form is a single column (count, sum, min, max).
+    Rows without a time are in no session (``routing.without_time`` gives them).
     """
-    points = df.groupBy(*keys, time).agg(*partial_columns(aggs))
-    how = {name: "sum" if agg.kind == "count" else agg.kind for name, agg in aggs.items()}
+    points = df.filter(F.col(time).isNotNull()).groupBy(*keys, time).agg(*partial_columns(aggs))
+    how = {column: "sum" if agg.kind in ("count", "avg") else agg.kind for name, agg in aggs.items() for column in agg.partials(name)}
+    results = [
+        (F.col(f"{name}__sum") / F.nullif(F.col(f"{name}__n"), F.lit(0))).alias(name) if agg.kind == "avg" else F.col(name)
+        for name, agg in aggs.items()
+    ]
     return islands(points, time, keys, how, gap, inclusive, block=block).select(
-        F.col("first").alias(start), (F.col("last") + gap).alias(end), *keys, *aggs
+        F.col("first").alias(start), (F.col("last") + gap).alias(end), *keys, *results
     )
 
 

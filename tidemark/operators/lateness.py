@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.ticks import floor_to
 from tidemark.operators.progress import first_reached
 from tidemark.operators.windows import window_starts
-from tidemark.session import BROADCAST_ROWS, at_most, materialise
+from tidemark.session import BROADCAST_BYTES, BROADCAST_ROWS, at_most, materialise
+
+# Bytes of one window in a pane's list: its start, two positions and their places.
+_WINDOW_BYTES = 88
 
 # Longest array handed from one row to the next step when a count is turned into rows.
 CHUNK = 1 << 16
@@ -45,6 +48,11 @@ class SlidingPolicy:
     def pane(self) -> int:
         return gcd(self.size, self.slide)
 
+    @property
+    def horizon(self) -> int:
+        """Ticks after an event at which progress has fired and closed all its windows."""
+        return self.size + max(self.fire, self.accept, 0)
+
     @property
     def most_windows(self) -> int:
         return -(-self.size // self.slide)
@@ -75,7 +83,8 @@ def _closing_positions(
             reached["accept"].alias("accept_start"),
         ).agg(F.min(observed_pos).alias("pos"))
     )
-    small = at_most(seen, BROADCAST_ROWS)
+    # a row of ``seen`` is exploded to its windows, and its list holds them all
+    small = at_most(seen, min(BROADCAST_ROWS, BROADCAST_BYTES // _WINDOW_BYTES) // policy.most_windows)
     starts = window_starts(F.col("pane"), policy.size, policy.slide)
     used = seen.select("pane", F.explode(starts).alias("start"))
     if policy.min_start is not None:

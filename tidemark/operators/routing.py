@@ -18,6 +18,11 @@ def without_control(df: DataFrame, key: str, control_key: str, ignore_case: bool
     return df.filter(~is_control(key, control_key, ignore_case))
 
 
+def without_time(df: DataFrame, time: str) -> DataFrame:
+    """The rows that windows and sessions leave out: their time is NULL."""
+    return df.filter(F.col(time).isNull())
+
+
 def split(df: DataFrame, *predicates: Column) -> list[DataFrame]:
     """One DataFrame per predicate; a row goes to the first predicate it meets, others nowhere."""
     branches, taken = [], F.lit(False)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ticks import POSITION, arrival_position, floor_div
+from tidemark.functions.ticks import POSITION, floor_div, never
 from tidemark.operators.islands import block_size, islands, label_islands, range_min_ahead
 from tidemark.operators.progress import first_reached
 from tidemark.operators.running import MAX_GROUP_ROWS, Running, running
@@ -54,6 +54,11 @@ class SessionPolicy:
     accept: int = 0
     pre_merge: bool = False
 
+    @property
+    def horizon(self) -> int:
+        """Ticks after an event at which progress has fired and removed its session."""
+        return self.gap + max(self.fire, self.alive, self.accept, 0)
+
     @property
     def reach(self) -> int:
         """How far ahead a row of the same session can be."""
@@ -227,10 +232,9 @@ def _offered_session(
     )
     # The first stretch that had not ended when the row came. Stretches end in time order, so it
     # is the smallest one among those that end at or after the row's position.
-    never = arrival_position(F.lit(10**18 - 1), F.lit(0))
     ends = stretches.select(
         *keys,
-        F.coalesce("_dies", never).alias("_at"),
+        F.coalesce("_dies", never()).alias("_at"),
         F.lit(1).alias("_is_end"),
         F.col("_stretch").alias("_candidate"),
         F.lit(None).cast("bigint").alias("_t"),

@@ -73,9 +73,10 @@ def sliding(
     start: str = "start",
     end: str = "end",
 ) -> DataFrame:
-    """Aggregates per ``[start, end)`` window of ``size`` every ``slide``, per key (none: all rows)."""
+    """Aggregates per ``[start, end)`` window of ``size`` every ``slide``, per key (none: all rows).
+    Rows without a time are in no window (``routing.without_time`` gives them)."""
     pane = gcd(size, slide)
-    panes = df.groupBy(*keys, floor_to(F.col(time), pane).alias("_pane")).agg(*partial_columns(aggs))
+    panes = df.filter(F.col(time).isNotNull()).groupBy(*keys, floor_to(F.col(time), pane).alias("_pane")).agg(*partial_columns(aggs))
     if size == slide:
         # the pane is the window: the second aggregation finds its rows already in place
         windows = panes.withColumnRenamed("_pane", start)
@@ -101,7 +102,7 @@ def sliding_right_closed(
 
 def native_sliding(df: DataFrame, time: str, size: str, slide: str, keys: list[str]) -> DataFrame:
     """Count per window and key with Spark's window expression; works on streams too."""
-    counted = df.groupBy(F.window(time, size, slide).alias("win"), *keys).count()
+    counted = df.filter(F.col(time).isNotNull()).groupBy(F.window(time, size, slide).alias("win"), *keys).count()
     return window_bounds_ms(counted, keys)
 
 
@@ -113,7 +114,7 @@ def native_session(df: DataFrame, time: str, gap: str, keys: list[str], counted:
     and control rows would then stop moving it.
     """
     one = F.lit(1) if counted is None else F.when(counted, 1).otherwise(0)
-    sessions = df.groupBy(F.session_window(time, gap).alias("win"), *keys).agg(F.sum(one).alias("count"))
+    sessions = df.filter(F.col(time).isNotNull()).groupBy(F.session_window(time, gap).alias("win"), *keys).agg(F.sum(one).alias("count"))
     return window_bounds_ms(sessions, keys)
 
 

@@ -20,7 +20,7 @@ from tidemark.operators.windows import COUNT, sliding_right_closed
 
 @dataclass(frozen=True)
 class Profile:
-    """One set of rules. ``control``: ``count`` control rows like any other, report them as
+    """One set of rules. ``lag`` is how far progress trails the largest time (right-closed windows). ``control``: ``count`` control rows like any other, report them as
     ``zero`` (sessions only), ``leave_out`` their results, or let them only carry ``progress``."""
 
     name: str
@@ -29,6 +29,7 @@ class Profile:
     session_alive: int = 0
     session_accept: int = 0
     lateness: int = 0
+    lag: int = 0
     pre_merge: bool = False
     touching_merge: bool = True
     control: str = "count"
@@ -67,8 +68,13 @@ class Profile:
         """
         control = is_control(key, control_key, self.ignore_case)
         if self.right_closed:
-            timely = lateness.not_behind(df, time, pos, self.lateness)
-            return sliding_right_closed(timely.filter(~control), time, size, slide, keys, COUNT)
+            timely = lateness.not_behind(df, time, pos, self.lag)
+            windows = sliding_right_closed(timely.filter(~control), time, size, slide, keys, COUNT)
+            if self.flush:
+                return windows
+            # without an end of input only windows that progress reached are reported
+            reached = df.agg(F.max(time)).first()[0]
+            return windows.filter(F.col("end") <= F.lit(reached).cast("bigint") - self.lag)
         counted = None if self.control == "count" else ~control
         moves = control if self.control == "progress" else None
         return lateness.final_counts(

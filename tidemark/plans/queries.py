@@ -12,7 +12,7 @@ from tidemark.operators import lateness, progress
 from tidemark.operators.averages import running_average
 from tidemark.operators.count_windows import count_windows, each_row_a_window
 from tidemark.operators.islands import sessions
-from tidemark.operators.routing import is_control, split
+from tidemark.operators.routing import is_control, split, without_time
 from tidemark.operators.session_panes import early_panes, session_panes
 from tidemark.operators.windows import COUNT, Agg, sliding, sliding_right_closed, tumbling
 from tidemark.plans.profiles import PROFILES, profile_diff
@@ -122,6 +122,26 @@ def session_count_keyed(spark, folder):
     return sessions(events(spark, folder), "us", GAP_US, ["key"], **US)
 
 
+@query("session_avg", _SESSION_SQL.format(ev=EV, part="key", key="key,", test="<= 600000000", count="round(avg(value), 6)"))
+def session_avg(spark, folder):
+    found = sessions(events(spark, folder), "us", GAP_US, ["key"], {"count": Agg("avg", F.col("value"))}, **US)
+    return found.withColumn("count", F.round("count", 6))
+
+
+@query(
+    "null_times_set_aside",
+    f"""WITH {EV}, o AS (SELECT key, CASE WHEN event_id % 7 <> 0 THEN us END AS us FROM ev)
+SELECT us // 3600000000 * 3600000000 AS start_us, key, count(*) AS count FROM o WHERE us IS NOT NULL GROUP BY ALL
+UNION ALL SELECT NULL, key, count(*) FROM o WHERE us IS NULL GROUP BY ALL""",
+)
+def null_times_set_aside(spark, folder):
+    """Rows without a time are in no window; they are counted apart."""
+    odd = events(spark, folder).withColumn("us", F.when(F.col("event_id") % 7 != 0, F.col("us")))
+    windows = tumbling(odd, "us", SIZE_US, ["key"], **US).select("start_us", "key", "count")
+    aside = without_time(odd, "us").groupBy("key").agg(F.count(F.lit(1)).alias("count"))
+    return windows.unionByName(aside.withColumn("start_us", F.lit(None).cast("bigint")))
+
+
 @query("session_count_all", _SESSION_SQL.format(ev=EV, part="1", key="", test="<= 600000000", count="count(*)"))
 def session_count_all(spark, folder):
     return sessions(events(spark, folder), "us", GAP_US, [], **US)
@@ -164,6 +184,11 @@ def count_window_all(spark, folder):
     return count_windows(replay(spark, folder), "t", ARRIVAL, 5, 2, [])
 
 
+@query("count_window_wide", _COUNT_WINDOW_SQL.format(arr=ARR, part="key", key="key,", before=999, slide=100))
+def count_window_wide(spark, folder):
+    return count_windows(replay(spark, folder), "t", ARRIVAL, 1000, 100, ["key"])
+
+
 @query("count_window_tumbling", _COUNT_WINDOW_SQL.format(arr=ARR, part="1", key="", before=0, slide=1))
 def count_window_tumbling(spark, folder):
     return each_row_a_window(replay(spark, folder), "t", ARRIVAL)
@@ -290,7 +315,8 @@ def sliding_on_time_kafka_grace(spark, folder):
     f"""WITH {ARR}, w AS (
   SELECT *, ((t - 1) // 15 - j) * 15 AS s FROM (SELECT *, unnest(generate_series(0, 3)) AS j FROM arr)
   WHERE key <> 'signup' AND (wm IS NULL OR t >= wm))
-SELECT s AS start, s + 60 AS "end", key, count(*) AS count FROM w GROUP BY s, key""",
+SELECT s AS start, s + 60 AS "end", key, count(*) AS count FROM w
+WHERE s + 60 <= (SELECT max(t) FROM ev) GROUP BY s, key""",
 )
 def sliding_on_time_storm(spark, folder):
     return PROFILES["storm"].sliding(replay(spark, folder), "t", "pos", SIZE, SLIDE, ["key"], CONTROL)
@@ -692,13 +718,66 @@ def session_early_panes(spark, folder):
     return early_panes(replay(spark, folder), "t", "pos", policy, ["key"], every=2)
 
 
-@query("session_panes_with_lateness")
+# All reports of sessions: ``d`` marks those that have fired. In the second form the rows of a key are mixed with the
+# control rows that move progress, since every such step reports.
+_PART = "{{'f': least(t, coalesce(list_min(list_transform(joins, lambda x: x.f)), t)), " \
+    "'l': greatest(t, coalesce(list_max(list_transform(joins, lambda x: x.l)), t)), " \
+    "'c': 1 + coalesce(list_sum(list_transform(joins, lambda x: x.c))::BIGINT, 0), " \
+    "'d': coalesce(list_bool_or(list_transform(joins, lambda x: x.d)), FALSE)}}"
+_SESSION_REPORTS_SQL = """WITH RECURSIVE {arr}, {rows},
+steps AS (
+  SELECT key, 0::BIGINT AS r, []::STRUCT(f BIGINT, l BIGINT, c BIGINT, d BOOLEAN)[] AS live,
+         []::STRUCT(f BIGINT, l BIGINT, c BIGINT, kind VARCHAR)[] AS reports
+  FROM (SELECT DISTINCT key FROM k)
+  UNION ALL
+  SELECT key, r,
+         CASE WHEN step OR NOT take THEN still ELSE list_append(list_filter(still, lambda x: NOT ({near})),
+           {{'f': m.f, 'l': m.l, 'c': m.c, 'd': m.d OR {at_once}}}) END,
+         CASE WHEN NOT step AND take AND (m.d OR {at_once})
+              THEN list_append(told, {{'f': m.f, 'l': m.l, 'c': m.c, 'kind': 'late'}}) ELSE told END
+  FROM (SELECT *, wm IS NULL OR wm < m.l + 10 + {accept} AS take FROM (
+    SELECT *, """ + _PART + """ AS m FROM (
+      SELECT *, list_filter(still, lambda x: {near}) AS joins FROM (
+        SELECT k.key, k.r, k.t, k.wm, k.step, k.p,
+               list_transform(list_filter(s.live, lambda x: {tells}),
+                 lambda x: {{'f': x.f, 'l': x.l, 'c': x.c, 'kind': CASE WHEN x.d THEN 'repeat' ELSE 'on_time' END}}) AS told,
+               list_transform(list_filter(s.live, lambda x: k.p IS NULL OR k.p < x.l + 10 + {alive}),
+                 lambda x: {{'f': x.f, 'l': x.l, 'c': x.c, 'd': x.d OR coalesce(k.p >= x.l + 10 + {fire}, FALSE)}}) AS still
+        FROM steps s JOIN k ON k.key = s.key AND k.r = s.r + 1))))),
+found AS (
+  SELECT key, unnest(reports) AS x FROM steps
+  UNION ALL
+  SELECT key, {{'f': x.f, 'l': x.l, 'c': x.c, 'kind': 'on_time'}} FROM
+    (SELECT key, unnest(arg_max(live, r)) AS x FROM steps GROUP BY key) WHERE {flush} AND NOT x.d)
+SELECT x.f AS start, x.l + 10 AS "end", key, x.kind AS pane_kind, x.c AS count FROM found"""
+_PANES_WITH_LATENESS_SQL = _SESSION_REPORTS_SQL.format(
+    arr=ARR,
+    rows="""k AS (SELECT key, t, wm, wm AS p, FALSE AS step, row_number() OVER (PARTITION BY key ORDER BY n) AS r FROM arr)""",
+    near="x.f - t <= 10 AND t - x.l <= 10", at_once="coalesce(wm >= m.l + 9, FALSE)", accept=9, alive=9, fire=-1,
+    tells="NOT x.d AND coalesce(k.p >= x.l + 9, FALSE)", flush="TRUE",
+)
+_PANES_REPEATED_SQL = _SESSION_REPORTS_SQL.format(
+    arr=ARR,
+    rows="""moved AS (SELECT * EXCLUDE (wm), max(CASE WHEN key = 'signup' THEN t END) OVER
+  (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wm FROM arr),
+mixed AS (
+  SELECT key, n, t, wm, NULL::BIGINT AS p, FALSE AS step FROM moved WHERE key <> 'signup'
+  UNION ALL
+  SELECT d.key, m.n, m.t, m.wm, m.t AS p, TRUE FROM moved m, (SELECT DISTINCT key FROM ev WHERE key <> 'signup') d
+  WHERE m.key = 'signup' AND (m.wm IS NULL OR m.t > m.wm)),
+k AS (SELECT key, t, wm, p, step, row_number() OVER (PARTITION BY key ORDER BY n) AS r FROM mixed)""",
+    near="x.f - t < 10 AND t - x.l < 10", at_once="FALSE", accept=10, alive=11, fire=0,
+    tells="k.step AND k.p >= x.l + 10", flush="FALSE",
+)
+
+
+@query("session_panes_with_lateness", _PANES_WITH_LATENESS_SQL)
 def session_panes_with_lateness(spark, folder):
     policy = PROFILES["flink"].with_lateness(LATENESS).session_policy(GAP)
     return session_panes(replay(spark, folder), "t", "pos", policy, ["key"])
 
 
-@query("session_panes_repeated")
+@query("session_panes_repeated", _PANES_REPEATED_SQL)
 def session_panes_repeated(spark, folder):
     policy = PROFILES["storm"].with_lateness(LATENESS).session_policy(GAP)
     control = is_control("key", CONTROL)

@@ -7,8 +7,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A derived side is broadcast only after its row count was seen to be at most this many rows.
+# A derived side is broadcast only after its row count was seen to be at most this many rows,
+# and, if its rows hold lists, its size to be at most this many bytes.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
 def local_session(name: str = "tidemark", cores: str = "*", conf: dict | None = None) -> SparkSession:
@@ -60,8 +62,9 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def at_most(materialised: DataFrame, rows: int) -> bool:
-    """Does this (materialised) DataFrame have at most ``rows`` rows? Looks no further than that."""
-    return materialised.limit(rows + 1).count() <= rows
+    """Does this (materialised) DataFrame have at most ``rows`` rows? Its rows are written, so they are counted where
+    they are; a limit would send that many from every partition to one task."""
+    return materialised.count() <= rows
 
 
 def broadcast_if_small(df: DataFrame, rows: DataFrame | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
