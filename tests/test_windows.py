@@ -1,4 +1,7 @@
+from collections import Counter
+
 import brute
+import pytest
 from data import DELAYED, INORDER, collected, disordered, rows, table
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from tidemark.operators.lateness import SlidingPolicy
 from tidemark.operators.running import Running, running
 from tidemark.operators.windows import Agg, native_session, native_sliding, sliding, sliding_right_closed, tumbling
 from tidemark.plans.profiles import PROFILES, profile_diff
+from tidemark.plans.tables import replay
 
 WINDOW = ("start", "key", "count")
 
@@ -215,3 +219,29 @@ def test_profile_diff(spark):
         PROFILES["beam"].sliding(df, "t", "pos", 10, 2, ["key"]), ["key"],
     ).filter("key = 'A'").collect()
     assert [(r.start, r.left_count, r.right_count) for r in diff] == [(-8, 1, 2)]
+
+
+@pytest.mark.parametrize("name", ["flink", "kafka", "storm"])
+def test_shuffled_branches_give_the_same(spark, monkeypatch, name):
+    """Nothing is small: bounds go to blocks and lists are not broadcast."""
+    replayed = replay(spark, "/root/testdata/sf0.001")
+
+    def result():
+        return Counter(tuple(r) for r in PROFILES[name].sliding(replayed, "t", "pos", 60, 15, ["key"], "signup").collect())
+
+    want = result()
+    monkeypatch.setattr(lateness, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(progress, "BLOCK", 16)
+    assert result() == want and want
+
+
+def test_blocks_follow_the_density(spark, monkeypatch):
+    """Bounds far apart share blocks, so the window over all blocks stays short."""
+    monkeypatch.setattr(progress, "BLOCK", 8)
+    bounds = [i * 1_000_003 for i in range(400)]
+    position = {b: (i * 37) % 400 for i, b in enumerate(bounds)}
+    observed = spark.createDataFrame([(b, p) for b, p in position.items() if p % 3], "bound bigint, pos bigint")
+    probes = spark.createDataFrame([(b + d,) for b in bounds for d in (0, 5)], "bound bigint")
+    found = progress.first_reached(observed, probes, "bound", "pos", "at")
+    want = {b + d: min((p for c, p in position.items() if p % 3 and c >= b + d), default=None) for b in bounds for d in (0, 5)}
+    assert {r.bound: r["at"] for r in found.collect()} == want

@@ -298,28 +298,35 @@ def _acceptance(
     ``_most`` counts only rows known to be kept, ``_least`` also those that still may be. A row
     after ``_most`` of the ticks ahead joins, one not after ``_least`` does not; the others wait
     for the next round. The position at a tick depends on later ticks only, so the bounds meet.
+
+    The rows that were in time never change: what they say for a tick (``_in_time``) is looked up
+    once, and the rounds only look at ticks of late rows.
     """
     group = [*keys, "island"]
     at_tick = [*group, "_t"]
-    spine = points.select(*at_tick, F.col("_first_pos").alias("_most"), F.col("_first_pos").alias("_least"))
-    waiting = offered.filter(F.col("island").isNotNull())
+    columns = [*offered.columns, "_in_time"]
+    late = offered.filter(F.col("island").isNotNull())
     unknown = F.lit(None).cast(POSITION)
+    asked = materialise(late.groupBy(*at_tick).agg(F.min("_pos").alias("_least")))
+    in_time = range_min_ahead(
+        points.select(*at_tick, "_first_pos"), asked.select(*at_tick), group, "_t", {"_first_pos": "_in_time"}, policy.reach
+    )
     bounds = materialise(
-        waiting.groupBy(*at_tick).agg(F.min("_pos").alias("_least")).select(*at_tick, unknown.alias("_most"), "_least")
+        join_null_safe(asked, in_time, at_tick).select(*at_tick, unknown.alias("_most"), "_least", "_in_time")
     )
+    waiting = join_null_safe(late, bounds.select(*at_tick, "_in_time"), at_tick).select(*columns)
     settled = [offered.filter(F.col("island").isNull()).withColumn("_joins", F.lit(False))]
     ticks, rounds = bounds, 0
     while True:
         ahead = range_min_ahead(
-            spine.unionByName(bounds), ticks.select(*at_tick), group, "_t",
-            {"_most": "_after_most", "_least": "_after_least"}, policy.reach,
+            bounds, ticks.select(*at_tick), group, "_t", {"_most": "_after_most", "_least": "_after_least"}, policy.reach
         )
         judged = materialise(join_null_safe(waiting, ahead, at_tick))
-        joins = F.coalesce(F.col("_pos") > F.col("_after_most"), F.lit(False))
-        may_join = F.coalesce(F.col("_pos") > F.col("_after_least"), F.lit(False))
+        joins = F.coalesce(F.col("_pos") > F.least("_after_most", "_in_time"), F.lit(False))
+        may_join = F.coalesce(F.col("_pos") > F.least("_after_least", "_in_time"), F.lit(False))
         open_still = may_join & ~joins
         settled.append(judged.filter(~open_still).withColumn("_joins", joins).select(*offered.columns, "_joins"))
-        waiting = judged.filter(open_still).select(*offered.columns)
+        waiting = judged.filter(open_still).select(*columns)
         if waiting.isEmpty():
             break
         rounds += 1
@@ -334,38 +341,39 @@ def _acceptance(
             *at_tick,
             F.least("_most", "_new_most").alias("_most"),
             F.when(F.col("_seen"), F.least("_most", "_new_least")).otherwise(F.col("_least")).alias("_least"),
+            "_in_time",
             "_earliest",
             "_latest",
         )
         bounds = materialise(bounds)
         if rounds > _PLAIN_ROUNDS:
-            bounds = materialise(_along_ticks(bounds, spine, group, policy.reach, block_size(policy.reach, block)))
+            bounds = materialise(_along_ticks(bounds, group, policy.reach, block_size(policy.reach, block)))
         ticks = bounds.filter(F.col("_earliest").isNotNull())
-        bounds = bounds.select(*at_tick, "_most", "_least")
+        bounds = bounds.select(*at_tick, "_most", "_least", "_in_time")
     result = settled[0]
     for more in settled[1:]:
         result = result.unionByName(more)
     return result
 
 
-def _along_ticks(bounds: DataFrame, spine: DataFrame, group: list[str], reach: int, width: int) -> DataFrame:
+def _along_ticks(bounds: DataFrame, group: list[str], reach: int, width: int) -> DataFrame:
     """Tighten both bounds down runs of unsettled ticks, from late to early.
 
     One input row per tick, so a block of ``width`` ticks (and the first ``reach`` ticks of the
     next one, to read from) bounds the group; a run that crosses blocks goes on in the next round.
     """
-    columns = [*group, "_t", "_most", "_least", "_earliest", "_latest"]
+    columns = [*group, "_t", "_most", "_least", "_in_time", "_earliest", "_latest"]
     waits = F.col("_earliest").isNotNull()
     settled = bounds.filter(~waits)
     unsettled = bounds.filter(waits)
     outside = range_min_ahead(
-        spine.unionByName(settled.select(*spine.columns)), unsettled.select(*group, "_t"), group, "_t",
-        {"_most": "_outside"}, reach,
+        settled.select(*group, "_t", "_most"), unsettled.select(*group, "_t"), group, "_t", {"_most": "_outside"}, reach
     )
     own = floor_div(F.col("_t"), width)
     seen_by = F.array(own, floor_div(F.col("_t") - reach, width))
     frames = (
         join_null_safe(unsettled, outside, [*group, "_t"])
+        .withColumn("_outside", F.least("_outside", "_in_time"))
         .withColumns({"_own": own, "_tick_block": F.explode(F.array_distinct(seen_by))})
         .withColumn("_mine", F.col("_own") == F.col("_tick_block"))
     )
