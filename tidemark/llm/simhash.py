@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 3, width: int = 3) -> Data
     """
     rows = materialise(fingerprints(docs, width))
     nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("node")).filter("node is not null"))
-    roots = components(links(nodes, threshold))
+    roots = components(materialise(links(nodes, threshold)))
     named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
