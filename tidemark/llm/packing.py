@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from tidemark.llm.common import LOWER, shuffle_partitions, stash, text_bytes
 
@@ -31,7 +31,7 @@ END = 1
 MOST_QUEUES = 1024
 _BLOCK_DOCUMENTS = 1 << 15
 _UNIT = 1024  # shares of a window are held in parts of a token
-_MOST_WORDS = 1_000_000
+_MOST_WORDS = 1_500_000
 
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("queue", pa.string()), ("n", pa.int64()), ("ids", pa.binary())])
 _PIECES = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
@@ -40,8 +40,29 @@ _PIECES = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
+#: Punctuation that may follow a word of letters and is then a piece of its own.
+_AFTER = b".,;:!?*%$#&|)"
+
+
+class _Known(dict):
+    """Ids of words; those that there is no more room for are kept apart for a while."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.guests: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.guests[word]
+
+    def add(self, words: list[bytes], ids: list[bytes]) -> None:
+        room = max(0, _MOST_WORDS - len(self))
+        self.update(zip(words[:room], ids[:room]))
+        self.guests.update(zip(words[room:], ids[room:]))
+
+
 class WordTokenizer:
     """Token ids of texts, word by word: the vocabulary drops white space, so a text's ids are those of its words in turn.
+    Likewise a word of letters with punctuation after it has the ids of its two parts.
 
     Ids of up to ``_MOST_WORDS`` words are remembered; the others are encoded each time they come. New words are encoded
     many at a time; the vocabulary marks the end of each piece, which tells the words apart. Where that doesn't work out
@@ -55,34 +76,58 @@ class WordTokenizer:
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
         self.kind = np.uint16 if len(self.ends) <= 1 << 16 else np.uint32
-        self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
+        self.known = _Known()
+        # for lower-cased Latin letters the normaliser and the splitter have nothing to do
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def _encode(self, words: list[bytes], letters: bool) -> list[bytes]:
+        """The ids of each word; ``letters`` says that all are Latin letters only, and so one piece each."""
         text = " ".join([w.decode() for w in words])
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
-        normal = self.tokenizer.normalizer.normalize_str(text).split(" ")
-        pieces = np.array([len(_PIECE.findall(w)) for w in normal], np.int64)
+        if letters:
+            ids = np.array(self.plain.encode_batch_fast([text.lower()], add_special_tokens=False)[0].ids, np.int64)
+        else:
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        pieces = np.ones(len(words), np.int64)
+        if not letters:
+            pieces = np.array([len(_PIECE.findall(w)) for w in self.tokenizer.normalizer.normalize_str(text).split(" ")], np.int64)
         ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(normal) == len(words) and pieces.min() > 0 and len(ends) == pieces.sum() and ends[-1] == len(ids):
+        if len(pieces) == len(words) and pieces.min() > 0 and len(ends) == pieces.sum() and ends[-1] == len(ids):
             raw, width = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
             cuts = (ends[np.cumsum(pieces) - 1] * width).tolist()
             return [raw[s:e] for s, e in zip([0, *cuts[:-1]], cuts)]
         one_by_one = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in one_by_one]
 
+    def _learn(self, new: list[bytes]) -> None:
+        joined, plain, odd = [], set(), set()
+        for w in new:
+            core = w.rstrip(_AFTER)
+            text = core.decode()
+            if text.isalpha() and (core.isascii() or max(text) < "\u0250" and text.lower().isalpha()):
+                plain.add(core)
+                if len(core) < len(w):
+                    joined.append((w, core, w[len(core) :]))
+                    odd.add(w[len(core) :])
+            else:
+                odd.add(w)
+        for words, letters in ((plain, True), (odd, False)):
+            words = [w for w in words if w not in self.known]
+            for s in range(0, len(words), 1000):
+                self.known.add(words[s : s + 1000], self._encode(words[s : s + 1000], letters))
+        ids = self.known.__getitem__
+        self.known.add([w for w, _, _ in joined], [ids(core) + ids(tail) for _, core, tail in joined])
+
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text, as bytes."""
         # special tokens are told by their case, all other text is lower-cased by the vocabulary anyway
         split = [(t if b"<|" in t else t.translate(LOWER)).split() for t in (t or b"" for t in texts)]
-        known, fresh = self.known, {}
-        new = list({w for words in split for w in words if w not in known})
-        for s in range(0, len(new), 1000):
-            fresh.update(zip(new[s : s + 1000], self._encode(new[s : s + 1000])))
-        if room := max(0, _MOST_WORDS - len(known)):
-            known.update(list(fresh.items())[:room])
-        if len(known) < _MOST_WORDS:
-            return [b"".join(map(known.__getitem__, words)) for words in split]
-        return [b"".join([known.get(w) or fresh[w] if w in fresh or w in known else b"" for w in words]) for words in split]
+        self._learn([w for w in set().union(*split) if w not in self.known])
+        ids = self.known.__getitem__
+        out = [b"".join(map(ids, words)) for words in split]
+        self.known.guests.clear()
+        return out
 
 
 _loaded: dict[str, WordTokenizer] = {}
