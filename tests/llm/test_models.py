@@ -179,3 +179,16 @@ def test_neighbours_of_odd_rows(spark):
     few = vectors.filter("vec_id IN (0, 1, 100)")
     assert sorted((r.query_id, r["rank"]) for r in neighbours.nearest(few, few.vec_id % 20 == 0).collect()) == [(0, 1), (0, 2), (100, 1), (100, 2)]
     assert neighbours.nearest(vectors.filter("false"), vectors.vec_id % 20 == 0).count() == 0
+
+
+def test_many_parts_find_the_same(spark, monkeypatch):
+    """Parts and slices change who looks where, not what is found."""
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id < 300")
+
+    def found():
+        return {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in neighbours.nearest(vectors, vectors.vec_id % 20 == 0, k=10).collect()}
+
+    whole = found()
+    monkeypatch.setattr(neighbours, "_PART_BYTES", 64 * 8 * 50)
+    monkeypatch.setattr(neighbours, "_PART_QUERIES", 4)
+    assert found() == whole and len(whole) == 150
