@@ -32,8 +32,9 @@ SUBSTRING = 32  # bits
 SAMPLE_NUMBERS = 1 << 21  # of the sample that the rotations are learned from
 SAMPLE_QUERIES = 200
 AIM = 0.97
-_PART_ROWS = 1 << 14
-_PART_QUERIES = 1 << 14
+# Bytes of the vectors in one part of an index, which one task holds, and queries that it answers.
+_PART_BYTES = 1 << 25
+_PART_QUERIES = 1 << 11
 
 _FOUND = pa.schema([("q", pa.int64()), ("v", pa.int64()), ("score", pa.float64()), ("first_id", pa.int64())])
 
@@ -181,7 +182,7 @@ def _search(distinct: DataFrame, coder: Coder, dim: int, radius: int, k: int, n:
     """``q, v, score, first_id``: for each query its nearest vectors in each part of each index."""
     reach = radius // coder.substrings
     prefix = 0
-    while n >> prefix > _PART_ROWS and prefix < 16:
+    while (n >> prefix) * 8 * dim > _PART_BYTES and prefix < 16:
         prefix += 1
     slices = -(-n_queries // _PART_QUERIES)
     parts = np.arange(1 << prefix, dtype=np.uint32)
