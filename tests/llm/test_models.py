@@ -192,3 +192,42 @@ def test_many_parts_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "_PART_BYTES", 64 * 8 * 50)
     monkeypatch.setattr(neighbours, "_PART_QUERIES", 4)
     assert found() == whole and len(whole) == 150
+
+
+def test_substrings_hold_real_bits_only():
+    """Unit vectors have no length to speak of: 2 x 64 bits, four substrings of 32, none of padding."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((4000, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32).astype(float)
+    coder = neighbours.learn_coder(x, float(np.sqrt((x * x).sum(1).max())))
+    assert coder.axes.shape[1] == 128 and coder.substrings == 4 and coder.widths == [32] * 4
+    codes = coder.of_rows(x)
+    assert all(len(np.unique(codes[:, t])) > 3900 for t in range(4))
+    odd = neighbours.Coder(np.zeros(9), np.eye(9, 65), 1.0)
+    assert odd.widths == [22, 22, 21] and odd.of_rows(np.ones((1, 8))).tolist() == [[(1 << 8) - 1, 0, 0]]
+
+
+def test_groups_stay_within_their_bound(spark, monkeypatch):
+    """A part with most of the vectors is dealt to several groups, and the same is found."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((600, 8)) * 0.01 + np.array([5.0] + [0.0] * 7)
+    x[:20] += rng.standard_normal((20, 8)) * 3
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+
+    def found():
+        return {(r.query_id, r["rank"]): r.vec_id for r in neighbours.nearest(vectors, vectors.vec_id % 20 == 0, k=5).collect()}
+
+    whole, sizes = found(), []
+    monkeypatch.setattr(neighbours, "_PART_BYTES", 64 * 40)
+    monkeypatch.setattr(neighbours, "_PART_QUERIES", 8)
+    group_by = type(vectors).groupBy
+
+    def watched(df, *keys):
+        if "share" in [k for k in keys if isinstance(k, str)]:
+            sizes.extend((r["query"], r["count"]) for r in group_by(df, *keys, "query").count().collect())
+        return group_by(df, *keys)
+
+    monkeypatch.setattr(type(vectors), "groupBy", watched)
+    assert found() == whole
+    # dealt by a hash, so about the bound
+    assert max(n for query, n in sizes if not query) <= 60 and max(n for query, n in sizes if query) <= 20

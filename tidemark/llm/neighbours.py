@@ -7,9 +7,10 @@ principle), so probing each index that far retrieves every code within the radiu
 products of the original vectors. The radius is the one within which a stated share of true neighbours lies, measured by
 brute force for a bounded sample of the queries against all rows.
 
-An index is dealt out by the first bits of its substring, and a query goes to those parts its probes can reach. Every
-part ranks what it retrieves and reports each query's nearest, so no pairs are shuffled. Equal vectors are searched, and
-stand as candidates, once.
+An index is dealt out by the first bits of its substring, and a query goes to those parts its probes can reach. Parts
+are counted first: the vectors of one too large for a task are dealt to several by a hash, and its queries go to each.
+Every part ranks what it retrieves and reports each query's nearest, so no pairs are shuffled. Equal vectors are searched,
+and stand as candidates, once.
 
 Inner products are made angles by one more component, which gives all rows the same length.
 """
@@ -24,24 +25,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shuffle_partitions
+from tidemark.llm.common import mix, shuffle_partitions
 from tidemark.session import materialise
 
 ROTATIONS = 2
-SUBSTRING = 32  # bits
+SUBSTRING = 32  # bits at most
+# Components with a smaller share of the largest variance are noise (the lengths of rounded unit vectors, say).
+_LEAST_VARIANCE = 1e-5
 SAMPLE_NUMBERS = 1 << 21  # of the sample that the rotations are learned from
 SAMPLE_QUERIES = 200
 AIM = 0.97
-# Bytes of the vectors in one part of an index, which one task holds, and queries that it answers.
+# Bytes of the vectors in one part of an index (or one share of a part), which one task holds, and queries that it answers.
 _PART_BYTES = 1 << 25
 _PART_QUERIES = 1 << 11
+_SPREAD_ROWS = 1 << 14  # of one batch on the way to parts
 
 _FOUND = pa.schema([("q", pa.int64()), ("v", pa.int64()), ("score", pa.float64()), ("first_id", pa.int64())])
 
 
 @dataclass
 class Coder:
-    """Turns vectors into codes of 64-bit words."""
+    """Turns vectors into codes: a 32-bit word for each substring, which holds real bits only."""
 
     mean: np.ndarray
     axes: np.ndarray
@@ -49,9 +53,12 @@ class Coder:
 
     def _bits(self, x: np.ndarray, extra: np.ndarray) -> np.ndarray:
         y = (np.concatenate([x, extra[:, None]], axis=1) - self.mean) @ self.axes
-        bits = np.zeros((len(x), -(-y.shape[1] // 64) * 64), np.uint8)
-        bits[:, : y.shape[1]] = y > 0
-        return np.packbits(bits, axis=1, bitorder="little").view("<u4")
+        bits = np.zeros((len(x), self.substrings, 32), np.uint8)
+        at = 0
+        for t, width in enumerate(self.widths):
+            bits[:, t, :width] = y[:, at : at + width] > 0
+            at += width
+        return np.packbits(bits.reshape(len(x), 32 * self.substrings), axis=1, bitorder="little").view("<u4")
 
     def of_rows(self, x: np.ndarray) -> np.ndarray:
         return self._bits(x, np.sqrt(np.maximum(0, self.longest**2 - (x * x).sum(1))))
@@ -61,14 +68,20 @@ class Coder:
 
     @property
     def substrings(self) -> int:
-        return -(-self.axes.shape[1] // 64) * 64 // SUBSTRING
+        return -(-self.axes.shape[1] // SUBSTRING)
+
+    @property
+    def widths(self) -> list[int]:
+        """The bits of each substring: equally many, or one more."""
+        least, more = divmod(self.axes.shape[1], self.substrings)
+        return [least + (t < more) for t in range(self.substrings)]
 
 
 def learn_coder(sample: np.ndarray, longest: float, rotations: int = ROTATIONS, steps: int = 25, seed: int = 5) -> Coder:
     x = np.concatenate([sample, np.sqrt(np.maximum(0, longest**2 - (sample * sample).sum(1)))[:, None]], axis=1)
     mean = x.mean(0)
     values, components = np.linalg.eigh(np.cov((x - mean).T))
-    components = components[:, values > values.max() * 1e-9]
+    components = components[:, values > values.max() * _LEAST_VARIANCE]
     y, random, axes = (x - mean) @ components, np.random.default_rng(seed), []
     for _ in range(rotations):
         turn = np.linalg.qr(random.standard_normal((y.shape[1], y.shape[1])))[0]
@@ -133,13 +146,13 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, aim: float = AIM) -> Data
     sample = np.array([r["x"] for r in some.limit(max(64, SAMPLE_NUMBERS // dim)).select("x").collect()])
     coder = learn_coder(sample, longest) if len(sample) > 1 and np.ptp(sample, axis=0).any() else Coder(np.zeros(dim + 1), np.eye(dim + 1), longest)
     radius = _radius(distinct, some.filter("asks").limit(SAMPLE_QUERIES), coder, dim, k, aim)
-    found = materialise(_search(distinct, coder, dim, radius, k + 1, facts["n"], facts["asks"]))
+    found = materialise(_search(distinct, coder, dim, radius, k + 1, facts["n"]))
     enough = found.groupBy("q").count().filter(F.col("count") >= min(k + 1, facts["n"])).select(F.col("q").alias("first_id"))
     rest = materialise(distinct.filter("asks").join(enough, "first_id", "left_anti").select("first_id", F.lit(True).alias("asks")))
-    if n_rest := rest.count():  # with too few rows within the radius: search all
+    if rest.count():  # with too few rows within the radius: search all
         again = distinct.drop("asks").join(rest, "first_id", "left")
         found = found.join(rest.select(F.col("first_id").alias("q")), "q", "left_anti").unionByName(
-            _search(again, coder, dim, coder.substrings * SUBSTRING, k + 1, facts["n"], n_rest))
+            _search(again, coder, dim, coder.substrings * SUBSTRING, k + 1, facts["n"]))
 
     best = Window.partitionBy("q").orderBy(F.desc("score"), "first_id")
     ids = distinct.select(F.col("first_id").alias("v"), "ids")
@@ -178,38 +191,63 @@ def _radius(distinct: DataFrame, queries: DataFrame, coder: Coder, dim: int, k:
     return int(np.ceil(np.quantile(bits, aim))) if bits else 0
 
 
-def _search(distinct: DataFrame, coder: Coder, dim: int, radius: int, k: int, n: int, n_queries: int) -> DataFrame:
+def _search(distinct: DataFrame, coder: Coder, dim: int, radius: int, k: int, n: int) -> DataFrame:
     """``q, v, score, first_id``: for each query its nearest vectors in each part of each index."""
     reach = radius // coder.substrings
-    prefix = 0
-    while (n >> prefix) * 8 * dim > _PART_BYTES and prefix < 16:
+    prefix, most = 0, max(1, _PART_BYTES // (8 * dim))  # rows
+    while n >> prefix > most and prefix < min(16, *coder.widths):
         prefix += 1
-    slices = -(-n_queries // _PART_QUERIES)
     parts = np.arange(1 << prefix, dtype=np.uint32)
 
+    def places(batch: pa.RecordBatch) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
+        """For each index, of vectors and then of queries: rows of the batch and the parts they go to."""
+        x, asks = _vectors(batch.column("x"), dim), np.array(batch.column("asks").to_pylist(), object) == True  # noqa: E712
+        at = np.flatnonzero(asks)
+        rows, queries = coder.of_rows(x), coder.of_queries(x[at])
+        for t in range(coder.substrings):
+            yield t, False, np.arange(len(x)), (rows[:, t] & parts[-1]).astype(np.int64)
+            row, part = np.nonzero(np.bitwise_count((queries[:, t] & parts[-1])[:, None] ^ parts[None, :]) <= reach)
+            yield t, True, at[row], part
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = np.zeros((coder.substrings, 2, len(parts)), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                for t, query, _, part in places(batch):
+                    sizes[t, int(query)] += np.bincount(part, minlength=len(parts))
+        t, query, part = np.nonzero(sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(query), pa.array(part), pa.array(sizes[t, query, part])], ["t", "query", "part", "n"])
+
+    wide = distinct.select("first_id", "asks", "x").repartition(shuffle_partitions(distinct.sparkSession))
+    sizes = np.zeros((coder.substrings, 2, len(parts)), np.int64)
+    counted = wide.mapInArrow(count, "t long, query long, part long, n long").groupBy("t", "query", "part").agg(F.sum("n").alias("n"))
+    for r in counted.toLocalIterator():  # two numbers for each part of an index at most
+        sizes[r["t"], r["query"], r["part"]] = r["n"]
+    shares, slices = -(-sizes[:, 0] // most), -(-sizes[:, 1] // _PART_QUERIES)
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each vector in its part of every index (once for each slice of queries); each query in all parts it reaches."""
+        """Each vector in its part of every index, once for each slice of the queries that reach it; each query in all
+        parts it reaches, once for each share of their vectors."""
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _vectors(batch.column("x"), dim)
-            first, asks = batch.column("first_id").to_numpy(), np.array(batch.column("asks").to_pylist(), object) == True  # noqa: E712
-            for query in (False, True):
-                at = np.flatnonzero(asks) if query else np.arange(len(x))
-                codes = coder.of_queries(x[at]) if query else coder.of_rows(x)
-                for t in range(coder.substrings):
-                    head = codes[:, t] & np.uint32((1 << prefix) - 1)
-                    if query:
-                        row, part = np.nonzero(np.bitwise_count(head[:, None] ^ parts[None, :]) <= reach)
-                        piece = first[at[row]] % slices
-                    else:
-                        row = np.repeat(np.arange(len(at)), slices)
-                        part, piece = head[row], np.tile(np.arange(slices), len(at))
-                    if len(row):
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array(np.full(len(row), t, np.int32)), pa.array(part.astype(np.int32)), pa.array(piece.astype(np.int32)),
-                            pa.array(np.full(len(row), query)), batch.column("first_id").take(pa.array(at[row])), batch.column("x").take(pa.array(at[row]))],
-                            ["t", "part", "piece", "query", "id", "x"])
+            first = batch.column("first_id").to_numpy()
+            dealt = mix(first.view(np.uint64)) >> np.uint64(1)
+            for t, query, row, part in places(batch):
+                own, other = (slices, shares) if query else (shares, slices)
+                mine, copies = (dealt[row] % own[t, part].astype(np.uint64)).astype(np.int64), other[t, part]
+                total = int(copies.sum())
+                if not total:
+                    continue
+                each = np.arange(total) - np.repeat(np.cumsum(copies) - copies, copies)
+                row, part, mine = (np.repeat(c, copies) for c in (row, part, mine))
+                share, piece = (each, mine) if query else (mine, each)
+                for s in range(0, total, _SPREAD_ROWS):
+                    cut = slice(s, s + _SPREAD_ROWS)
+                    yield pa.RecordBatch.from_arrays([
+                        *[pa.array(c[cut].astype(np.int32)) for c in (np.full(total, t), part, share, piece)],
+                        pa.array(np.full(len(row[cut]), query)), batch.column("first_id").take(pa.array(row[cut])), batch.column("x").take(pa.array(row[cut]))],
+                        ["t", "part", "share", "piece", "query", "id", "x"])
 
     def probe(part: pa.Table) -> pa.Table:
         t = part.column("t")[0].as_py()
@@ -234,7 +272,6 @@ def _search(distinct: DataFrame, coder: Coder, dim: int, radius: int, k: int, n:
         return pa.table([pa.array(a), pa.array(b), pa.array(s), pa.array(b)], schema=_FOUND)
 
     return (
-        distinct.select("first_id", "asks", "x").repartition(shuffle_partitions(distinct.sparkSession))
-        .mapInArrow(spread, "t int, part int, piece int, query boolean, id long, x array<double>")
-        .groupBy("t", "part", "piece").applyInArrow(probe, "q long, v long, score double, first_id long")
+        wide.mapInArrow(spread, "t int, part int, share int, piece int, query boolean, id long, x array<double>")
+        .groupBy("t", "part", "share", "piece").applyInArrow(probe, "q long, v long, score double, first_id long")
     )
