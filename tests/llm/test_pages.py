@@ -43,3 +43,25 @@ def test_site_templates_go(spark):
     assert text[30] == text[31] == "Follow us now\nText 1 of a page\nn\nBye"  # one page has no templates
     assert text[32] == "" and text[None] == "x"
     assert pages.main_text(table.filter("false")).count() == 0
+
+
+def test_a_republished_article_keeps_its_text(spark):
+    """Near copies (another notice, date, ad or comment) don't make a body a template, on small hosts and on large ones."""
+    def page(host, i, body):
+        html = f"<article><div class=content>{body}</div><div>Share it</div><div>Printed on day {i}</div></article><div class=ad>Ad {i}</div>"
+        return (f"http://{host}/{i}", html)
+
+    paragraphs, bare = "<h2>Head</h2><p class=lead>The lead of it</p><p>The body of it</p>", "The whole body of it<br>in one element, without paragraphs"
+    rows = [page("small.example", i, paragraphs) for i in range(12)] + [page("bare.example", i, bare) for i in range(12)]
+    loose = "<div class=box>Follow us</div><div class=content><p>Loose body</p></div><div class=ad>Ad {0}</div><div class=comments>Comment {0}</div>"
+    rows += [(f"http://loose.example/{i}", loose.format(i)) for i in range(12)]
+    # 12 pages of 100 are no share that tells a template
+    rows += [(f"http://large.example/{i}", f"<div class=content>{'Again' if i < 12 else i}</div><div class=box>Follow us</div><div>Date {i}</div>") for i in range(100)]
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    text = {r.url: r.text for r in pages.main_text(table).collect()}
+    for i in range(12):
+        assert text[f"http://small.example/{i}"] == f"Head\nThe lead of it\nThe body of it\nPrinted on day {i}"
+        assert text[f"http://bare.example/{i}"] == f"The whole body of it in one element, without paragraphs\nPrinted on day {i}"
+        assert text[f"http://loose.example/{i}"] == "Follow us\nLoose body"
+        assert text[f"http://large.example/{i}"] == f"Again\nDate {i}"
+    assert text["http://large.example/50"] == "50\nDate 50"

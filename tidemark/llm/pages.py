@@ -5,8 +5,11 @@ how many different pages of a host each hash occurs, and subtrees that recur acr
 remains is read as the page's main text: the article (or main) element if there is one, without elements that tell by tag,
 role or class that they are no part of it.
 
-Plain paragraphs, headings and the like inside an article are its text however often they recur (quotations, say), and
-an element that holds an article is never taken for a template.
+Inside an article (or main) element, paragraphs, headings and the like and whatever holds one are its text however often
+they recur (quotations, or a body that is published again), and so is the larger part of it: of other subtrees that recur,
+the smallest go first, while more text stays than goes. An element that holds an article is never taken for a template.
+
+Pages whose main text is the same (they differ in advertisements, comments, notices or markup alone) count as one page.
 """
 
 from __future__ import annotations
@@ -22,9 +25,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import broadcast_if_below, emit, stash
 
-# A subtree is a template if it is in so many pages of a host, or in so many parts of a hundred of a smaller host's (but
-# in three at least).
-MANY_PAGES = 10
+# A subtree is a template if it is in so many pages of a hundred of a host's, but in so many at least.
+MANY_PAGES = 3
 MANY_PERCENT = 30
 
 _TOKEN = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)[^>]*>", re.S)
@@ -54,11 +56,12 @@ _COMMENTS = frozenset("comment comments commentlist disqus replies respond discu
 
 
 class _Element:
-    __slots__ = ("tag", "name", "at", "out", "holds", "plain", "parts")
+    __slots__ = ("tag", "name", "at", "out", "holds", "plain", "text", "parts")
 
     def __init__(self, tag: str, name: str, at: int, out: int, plain: bool):
         self.tag, self.name, self.at, self.out, self.plain = tag, name, at, out, plain
         self.holds = False  # an article or main element
+        self.text = False  # a paragraph or the like of an article
         self.parts: list[str] = []
 
 
@@ -86,6 +89,19 @@ def read_page(html: str, is_template: Callable[[int], bool], seen: Callable[[int
     stack = [_Element("html", "", 0, 0, False)]
     mains: list[tuple[int, int]] = []  # where article and main elements that are in no other lie in ``out``
     inside = 0  # of how many article and main elements
+    recurring: list[tuple[int, int]] = []  # where templates inside them lie in ``out``
+
+    def without_templates(start: int) -> None:
+        """Delete what recurs from an article's text: the smallest first, while more stays than goes."""
+        size = lambda s, e: sum(len(x) for x in out[s:e] if x)
+        left, gone = size(start, len(out)), 0
+        for n, s, e in sorted((size(s, e), s, e) for s, e in recurring if s >= start):
+            n = size(s, e)  # what lies in it may be gone already
+            if gone + n >= left - n:
+                break
+            left, gone = left - n, gone + n
+            out[s:e] = [None] * (e - s)
+        recurring.clear()
 
     def close() -> None:
         nonlocal inside
@@ -97,17 +113,30 @@ def read_page(html: str, is_template: Callable[[int], bool], seen: Callable[[int
             if e.at == 2:
                 del out[e.out :]
             elif not inside:
+                without_templates(e.out)
                 mains[:] = [m for m in mains if m[0] < e.out]
                 mains.append((e.out, len(out)))
         else:
             value = None
-            if e.tag in _BLOCK and not e.plain and not e.holds and any(p.strip() for p in e.parts):
+            some = any(p.strip() for p in e.parts)
+            if inside and not e.at and some and e.tag in _PLAIN:
+                e.text = True
+            if e.tag in _BLOCK and not e.plain and not e.holds and not e.text and some:
                 value = xxhash.xxh64_intdigest("\x00".join([e.tag, e.name, *e.parts]).encode("utf-8", "surrogatepass")) - (1 << 63)
                 if seen:
                     seen(value)
-            if e.at == 2 or not e.holds and (e.at == 1 or value is not None and is_template(value)):
+            gone = e.at == 2 or not e.holds and e.at == 1
+            if not gone and value is not None and is_template(value):
+                if inside:
+                    recurring.append((e.out, len(out)))
+                else:
+                    gone = True
+            if gone:
                 del out[e.out :]
                 mains[:] = [m for m in mains if m[0] < e.out]
+                recurring[:] = [r for r in recurring if r[0] < e.out]
+            else:
+                parent.text |= e.text
         parent.holds |= e.holds
         if e.parts:
             parent.parts.append(f"<{e.tag} {e.name}>{''.join(e.parts)}" if len(e.parts) < 3 else f"<{e.tag} {e.name}>" + "\x00".join(e.parts))
@@ -194,37 +223,38 @@ def read_page(html: str, is_template: Callable[[int], bool], seen: Callable[[int
 
 
 def _subtrees(keyed: DataFrame) -> DataFrame:
-    """``host, th, h``: the hashes of the subtrees in each different page of a host."""
-    schema = pa.schema([("host", pa.string()), ("th", pa.int64()), ("h", pa.int64())])
+    """``host, th, own, h``: the hashes of the subtrees in each different page of a host; ``own`` is that of its main text."""
+    schema = pa.schema([("host", pa.string()), ("th", pa.int64()), ("own", pa.int64()), ("h", pa.int64())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, ths, hashes = [], [], []
+            hosts, ths, owns, hashes = [], [], [], []
             for host, th, html in zip(*(batch.column(c).to_pylist() for c in ("host", "th", "html"))):
                 found: set[int] = set()
-                read_page(html, lambda h: False, found.add)
+                text = read_page(html, lambda h: False, found.add)
+                owns += [xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)] * len(found)
                 hosts += [host] * len(found)
                 ths += [th] * len(found)
                 hashes += found
-            yield emit({"host": hosts, "th": ths, "h": hashes}, schema)
+            yield emit({"host": hosts, "th": ths, "own": owns, "h": hashes}, schema)
 
     rows = keyed.filter("host IS NOT NULL AND html IS NOT NULL").select("host", "th", "html")
-    return rows.mapInArrow(of, "host string, th long, h long").distinct()
+    return rows.mapInArrow(of, "host string, th long, own long, h long").distinct()
 
 
 def templates(subtrees: DataFrame, many: int = MANY_PAGES, percent: int = MANY_PERCENT) -> DataFrame:
-    """``host, h``: subtrees that recur across many different pages of their host."""
-    pages = subtrees.select("host", "th").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    least = F.least(F.lit(many), F.greatest(F.lit(3), F.ceil(F.col("pages") * percent / 100)))
-    return subtrees.groupBy("host", "h").agg(F.count("*").alias("n")).filter("n >= 3").join(pages, "host").filter(F.col("n") >= least).select("host", "h")
+    """``host, h``: subtrees that recur across many pages of their host with different main texts."""
+    pages = subtrees.select("host", "own").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    least = F.greatest(F.lit(many), F.ceil(F.col("pages") * percent / 100))
+    return subtrees.select("host", "own", "h").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= many).join(pages, "host").filter(F.col("n") >= least).select("host", "h")
 
 
 def main_text(pages: DataFrame, many: int = MANY_PAGES, percent: int = MANY_PERCENT) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages``: its main text, blocks joined by line ends.
 
     ``pages`` has ``page_id``, ``url`` and ``html``; other columns are not looked at. A null or empty html gives an empty
-    text. A page whose url is null or names no host is read, but no templates are known for it. Copies of a page on a host
-    count as one page; every row comes back, as often as it comes. An empty table gives no rows.
+    text. A page whose url is null or names no host is read, but no templates are known for it. Pages of a host with
+    the same main text count as one; every row comes back, as often as it comes. An empty table gives no rows.
     """
     host = F.lower(F.regexp_extract(F.col("url").cast("string"), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]+)", 1))
     keyed = pages.select(
