@@ -180,6 +180,19 @@ def test_secrets_equal_a_plain_search(spark):
     assert secrets.secret_report(none(spark)).count() == 0
 
 
+def test_long_secrets_and_long_endpoints_are_linked(spark):
+    key = "aB3dEfGh" * 12  # 96 characters
+    far = "https://store.example.com/" + "p/" * 150  # the secret starts over 200 characters after the endpoint's start
+    texts = [f"https://store.example.com AccountKey={key}==", f"{far} {key[:30]}", f"{key[:30]} {'.' * 150} {far}",
+             f"{far}{' ' * 201}{key[:30]}", f"{key} alone", f"ASIAABCDEFGH1234 {key}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secrets.secret_report(docs).collect()}
+    assert spans[0] == "key:37:133" and spans[1] == f"key:{len(far) + 1}:{len(far) + 31}"
+    assert spans[2] == "key:0:30" and spans[3] == spans[4] == ""
+    assert spans[5] == "id:0:16,key:17:113"
+    assert key not in "".join(r.text for r in secrets.redact(docs).filter("doc_id <> 4").collect())
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")

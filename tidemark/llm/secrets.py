@@ -6,7 +6,8 @@ the other parts of their document by an interval of places, the scope, and repor
 an identifier with a secret, a secret with an identifier or an endpoint, an endpoint with both.
 
 A place follows from the text between matches: a pattern's matches and the pieces between them, in turn, make up the text,
-so a match's end is a running sum of lengths. The interval join is a window over a range of places; no pairs are made.
+so a match's end is a running sum of lengths. The interval join is made of running maxima of ends and minima of starts, so
+no pairs are made and a part may be of any length.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import row_key
 
-# Places apart, at most, at which two parts belong together.
+# Places, at most, between the end of a part and the start of the next that belongs to it.
 SCOPE = 200
 
 #: The patterns of the three base kinds, in their order (fixed values).
@@ -24,7 +25,7 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
 #: Endpoints, identifiers of other makes, and tokens between other characters.
-PARTS = r"""https?://[^\s"'<>]+|\bA(?:SIA|IDA|ROA)[A-Z0-9]{12,}|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,64}(?![A-Za-z0-9+/_-])"""
+PARTS = r"""https?://[^\s"'<>]+|\bA(?:SIA|IDA|ROA)[A-Z0-9]{12,}|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}(?![A-Za-z0-9+/_-])"""
 KINDS = ["assign", "access", "hex", "id", "key", "endpoint"]
 _BASE = 3
 
@@ -57,8 +58,8 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``doc_id, th, kind, start, end``: all spans, one row each, of the different rows of ``docs``.
 
     ``kind`` is a number in ``KINDS``; ``start`` and ``end`` (exclusive) count code points. Base spans (the first three
-    kinds) are all there, overlapping or not; a weak part is there if it overlaps no base span and complementary parts
-    begin at most ``scope`` before or after its own begin. ``docs`` has ``doc_id`` and ``text``; ``th`` is ``xxhash64``
+    kinds) are all there, overlapping or not; a weak part is there if it overlaps no base span and a complementary
+    part ends at most ``scope`` before its start, or starts at most ``scope`` after its end. ``docs`` has ``doc_id`` and ``text``; ``th`` is ``xxhash64``
     of the text. A null text counts as empty and has none.
     """
     names = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "parts": PARTS}
@@ -72,12 +73,20 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     end = F.sum(F.col("gap") + F.length("m")).over(so_far)
     placed = parts.select("doc_id", "th", (end - F.length("m")).alias("start"), end.alias("end"), _kind().alias("kind")).filter("kind is not null")
     row = Window.partitionBy("doc_id", "th").orderBy("start")
-    near, before, after = row.rangeBetween(-scope, scope), row.rowsBetween(Window.unboundedPreceding, -1), row.rowsBetween(1, Window.unboundedFollowing)
+    before, after = row.rowsBetween(Window.unboundedPreceding, -1), row.rowsBetween(1, Window.unboundedFollowing)
+    up, down = row.rangeBetween(Window.unboundedPreceding, 0), row.rangeBetween(0, Window.unboundedFollowing)
     is_base = F.col("kind") < _BASE
+
+    def near(*kinds: int) -> Column:
+        """Is there such a part within the scope, before or after?"""
+        of = F.col("kind").isin(*kinds)
+        ends = F.max(F.when(of, F.col("end"))).over(up) >= F.col("start") - scope
+        return F.coalesce(ends, F.lit(False)) | F.coalesce(F.min(F.when(of, F.col("start"))).over(down) <= F.col("end") + scope, F.lit(False))
+
     has = {
-        "id": F.max(F.col("kind").isin(1, 3)).over(near),
-        "secret": F.max(F.col("kind").isin(0, 2, 4)).over(near),
-        "endpoint": F.max(F.col("kind") == 5).over(near),
+        "id": near(1, 3),
+        "secret": near(0, 2, 4),
+        "endpoint": near(5),
         "covered": (F.coalesce(F.max(F.when(is_base, F.col("end"))).over(before), F.lit(-1)) > F.col("start"))
         | (F.coalesce(F.min(F.when(is_base, F.col("start"))).over(after), F.col("end")) < F.col("end")),
     }
