@@ -11,11 +11,13 @@ the whole time axis, so a window function per key would sort a hot key in one ta
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.ticks import floor_div
-from tidemark.operators.windows import COUNT, Agg, partial_columns
+from tidemark.operators.windows import COUNT, Aggregate, finished_columns, partial_columns, state_merges
 from tidemark.session import broadcast_if_small, join_null_safe
 
 # Ticks per block: the most rows a (key, block) can have after the pre-aggregation.
@@ -75,7 +77,7 @@ def islands(
     points: DataFrame,
     time: str,
     keys: list[str],
-    merges: dict[str, str],
+    merges: dict[str, Callable[[str], Column]],
     gap: int | None,
     inclusive: bool = True,
     cut_after: str | None = None,
@@ -85,11 +87,9 @@ def islands(
 
     A new island starts where the distance to the previous point exceeds ``gap`` (reaches it,
     if not ``inclusive``) or where the previous point carries ``cut_after``. ``merges`` maps
-    columns to the function that merges them (sum, min or max). Returns ``keys, first, last``
-    and the merged columns.
+    columns to the aggregate that merges them. Returns ``keys, first, last`` and the merged columns.
     """
-    functions = {"sum": F.sum, "min": F.min, "max": F.max}
-    merged = [functions[how](name).alias(name) for name, how in merges.items()]
+    merged = [merge(name).alias(name) for name, merge in merges.items()]
     pieces, breaks = _in_pieces(points, time, keys, gap, inclusive, cut_after, block)
     bounds = _bounds(pieces, time, keys, merged)
     return (
@@ -126,7 +126,7 @@ def sessions(
     time: str,
     gap: int,
     keys: list[str],
-    aggs: dict[str, Agg] = COUNT,
+    aggs: dict[str, Aggregate] = COUNT,
     inclusive: bool = True,
     start: str = "start",
     end: str = "end",
@@ -138,13 +138,8 @@ def sessions(
     Rows without a time are in no session (``routing.without_time`` gives them).
     """
     points = df.filter(F.col(time).isNotNull()).groupBy(*keys, time).agg(*partial_columns(aggs))
-    how = {column: "sum" if agg.kind in ("count", "avg") else agg.kind for name, agg in aggs.items() for column in agg.partials(name)}
-    results = [
-        (F.col(f"{name}__sum") / F.nullif(F.col(f"{name}__n"), F.lit(0))).alias(name) if agg.kind == "avg" else F.col(name)
-        for name, agg in aggs.items()
-    ]
-    return islands(points, time, keys, how, gap, inclusive, block=block).select(
-        F.col("first").alias(start), (F.col("last") + gap).alias(end), *keys, *results
+    return islands(points, time, keys, state_merges(aggs), gap, inclusive, block=block).select(
+        F.col("first").alias(start), (F.col("last") + gap).alias(end), *keys, *finished_columns(aggs)
     )
 
 

@@ -162,7 +162,7 @@ def decide(
     late = rows.filter(~timely)
 
     if policy.pre_merge:
-        spine = islands(points, "_t", keys, {"count": "sum"}, None, cut_after="_cut_after", block=block)
+        spine = islands(points, "_t", keys, {"count": F.sum}, None, cut_after="_cut_after", block=block)
         nothing = late.limit(0).withColumn("island", F.lit(None).cast("bigint"))
         return Decision(
             _with_fire(spine, closing, keys), rows.filter(timely), points, nothing, late.limit(0), late

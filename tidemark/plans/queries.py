@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from tidemark.operators.count_windows import count_windows, each_row_a_window
 from tidemark.operators.islands import sessions
 from tidemark.operators.routing import is_control, split, without_time
 from tidemark.operators.session_panes import early_panes, session_panes
-from tidemark.operators.windows import COUNT, Agg, sliding, sliding_right_closed, tumbling
+from tidemark.operators.user_functions import WindowFunction, count_function, session_function, sliding_function
+from tidemark.operators.windows import COUNT, Agg, Composed, sliding, sliding_right_closed, tumbling
 from tidemark.plans.profiles import PROFILES, profile_diff
 from tidemark.plans.tables import MINUTE_US, events, replay
 from tidemark.sources.parsing import parse_lines
@@ -164,6 +167,80 @@ def session_conditional_count(spark, folder):
     return sessions(events(spark, folder), "us", GAP_US, ["key"], {"count": counted}, **US)
 
 
+# ---- aggregates and functions of one's own ---------------------------------------------------
+
+
+class GeometricMean(WindowFunction):
+    """``exp`` of the mean logarithm of ``value``; the state holds the logarithms' sum and number."""
+
+    inputs = ["value"]
+    state = "logs double, n bigint"
+    result = "double"
+
+    def make(self):
+        return 0.0, 0
+
+    def add(self, state, rows):
+        values = rows["value"].drop_null()
+        return state[0] + (pc.sum(pc.ln(values)).as_py() or 0.0), state[1] + len(values)
+
+    def merge(self, left, right):
+        return left[0] + right[0], left[1] + right[1]
+
+    def finish(self, state, window):
+        return round(math.exp(state[0] / state[1]), 6) if state[1] else None
+
+
+def geometric_mean() -> Composed:
+    """The same in Spark expressions."""
+    states = {"logs": (F.sum(F.ln("value")), F.sum), "n": (F.count("value"), F.sum)}
+    return Composed(states, lambda s: F.round(F.exp(s["logs"] / F.nullif(s["n"], F.lit(0))), 6))
+
+
+_GEOMETRIC = "round(exp(avg(ln(value))), 6)"
+_GEO_SLIDING_SQL = f"""WITH {EV}, w AS (
+  SELECT *, (us // 900000000 - j) * 900000000 AS s FROM (SELECT *, unnest(generate_series(0, 3)) AS j FROM ev))
+SELECT s AS start_us, s + 3600000000 AS end_us, key, {_GEOMETRIC} AS mean FROM w GROUP BY s, key"""
+_GEO_SESSION_SQL = _SESSION_SQL.format(ev=EV, part="key", key="key,", test="<= 600000000", count=_GEOMETRIC).replace("AS count", "AS mean")
+_GEO_COUNT_SQL = f"""WITH {ARR}, numbered AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n) AS firing FROM arr),
+framed AS (SELECT *, round(exp(avg(ln(value)) OVER (PARTITION BY key ORDER BY firing ROWS BETWEEN 499 PRECEDING AND CURRENT ROW)), 6) AS mean FROM numbered)
+SELECT key, firing, mean FROM framed WHERE firing % 200 = 0"""
+
+
+def _in_us(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({"start": "start_us", "end": "end_us"})
+
+
+@query("user_function_sliding", _GEO_SLIDING_SQL)
+def user_function_sliding(spark, folder):
+    return _in_us(sliding_function(events(spark, folder), "us", SIZE_US, SLIDE_US, ["key"], GeometricMean(), "mean"))
+
+
+@query("user_function_session", _GEO_SESSION_SQL)
+def user_function_session(spark, folder):
+    return _in_us(session_function(events(spark, folder), "us", GAP_US, ["key"], GeometricMean(), "mean"))
+
+
+@query("user_function_count_window", _GEO_COUNT_SQL)
+def user_function_count_window(spark, folder):
+    return count_function(replay(spark, folder), ARRIVAL, 500, 200, ["key"], GeometricMean(), "mean")
+
+
+@query("user_aggregate_sliding", _GEO_SLIDING_SQL)
+def user_aggregate_sliding(spark, folder):
+    return sliding(events(spark, folder), "us", SIZE_US, SLIDE_US, ["key"], {"mean": geometric_mean()}, **US)
+
+
+@query("user_aggregate_session", _GEO_SESSION_SQL)
+def user_aggregate_session(spark, folder):
+    return sessions(events(spark, folder), "us", GAP_US, ["key"], {"mean": geometric_mean()}, **US)
+
+
+@query("user_aggregate_count_window", _GEO_COUNT_SQL)
+def user_aggregate_count_window(spark, folder):
+    return count_windows(replay(spark, folder), "t", ARRIVAL, 500, 200, ["key"], aggs={"mean": geometric_mean()})
+
+
 # ---- count windows ---------------------------------------------------------------------------
 
 _COUNT_WINDOW_SQL = """WITH {arr}, numbered AS (
