@@ -96,8 +96,9 @@ def panes(rows, size, slide, fire, accept, early_every):
     return sorted(out)
 
 
-def session_panes(rows, gap, inclusive, fire, alive, accept, repeat=False, is_data=None, moves=None, flush=True):
-    """Every report ``(kind, first, last, key, count)`` of growing sessions."""
+def session_panes(rows, gap, inclusive, fire, alive, accept, repeat=False, is_data=None, moves=None, flush=True, early=None):
+    """Every report ``(kind, first, last, key, count)`` of growing sessions. ``early``: whenever a merged count passes more
+    multiples of it than the counts before."""
     wm = -math.inf
     live, out = [], []  # [first, last, key, count, fired]
 
@@ -128,6 +129,8 @@ def session_panes(rows, gap, inclusive, fire, alive, accept, repeat=False, is_da
                 if merged[4] or (not repeat and wm >= last + gap + fire):
                     merged[4] = True
                     report(merged, "late")
+                elif early and merged[3] // early > sum(s[3] // early for s in near):
+                    report(merged, "early")
         if (moves is None or moves(key)) and t > wm:
             wm = t
             advance(wm)

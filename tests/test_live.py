@@ -111,6 +111,17 @@ def test_live_session_panes(spark, tmp_path):
     ]
 
 
+def test_live_early_reports_with_lateness(spark, tmp_path):
+    import brute
+
+    path = folder(tmp_path / "in", DELAYED)
+    policy = PROFILES["flink"].with_lateness(10).session_policy(10)
+    got, _ = run(live_session_panes(stream_events(spark, path), policy, early_every=2), "early_late")
+    reports = sorted((r.pane_kind, r.start_ms, r.end_ms - 10, r.key, r["count"]) for r in got if r.pane_kind != "late_row")
+    want = brute.session_panes(rows(DELAYED), 10, True, -1, 9, 9, early=2, flush=False)
+    assert reports == want and any(r[0] == "early" for r in want)
+
+
 @pytest.mark.parametrize("frame", [1, 10_000])
 def test_frames_of_a_batch_do_not_matter(spark, tmp_path, frame):
     """A backlog in one batch, out of order: the rows of a key are taken by arrival, over all Arrow frames."""

@@ -133,3 +133,26 @@ def test_session_reports_against_row_by_row(spark, seed):
     assert got(repeated) == brute.session_panes(
         events, 10, False, 0, 11, 10, True, lambda k: k != "W", lambda k: k == "W", flush=False
     )
+
+
+@pytest.mark.parametrize(
+    "seed, every, chunk, policy, flush",
+    [(32, 3, 4, SessionPolicy(10, True, -1, 29, 29), True), (33, 2, 15, SessionPolicy(10, False, 0, 60, 60), False)],
+)
+def test_early_reports_with_lateness(spark, seed, every, chunk, policy, flush):
+    """Counters of sessions merge with them, also where a session is cut into chunks of its rows."""
+    # often bridged: rows come up to 35 ticks late, sessions stay for up to 60
+    events = disordered(seed, n=140, keys="AAAB", steps=(0, 1, 2, 6, 11, 14))
+    panes = session_panes(table(spark, events), "t", "pos", policy, ["key"], early_every=every, max_group_rows=chunk, flush=flush)
+    got = sorted((r.pane_kind, r.start, r.end - 10, r.key, r["count"]) for r in panes.collect())
+    want = brute.session_panes(events, 10, policy.inclusive, policy.fire, policy.alive, policy.accept, early=every, flush=flush)
+    assert got == want
+    assert {"early", "late", "on_time"} == {r[0] for r in want}
+
+
+def test_parts_unite_like_intervals():
+    from tidemark.operators.session_panes import _united
+
+    parts = [(0, 5, 3, False, 70), (30, 30, 1, True, None)]
+    more = [(8, 9, 2, False, 90), (5, 5, 0, True, None), (31, 40, 4, False, None)]
+    assert _united(parts, more, 3) == [(0, 9, 5, True, 90), (30, 40, 5, True, None)]

@@ -811,7 +811,9 @@ steps AS (
          CASE WHEN step OR NOT take THEN still ELSE list_append(list_filter(still, lambda x: NOT ({near})),
            {{'f': m.f, 'l': m.l, 'c': m.c, 'd': m.d OR {at_once}}}) END,
          CASE WHEN NOT step AND take AND (m.d OR {at_once})
-              THEN list_append(told, {{'f': m.f, 'l': m.l, 'c': m.c, 'kind': 'late'}}) ELSE told END
+              THEN list_append(told, {{'f': m.f, 'l': m.l, 'c': m.c, 'kind': 'late'}})
+              WHEN NOT step AND take AND {early}
+              THEN list_append(told, {{'f': m.f, 'l': m.l, 'c': m.c, 'kind': 'early'}}) ELSE told END
   FROM (SELECT *, wm IS NULL OR wm < m.l + 10 + {accept} AS take FROM (
     SELECT *, """ + _PART + """ AS m FROM (
       SELECT *, list_filter(still, lambda x: {near}) AS joins FROM (
@@ -827,12 +829,16 @@ found AS (
   SELECT key, {{'f': x.f, 'l': x.l, 'c': x.c, 'kind': 'on_time'}} FROM
     (SELECT key, unnest(arg_max(live, r)) AS x FROM steps GROUP BY key) WHERE {flush} AND NOT x.d)
 SELECT x.f AS start, x.l + 10 AS "end", key, x.kind AS pane_kind, x.c AS count FROM found"""
-_PANES_WITH_LATENESS_SQL = _SESSION_REPORTS_SQL.format(
+_WITH_LATENESS = dict(
     arr=ARR,
     rows="""k AS (SELECT key, t, wm, wm AS p, FALSE AS step, row_number() OVER (PARTITION BY key ORDER BY n) AS r FROM arr)""",
     near="x.f - t <= 10 AND t - x.l <= 10", at_once="coalesce(wm >= m.l + 9, FALSE)", accept=9, alive=9, fire=-1,
     tells="NOT x.d AND coalesce(k.p >= x.l + 9, FALSE)", flush="TRUE",
 )
+_PANES_WITH_LATENESS_SQL = _SESSION_REPORTS_SQL.format(**_WITH_LATENESS, early="FALSE")
+_EARLY_WITH_LATENESS_SQL = _SESSION_REPORTS_SQL.format(
+    **_WITH_LATENESS, early="m.c // 2 > coalesce(list_sum(list_transform(joins, lambda x: x.c // 2)), 0)"
+)
 _PANES_REPEATED_SQL = _SESSION_REPORTS_SQL.format(
     arr=ARR,
     rows="""moved AS (SELECT * EXCLUDE (wm), max(CASE WHEN key = 'signup' THEN t END) OVER
@@ -844,7 +850,7 @@ mixed AS (
   WHERE m.key = 'signup' AND (m.wm IS NULL OR m.t > m.wm)),
 k AS (SELECT key, t, wm, p, step, row_number() OVER (PARTITION BY key ORDER BY n) AS r FROM mixed)""",
     near="x.f - t < 10 AND t - x.l < 10", at_once="FALSE", accept=10, alive=11, fire=0,
-    tells="k.step AND k.p >= x.l + 10", flush="FALSE",
+    tells="k.step AND k.p >= x.l + 10", flush="FALSE", early="FALSE",
 )
 
 
@@ -854,6 +860,12 @@ def session_panes_with_lateness(spark, folder):
     return session_panes(replay(spark, folder), "t", "pos", policy, ["key"])
 
 
+@query("session_early_panes_with_lateness", _EARLY_WITH_LATENESS_SQL)
+def session_early_panes_with_lateness(spark, folder):
+    policy = PROFILES["flink"].with_lateness(LATENESS).session_policy(GAP)
+    return session_panes(replay(spark, folder), "t", "pos", policy, ["key"], early_every=2)
+
+
 @query("session_panes_repeated", _PANES_REPEATED_SQL)
 def session_panes_repeated(spark, folder):
     policy = PROFILES["storm"].with_lateness(LATENESS).session_policy(GAP)

@@ -147,8 +147,8 @@ def _in_arrival_order(frames: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
 class _SessionPanes(StatefulProcessor):
     """State per key: its open sessions."""
 
-    def __init__(self, policy: SessionPolicy, refire: bool, repeat: bool):
-        self.policy, self.refire, self.repeat = policy, refire, repeat
+    def __init__(self, policy: SessionPolicy, refire: bool, repeat: bool, early_every: int | None):
+        self.policy, self.refire, self.repeat, self.early_every = policy, refire, repeat, early_every
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -182,9 +182,13 @@ class _SessionPanes(StatefulProcessor):
                     out.append((t, t, name, "late_row", 1))
                     continue
                 merged = (first, last, 1 + sum(s[2] for s in joins), any(s[3] for s in joins))
-                sessions = [s for s in sessions if s not in joins] + [merged]
-                if merged[3] and self.refire:
-                    out.append((first, last + policy.gap, name, "late", merged[2]))
+                at_once = progress >= last + policy.gap + policy.fire  # complete before the row came
+                sessions = [s for s in sessions if s not in joins] + [(*merged[:3], merged[3] or (at_once and not self.repeat))]
+                if sessions[-1][3]:
+                    if self.refire:
+                        out.append((first, last + policy.gap, name, "late", merged[2]))
+                elif self.early_every and merged[2] // self.early_every > sum(s[2] // self.early_every for s in joins):
+                    out.append((first, last + policy.gap, name, "early", merged[2]))
             yield _frame(out)
         for last in {s[1] for s in sessions} - known:
             for at in {last + policy.gap + policy.fire, last + policy.gap + policy.alive}:
@@ -225,8 +229,10 @@ def live_session_panes(
     arrival: str | None = None,
     time: str = "event_time",
     key: str = "key",
+    early_every: int | None = None,
 ) -> DataFrame:
-    """Reports of sessions under a policy: on time, again after each late row (``refire``), at every
+    """Reports of sessions under a policy: early, whenever the count of a session that has not fired passes a multiple of
+    ``early_every`` (counters merge with their sessions), on time, again after each late row (``refire``), at every
     step of progress until removed (``repeat``), and rows that no session took (``late_row``).
 
     Within a batch a key's rows are taken in ``arrival`` order if there is such a column. A key's
@@ -235,7 +241,7 @@ def live_session_panes(
     columns = [F.col(key).alias("key"), "ts_ms"] + ([F.col(arrival).alias("arrival")] if arrival else [])
     rows = with_progress(events.withColumn("ts_ms", F.unix_millis(time)), time).select(*columns)
     return rows.groupBy("key").transformWithStateInPandas(
-        _SessionPanes(policy, refire, repeat), PANE, "Append", "EventTime"
+        _SessionPanes(policy, refire, repeat, early_every), PANE, "Append", "EventTime"
     )
 
 
