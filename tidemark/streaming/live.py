@@ -25,6 +25,20 @@ def with_progress(df: DataFrame, time: str = "event_time", delay: str = "0 milli
     return df.withWatermark(time, delay)
 
 
+def with_punctuated_progress(
+    df: DataFrame, control_key: str, time: str = "event_time", key: str = "key", ignore_case: bool = False
+) -> DataFrame:
+    """Only the data rows, below a progress that only control rows move.
+
+    The watermark is declared on a column that has a time in control rows alone; a missing time doesn't move it. Control
+    rows are told from data rows by that column, since a filter on it stays above the watermark, where one on the key would be
+    pushed below. Progress is the stream's, not a key's, so it reaches the timers of every key.
+    """
+    control = is_control(key, control_key, ignore_case)
+    moved = df.withColumn("_moves", F.when(control, F.col(time).cast("timestamp")))
+    return moved.withWatermark("_moves", "0 milliseconds").filter(F.col("_moves").isNull()).drop("_moves")
+
+
 def live_sliding_counts(
     events: DataFrame,
     size: str,

@@ -22,7 +22,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidemark.operators.lateness import SlidingPolicy
 from tidemark.operators.session_policies import SessionPolicy
 from tidemark.operators.windows import window_starts
-from tidemark.streaming.live import with_progress
+from tidemark.streaming.live import with_progress, with_punctuated_progress
 
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass":
@@ -103,18 +103,27 @@ class _WindowPanes(StatefulProcessor):
         pass
 
 
+def _under_progress(events: DataFrame, time: str, key: str, control_key: str | None, ignore_case: bool) -> DataFrame:
+    """Rows with ``ts_ms``, below the progress that all rows move, or only control rows, which then are left out."""
+    # the number is computed below the watermark, which keeps the event-time mark off it
+    numbered = events.withColumn("ts_ms", F.unix_millis(time))
+    if control_key is None:
+        return with_progress(numbered, time)
+    return with_punctuated_progress(numbered, control_key, time, key, ignore_case)
+
+
 def live_panes(
-    events: DataFrame, policy: SlidingPolicy, early_every: int | None = None, time: str = "event_time", key: str = "key"
+    events: DataFrame, policy: SlidingPolicy, early_every: int | None = None, time: str = "event_time", key: str = "key",
+    control_key: str | None = None, ignore_case: bool = False,
 ) -> DataFrame:
     """Early, on-time and late reports of sliding windows, and rows too late for all of them
     (``pane_kind`` = ``late_row``, bounds = the row's time): ``start_ms, end_ms, key, pane_kind, count``.
 
-    Times are milliseconds. The state is spread over (key, window), so a hot key is not one task.
+    Times are milliseconds. The state is spread over (key, window), so a hot key is not one task. With ``control_key`` only
+    rows of that key move progress, and they are in no window.
     """
-    millis = F.unix_millis(time)
-    # the number is computed below the watermark, which keeps the event-time mark off it
     rows = (
-        with_progress(events.withColumn("ts_ms", millis), time)
+        _under_progress(events, time, key, control_key, ignore_case)
         .select(F.col(key).alias("key"), "ts_ms")
         .withColumn("start_ms", F.explode(window_starts(F.col("ts_ms"), policy.size, policy.slide)))
         .withColumn("is_last", F.col("start_ms") + policy.slide > F.col("ts_ms"))
@@ -230,16 +239,19 @@ def live_session_panes(
     time: str = "event_time",
     key: str = "key",
     early_every: int | None = None,
+    control_key: str | None = None,
+    ignore_case: bool = False,
 ) -> DataFrame:
     """Reports of sessions under a policy: early, whenever the count of a session that has not fired passes a multiple of
     ``early_every`` (counters merge with their sessions), on time, again after each late row (``refire``), at every
     step of progress until removed (``repeat``), and rows that no session took (``late_row``).
 
     Within a batch a key's rows are taken in ``arrival`` order if there is such a column. A key's
-    sessions are one state, so a key is one task; only its open sessions are held.
+    sessions are one state, so a key is one task; only its open sessions are held. With ``control_key`` only rows of that
+    key move progress, and they are in no session.
     """
     columns = [F.col(key).alias("key"), "ts_ms"] + ([F.col(arrival).alias("arrival")] if arrival else [])
-    rows = with_progress(events.withColumn("ts_ms", F.unix_millis(time)), time).select(*columns)
+    rows = _under_progress(events, time, key, control_key, ignore_case).select(*columns)
     return rows.groupBy("key").transformWithStateInPandas(
         _SessionPanes(policy, refire, repeat, early_every), PANE, "Append", "EventTime"
     )
