@@ -7,7 +7,9 @@ from check_queries import normal, rows_of
 SF = "/root/testdata/sf0.001"
 # one query of each family; all of them: python check_queries.py
 CHECKED = ["sliding_count_keyed", "session_strict_gap", "count_window_all", "watermark_lag", "sliding_on_time_spark",
-           "late_rows", "early_count_panes", "parse_policy_storm", "session_policy_spark", "profile_diff"]
+           "late_rows", "early_count_panes", "parse_policy_storm", "session_policy_spark", "profile_diff",
+           "user_function_session", "user_aggregate_count_window", "sliding_on_time_avg", "early_avg_panes", "session_policy_avg",
+           "session_late_rows_whole", "session_early_panes_with_lateness"]
 
 
 def test_every_sql_has_a_query():

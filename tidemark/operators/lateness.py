@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.ticks import floor_to
 from tidemark.operators.progress import first_reached
-from tidemark.operators.windows import window_starts
+from tidemark.operators.running import MAX_GROUP_ROWS, Running, running
+from tidemark.operators.windows import COUNT, Aggregate, finished_columns, merged_columns, partial_columns, state_merges, window_starts
 from tidemark.session import BROADCAST_BYTES, BROADCAST_ROWS, at_most, materialise
 
 # Bytes of one window in a pane's list: its start, two positions and their places.
@@ -142,10 +143,7 @@ def _window_counts(
 ) -> DataFrame:
     described = _describe(df, time, pos, policy, closing.lists)
     groups = described.groupBy(*keys, "_pane", "_fired", "_closed").agg(F.count(F.lit(1)).alias("_n"))
-    starts = window_starts(F.col("_pane"), policy.size, policy.slide)
-    if policy.min_start is not None:
-        starts = F.filter(starts, lambda start: start >= policy.min_start)
-    each = groups.select(*keys, "_fired", "_closed", "_n", F.posexplode(starts).alias("_i", "start"))
+    each = _described_windows(groups, policy, [*keys, "_n"])
     n, i = F.col("_n"), F.col("_i")
 
     def where(condition):
@@ -175,18 +173,36 @@ def final_counts(
     moves: Column | None = None,
     counted: Column | None = None,
     flush: bool = True,
+    aggs: dict[str, Aggregate] = COUNT,
 ) -> DataFrame:
-    """One result per window: fire once, report all rows accepted by then. Without ``flush`` a
-    window that progress never closed is not reported (there is no end of input). ``counted``
-    marks the rows that count (the others still move progress)."""
+    """One result per window: fire once, report all rows accepted by then (their number, or other ``aggs``). Without ``flush``
+    a window that progress never closed is not reported (there is no end of input). ``counted`` marks the rows that count
+    (the others still move progress)."""
     closing = _closing_positions(df, time, pos, policy, moves, ending=not flush)
     rows = df if counted is None else df.filter(counted)
-    counts = _window_counts(rows, time, pos, policy, keys, closing).withColumn(
-        "count", F.col("on_time") + F.col("late")
-    )
+    windows = _window_states(rows, time, pos, policy, keys, closing, aggs, F.col("_i") >= F.col("_closed"))
     if not flush:
-        counts = counts.filter(F.col("start") <= F.lit(closing.last_closed).cast("bigint"))
-    return counts.filter("count > 0").select("start", "end", *keys, "count")
+        windows = windows.filter(F.col("start") <= F.lit(closing.last_closed).cast("bigint"))
+    return windows.select("start", (F.col("start") + policy.size).alias("end"), *keys, *finished_columns(aggs))
+
+
+def _described_windows(described: DataFrame, policy: SlidingPolicy, columns: list[str]) -> DataFrame:
+    """``columns`` of described rows or groups, once for each of their windows (``start``), with its place ``_i``."""
+    starts = window_starts(F.col("_pane"), policy.size, policy.slide)
+    if policy.min_start is not None:
+        starts = F.filter(starts, lambda start: start >= policy.min_start)
+    return described.select(*columns, "_fired", "_closed", F.posexplode(starts).alias("_i", "start"))
+
+
+def _window_states(
+    df: DataFrame, time: str, pos: str, policy: SlidingPolicy, keys: list[str], closing: _Closing, aggs: dict[str, Aggregate], kept: Column
+) -> DataFrame:
+    """``start, keys`` and the states of ``aggs`` over the rows that each window ``kept``. Rows are aggregated by pane and by how
+    many windows were closed to them before anything is shuffled."""
+    described = _describe(df, time, pos, policy, closing.lists)
+    groups = described.groupBy(*keys, "_pane", "_fired", "_closed").agg(*partial_columns(aggs))
+    each = _described_windows(groups, policy, [*keys, *state_merges(aggs)])
+    return each.filter(kept).groupBy(*keys, "start").agg(*merged_columns(aggs))
 
 
 def late_rows(df: DataFrame, time: str, pos: str, policy: SlidingPolicy, moves: Column | None = None) -> DataFrame:
@@ -272,6 +288,60 @@ def panes(
     return _ranges_to_rows(spread, [*keep, "pane_kind"], "count")
 
 
+def pane_aggregates(
+    df: DataFrame,
+    time: str,
+    pos: str,
+    policy: SlidingPolicy,
+    keys: list[str],
+    aggs: dict[str, Aggregate],
+    early_every: int | None = None,
+    moves: Column | None = None,
+    max_group_rows: int = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """The reports of ``panes`` with other aggregates than the count: ``start, end, keys, pane_kind`` and ``aggs``, over the rows a
+    window had taken by then.
+
+    On-time panes come from states by pane, as final results do. A late pane shows the on-time state with the late rows up to
+    it, an early pane the rows in time up to it: running aggregates in arrival order, over only the rows that are late (or,
+    with ``early_every``, in time) for a window. They are made of sums, minima and maxima, so all parts of a state have to be.
+    """
+    closing = _closing_positions(df, time, pos, policy, moves)
+    merges = state_merges(aggs)
+    known = {F.sum: "sum", F.min: "min", F.max: "max"}
+    if not set(merges.values()) <= set(known):
+        raise ValueError("early and late panes need states that are sums, minima and maxima")
+    so_far = {c: Running(known[m], c) for c, m in merges.items()}
+    timely, late = F.col("_i") >= F.col("_fired"), (F.col("_i") < F.col("_fired")) & (F.col("_i") >= F.col("_closed"))
+    on_time = _window_states(df, time, pos, policy, keys, closing, aggs, timely)
+    described = _describe(df, time, pos, policy, closing.lists)
+    group = [*keys, "start"]
+
+    def by_row(kept: Column) -> DataFrame:
+        """The states of single rows in the windows that kept them."""
+        each = _described_windows(described, policy, df.columns).filter(kept).repartition(*group)
+        return each.groupBy(*group, F.col(pos).alias("_at")).agg(*partial_columns(aggs))
+
+    def shaped(panes: DataFrame, kind: str) -> DataFrame:
+        return panes.select("start", (F.col("start") + policy.size).alias("end"), *keys, F.lit(kind).alias("pane_kind"), *finished_columns(aggs))
+
+    # a window's on-time state comes before its late rows
+    first = on_time.withColumn("_at", F.lit(None).cast(df.schema[pos].dataType)).withColumn("_after", F.lit(0))
+    grown = _grown(by_row(late).withColumn("_after", F.lit(1)).unionByName(first), group, so_far, max_group_rows)
+    result = shaped(on_time, "on_time").unionByName(shaped(grown.filter("_after = 1"), "late"))
+    if early_every:
+        early = _grown(by_row(timely).withColumn("_after", F.lit(1)), group, so_far, max_group_rows)
+        result = result.unionByName(shaped(early.filter(F.col("_turn") % early_every == 0), "early"))
+    return result
+
+
+def _grown(states: DataFrame, group: list[str], so_far: dict[str, Running], max_group_rows: int) -> DataFrame:
+    """States of single rows (``_after``, ``_at``: their order) replaced by those of all rows up to them; ``_turn`` numbers them."""
+    added = {f"_sum_{c}": r for c, r in so_far.items()} | {"_turn": Running("count")}
+    grown = running(states, group, ["_after", "_at"], added, max_group_rows)
+    return grown.select(*group, "_after", "_turn", *[F.col(f"_sum_{c}").alias(c) for c in so_far])
+
+
 def discarding(
     df: DataFrame, time: str, pos: str, policy: SlidingPolicy, keys: list[str], early_every: int
 ) -> DataFrame:

@@ -30,6 +30,7 @@ from tidemark.functions.ticks import POSITION, floor_div, never
 from tidemark.operators.islands import block_size, islands, label_islands, range_min_ahead
 from tidemark.operators.progress import first_reached
 from tidemark.operators.running import MAX_GROUP_ROWS, Running, running
+from tidemark.operators.windows import Aggregate, finished_columns, merged_columns, partial_columns, state_merges
 from tidemark.session import BROADCAST_ROWS, at_most, broadcast_if_small, join_null_safe, materialise
 
 
@@ -129,17 +130,24 @@ def decide(
     counted: Column | None = None,
     max_group_rows: int = MAX_GROUP_ROWS,
     block: int | None = None,
+    aggs: dict[str, Aggregate] | None = None,
+    whole: bool = False,
 ) -> Decision:
     """Sort every row into a session, or out.
 
     ``data`` marks the rows that enter sessions, ``moves`` those that move progress, and
     ``counted`` those that count (default: all rows each). ``pos`` is unique, or a batch
     number if progress is made per finished batch.
+
+    With ``aggs`` the sessions and points have their states too, over timely rows. With ``whole`` the rows have all columns
+    of ``df``: what becomes of late rows is decided on positions only, and the rows are fetched by position after that.
     """
+    aggs = aggs or {}
     closing = _closing_positions(df, time, pos, policy, moves)
     weight = F.lit(1) if counted is None else F.when(counted, 1).otherwise(0)
+    more = [c for c in df.columns if c not in keys] if aggs or whole else []
     rows = df.select(
-        *keys, F.col(time).alias("_t"), F.col(pos).cast(POSITION).alias("_pos"), weight.cast("bigint").alias("_weight"),
+        *keys, *more, F.col(time).alias("_t"), F.col(pos).cast(POSITION).alias("_pos"), weight.cast("bigint").alias("_weight"),
         (F.lit(True) if data is None else data).alias("_data"),
     ).filter("_data").drop("_data").join(closing, F.col("_t") == F.col("tick")).drop("tick")
 
@@ -155,6 +163,7 @@ def decide(
             F.min("_fire_pos").alias("_fire_pos"),
             F.min("_alive_pos").alias("_alive_pos"),
             F.min(F.least("_alive_pos", "_accept_pos")).alias("_joinable_pos"),
+            *partial_columns(aggs),
         )
     )
     summary = points
@@ -162,27 +171,35 @@ def decide(
     late = rows.filter(~timely)
 
     if policy.pre_merge:
-        spine = islands(points, "_t", keys, {"count": F.sum}, None, cut_after="_cut_after", block=block)
+        merges = {"count": F.sum} | state_merges(aggs)
+        spine = islands(points, "_t", keys, merges, None, cut_after="_cut_after", block=block)
         nothing = late.limit(0).withColumn("island", F.lit(None).cast("bigint"))
         return Decision(
             _with_fire(spine, closing, keys), rows.filter(timely), points, nothing, late.limit(0), late
         )
+    narrow = late.drop(*more)
+
+    def fetched(found: DataFrame) -> DataFrame:
+        if not more:
+            return found
+        there = late.select(F.col("_pos").alias("_at"), *more)
+        return found.join(there, F.col("_pos") == F.col("_at")).drop("_at")
 
     points = materialise(label_islands(points, "_t", keys, "_cut_after", "island", summary, block))
     spine = points.groupBy(*keys, "island").agg(
-        F.min("_t").alias("first"), F.max("_t").alias("last"), F.sum("count").alias("count")
+        F.min("_t").alias("first"), F.max("_t").alias("last"), F.sum("count").alias("count"), *merged_columns(aggs)
     ).drop("island")
 
-    offered = _offered_session(late, points, keys, policy, max_group_rows, block)
+    offered = _offered_session(narrow, points, keys, policy, max_group_rows, block)
     verdicts = _acceptance(offered, points, keys, policy, block)
     alone = ~F.col("_joins") & _not_after(at, F.col("_accept_pos"))
     return Decision(
         _with_fire(spine, closing, keys),
         rows.filter(timely),
         points,
-        verdicts.filter("_joins").drop("_joins"),
-        verdicts.filter(alone).drop("_joins", "island"),
-        verdicts.filter(~F.col("_joins") & ~alone).drop("_joins", "island"),
+        fetched(verdicts.filter("_joins").drop("_joins")),
+        fetched(verdicts.filter(alone).drop("_joins", "island")),
+        fetched(verdicts.filter(~F.col("_joins") & ~alone).drop("_joins", "island")),
     )
 
 
@@ -190,7 +207,7 @@ def _with_fire(spine: DataFrame, closing: DataFrame, keys: list[str]) -> DataFra
     """Sessions plus the position at which they fire (NULL: progress never got there)."""
     return spine.join(
         closing.select(F.col("tick").alias("last"), F.col("_fire_pos").alias("fire_pos")), "last"
-    ).select(*keys, "first", "last", "count", "fire_pos")
+    ).select(*spine.columns, "fire_pos")
 
 
 def _offered_session(
@@ -436,12 +453,16 @@ def policy_sessions(
     end_is_last: bool = False,
     max_group_rows: int = MAX_GROUP_ROWS,
     block: int | None = None,
+    aggs: dict[str, Aggregate] | None = None,
 ) -> DataFrame:
-    """One row per session with all the rows the policy accepted: ``start, end, keys, count``.
+    """One row per session with all the rows the policy accepted: ``start, end, keys, count``, or instead of the count the
+    results of ``aggs``, which then say themselves (``Agg(when=...)``) which rows count.
 
     Without ``flush`` sessions that progress never closed are left out. ``end_is_last`` labels
     the session with its last event instead of ``last + gap``.
     """
+    if aggs is not None:
+        return _aggregated_sessions(df, time, pos, policy, keys, data, moves, flush, end_is_last, max_group_rows, block, aggs)
     decision = decide(df, time, pos, policy, keys, data, moves, counted, max_group_rows, block)
     fired = decision.sessions if flush else decision.sessions.filter(F.col("fire_pos").isNotNull())
     extra = decision.joined.groupBy(*keys, "island").agg(
@@ -460,6 +481,30 @@ def policy_sessions(
     return result.unionByName(single).select(F.col("first").alias("start"), end.alias("end"), *keys, "count")
 
 
+def _aggregated_sessions(
+    df: DataFrame, time: str, pos: str, policy: SessionPolicy, keys: list[str], data: Column | None, moves: Column | None,
+    flush: bool, end_is_last: bool, max_group_rows: int, block: int | None, aggs: dict[str, Aggregate],
+) -> DataFrame:
+    """`policy_sessions` with other aggregates: states of timely rows come with the sessions, those of late rows that
+    joined are added by session, and rows that are alone are sessions of their own."""
+    names, aggs = list(aggs), {f"_agg_{name}": agg for name, agg in aggs.items()}
+    decision = decide(df, time, pos, policy, keys, data, moves, None, max_group_rows, block, aggs)
+    states = list(state_merges(aggs))
+    fired = decision.sessions if flush else decision.sessions.filter(F.col("fire_pos").isNotNull())
+    joined = decision.joined.groupBy(*keys, F.col("island").alias("_session")).agg(F.min("_t").alias("_from"), *partial_columns(aggs))
+    open_ended = F.lit(None).cast("bigint")
+    both = fired.select(*keys, F.col("first").alias("_session"), F.col("first").alias("_from"), "last", *states).unionByName(
+        joined.select(*keys, "_session", "_from", open_ended.alias("last"), *states))
+    merged = both.groupBy(*keys, "_session").agg(F.min("_from").alias("first"), F.max("last").alias("last"), *merged_columns(aggs))
+    single = decision.single.groupBy(*keys, "_t", "_pos").agg(*partial_columns(aggs)).select(
+        *keys, F.col("_t").alias("first"), F.col("_t").alias("last"), *states)
+    end = F.col("last") if end_is_last else F.col("last") + policy.gap
+    # late rows of a session that is not reported have no last tick
+    found = merged.filter(F.col("last").isNotNull()).select(*keys, "first", "last", *states).unionByName(single)
+    results = [result.alias(name) for result, name in zip(finished_columns(aggs), names)]
+    return found.select(F.col("first").alias("start"), end.alias("end"), *keys, *results)
+
+
 def dropped_rows(
     df: DataFrame,
     time: str,
@@ -470,8 +515,10 @@ def dropped_rows(
     moves: Column | None = None,
     **options,
 ) -> DataFrame:
-    """The rows no session accepted: ``keys, time, pos``."""
+    """The rows no session accepted: ``keys, time, pos``, or with ``whole=True`` all their columns."""
     decision = decide(df, time, pos, policy, keys, data, moves, None, **options)
+    if options.get("whole"):
+        return decision.dropped.select(*df.columns)
     return decision.dropped.select(
         *keys, F.col("_t").alias(time), F.col("_pos").cast(df.schema[pos].dataType).alias(pos)
     )

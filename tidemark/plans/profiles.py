@@ -15,7 +15,7 @@ from tidemark.operators import lateness, session_policies
 from tidemark.operators.lateness import SlidingPolicy
 from tidemark.operators.routing import is_control
 from tidemark.operators.session_policies import SessionPolicy
-from tidemark.operators.windows import COUNT, sliding_right_closed
+from tidemark.operators.windows import COUNT, Aggregate, sliding_right_closed
 
 
 @dataclass(frozen=True)
@@ -60,16 +60,16 @@ class Profile:
 
     def sliding(
         self, df: DataFrame, time: str, pos: str, size: int, slide: int, keys: list[str], control_key: str = "W",
-        key: str = "key",
+        key: str = "key", aggs: dict[str, Aggregate] = COUNT,
     ) -> DataFrame:
-        """Final count per window and key: ``start, end, keys, count``.
+        """Final count per window and key: ``start, end, keys, count``, or other ``aggs``.
 
         ``pos`` is the arrival position, or the batch number for a profile with ``per_batch``.
         """
         control = is_control(key, control_key, self.ignore_case)
         if self.right_closed:
             timely = lateness.not_behind(df, time, pos, self.lag)
-            windows = sliding_right_closed(timely.filter(~control), time, size, slide, keys, COUNT)
+            windows = sliding_right_closed(timely.filter(~control), time, size, slide, keys, aggs)
             if self.flush:
                 return windows
             # without an end of input only windows that progress reached are reported
@@ -78,7 +78,7 @@ class Profile:
         counted = None if self.control == "count" else ~control
         moves = control if self.control == "progress" else None
         return lateness.final_counts(
-            df, time, pos, self.sliding_policy(size, slide), keys, moves, counted, self.flush
+            df, time, pos, self.sliding_policy(size, slide), keys, moves, counted, self.flush, aggs
         )
 
     def late(self, df: DataFrame, time: str, pos: str, size: int, slide: int) -> DataFrame:
@@ -97,7 +97,8 @@ class Profile:
         self, df: DataFrame, time: str, pos: str, gap: int, keys: list[str], control_key: str = "W", key: str = "key",
         **options,
     ) -> DataFrame:
-        """Final count per session and key: ``start, end, keys, count``."""
+        """Final count per session and key: ``start, end, keys, count``, or other ``aggs`` (then sessions of control rows are
+        no special case: the aggregates say which rows count)."""
         rows = self._session_rows(is_control(key, control_key, self.ignore_case))
         return session_policies.policy_sessions(
             df, time, pos, self.session_policy(gap), keys, flush=self.flush, end_is_last=self.end_is_last,

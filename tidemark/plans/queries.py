@@ -17,7 +17,7 @@ from tidemark.operators.islands import sessions
 from tidemark.operators.routing import is_control, split, without_time
 from tidemark.operators.session_panes import early_panes, session_panes
 from tidemark.operators.user_functions import WindowFunction, count_function, session_function, sliding_function
-from tidemark.operators.windows import COUNT, Agg, Composed, sliding, sliding_right_closed, tumbling
+from tidemark.operators.windows import COUNT, Agg, Aggregate, Composed, sliding, sliding_right_closed, tumbling
 from tidemark.plans.profiles import PROFILES, profile_diff
 from tidemark.plans.tables import MINUTE_US, events, replay
 from tidemark.sources.parsing import parse_lines
@@ -474,6 +474,52 @@ def discarding_panes(spark, folder):
     return lateness.discarding(replay(spark, folder), "t", "pos", policy, ["key"], early_every=2)
 
 
+_VALUES = "min(value) {over} AS lowest, max(value) {over} AS highest, round(avg(value) {over}, 6) AS average"
+
+
+def _value_aggregates() -> dict[str, Aggregate]:
+    return {"lowest": Agg("min", F.col("value")), "highest": Agg("max", F.col("value")), "average": Agg("avg", F.col("value"))}
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("average", F.round("average", 6))
+
+
+@query(
+    "sliding_on_time_avg",
+    f"""WITH {PAIRS}
+SELECT s AS start, s + 60 AS "end", key, {_VALUES.format(over="")} FROM pairs WHERE wm IS NULL OR s + 59 > wm GROUP BY s, key""",
+)
+def sliding_on_time_avg(spark, folder):
+    return _rounded(PROFILES["flink"].sliding(replay(spark, folder), "t", "pos", SIZE, SLIDE, ["key"], aggs=_value_aggregates()))
+
+
+_GROWN = "OVER (PARTITION BY s, key ORDER BY n ROWS UNBOUNDED PRECEDING)"
+_VALUE_PANES_SQL = f"""WITH {PAIRS}, kept AS (
+  SELECT *, (wm IS NULL OR s + 59 > wm) AS timely, row_number() OVER (PARTITION BY s, key ORDER BY n) AS r,
+    {_VALUES.format(over=_GROWN)}
+  FROM pairs WHERE wm IS NULL OR s + 59 + {LATENESS} > wm),
+on_time AS (SELECT s, key, 'on_time' AS pane_kind, {_VALUES.format(over="")} FROM kept WHERE timely GROUP BY s, key)
+SELECT s AS start, s + 60 AS "end", key, pane_kind, lowest, highest, average FROM (
+  SELECT s, key, pane_kind, lowest, highest, average FROM on_time
+  UNION ALL SELECT s, key, 'late', lowest, highest, average FROM kept WHERE NOT timely{{early}})"""
+
+
+@query("allowed_lateness_avg_panes", _VALUE_PANES_SQL.format(early=""))
+def allowed_lateness_avg_panes(spark, folder):
+    policy = PROFILES["flink"].with_lateness(LATENESS).sliding_policy(SIZE, SLIDE)
+    return _rounded(lateness.pane_aggregates(replay(spark, folder), "t", "pos", policy, ["key"], _value_aggregates()))
+
+
+@query(
+    "early_avg_panes",
+    _VALUE_PANES_SQL.format(early=" UNION ALL SELECT s, key, 'early', lowest, highest, average FROM kept WHERE timely AND r % 5 = 0"),
+)
+def early_avg_panes(spark, folder):
+    policy = PROFILES["flink"].with_lateness(LATENESS).sliding_policy(SIZE, SLIDE)
+    return _rounded(lateness.pane_aggregates(replay(spark, folder), "t", "pos", policy, ["key"], _value_aggregates(), early_every=5))
+
+
 # ---- text ------------------------------------------------------------------------------------
 
 
@@ -628,7 +674,7 @@ def split_control_rows(spark, folder):
 # Record by record in SQL: with progress at the largest time seen, a key has at most one open
 # session, so the state is one row per key. ``done`` is the session that a step closed.
 _SESSION_STATE_SQL = """WITH RECURSIVE {arr}, k AS (
-  SELECT key, t, wm, row_number() OVER (PARTITION BY key ORDER BY n) AS r FROM arr),
+  SELECT event_id, key, t, value, arrival, wm, {weight} AS w, row_number() OVER (PARTITION BY key ORDER BY n) AS r FROM arr),
 steps AS (
   SELECT key, 0::BIGINT AS r, NULL::BIGINT AS f, NULL::BIGINT AS l, 0::BIGINT AS c,
          NULL::BIGINT AS df, NULL::BIGINT AS dl, 0::BIGINT AS dc, NULL::BIGINT AS t, TRUE AS took
@@ -637,7 +683,7 @@ steps AS (
   SELECT key, r,
          CASE WHEN NOT take THEN of WHEN joins THEN least(of, t) ELSE t END,
          CASE WHEN NOT take THEN ol WHEN joins THEN greatest(ol, t) ELSE t END,
-         CASE WHEN NOT take THEN oc WHEN joins THEN oc + 1 ELSE 1 END,
+         CASE WHEN NOT take THEN oc WHEN joins THEN oc + w ELSE w END,
          CASE WHEN of IS NULL OR (take AND NOT joins) THEN pf END,
          CASE WHEN of IS NULL OR (take AND NOT joins) THEN pl END,
          CASE WHEN of IS NULL OR (take AND NOT joins) THEN pc ELSE 0 END,
@@ -645,7 +691,7 @@ steps AS (
   FROM (
     SELECT *, {take} AS take FROM (
       SELECT *, of IS NOT NULL AND t - ol {touch} AND of - t {touch} AS joins FROM (
-        SELECT k.key, k.r, k.t, k.wm, s.f AS pf, s.l AS pl, s.c AS pc,
+        SELECT k.key, k.r, k.t, k.wm, k.w, s.f AS pf, s.l AS pl, s.c AS pc,
                CASE WHEN s.l + 10 + {alive} > k.wm THEN s.f END AS of,
                CASE WHEN s.l + 10 + {alive} > k.wm THEN s.l END AS ol,
                CASE WHEN s.l + 10 + {alive} > k.wm THEN s.c ELSE 0 END AS oc
@@ -659,8 +705,8 @@ closed AS (
 _SESSION_ROWS = 'SELECT f AS start, {end_label} AS "end", key, c AS count FROM closed WHERE f >= 0 {where}'
 
 
-def _state_sql(alive: str, touch: str, take: str, result: str) -> str:
-    return _SESSION_STATE_SQL.format(arr=ARR, alive=alive, touch=touch, take=take) + result
+def _state_sql(alive: str, touch: str, take: str, result: str, weight: str = "1::BIGINT") -> str:
+    return _SESSION_STATE_SQL.format(arr=ARR, alive=alive, touch=touch, take=take, weight=weight) + result
 
 
 _MERGED = "wm IS NULL OR greatest(t, CASE WHEN joins THEN ol ELSE t END) + {} > wm"
@@ -744,6 +790,41 @@ def session_late_rows(spark, folder):
     return PROFILES["flink"].session_drops(replay(spark, folder), "t", "pos", GAP, ["key"]).select("key", "t")
 
 
+@query(
+    "session_late_rows_whole",
+    _state_sql(**_FLINK, result="SELECT k.event_id, k.key, k.t, k.value, k.arrival FROM steps JOIN k USING (key, r) WHERE NOT took"),
+)
+def session_late_rows_whole(spark, folder):
+    """Rows that no session took, with all their columns."""
+    rows = replay(spark, folder).drop("us", "batch", "user_id")
+    return PROFILES["flink"].session_drops(rows, "t", "pos", GAP, ["key"], whole=True).drop("pos")
+
+
+# a row's weight carries one and its value in cents, so that one number counts and sums
+_WITH_VALUE = "(1000000000000 + CAST(round(value * 100) AS BIGINT))"
+_AVG_ROWS = """SELECT f AS start, l + 10 AS "end", key, c // 1000000000000 AS count,
+  round((c % 1000000000000) / (c // 1000000000000), 6) AS average FROM closed WHERE f >= 0"""
+
+
+def _count_and_average() -> dict[str, Aggregate]:
+    return {"count": Agg("count"), "average": Agg("avg", F.round(F.col("value") * 100).cast("bigint"))}
+
+
+@query("session_policy_avg", _state_sql(**_FLINK, result=_AVG_ROWS, weight=_WITH_VALUE))
+def session_policy_avg(spark, folder):
+    found = PROFILES["flink"].sessions(replay(spark, folder), "t", "pos", GAP, ["key"], aggs=_count_and_average())
+    return found.withColumn("average", F.round("average", 6))
+
+
+@query(
+    "session_policy_avg_pre_merge",
+    _state_sql(**_BEAM, result=_AVG_ROWS + " AND upper(key) <> 'SIGNUP'", weight=_WITH_VALUE),
+)
+def session_policy_avg_pre_merge(spark, folder):
+    found = PROFILES["beam"].sessions(replay(spark, folder), "t", "pos", GAP, ["key"], CONTROL, aggs=_count_and_average())
+    return found.withColumn("average", F.round("average", 6))
+
+
 @query(
     "session_late_rows_pre_merge",
     f"WITH {ARR} SELECT key, t FROM arr WHERE t + 10 <= wm AND upper(key) <> 'SIGNUP'",
