@@ -11,7 +11,7 @@ from tidemark.plans.profiles import PROFILES
 from tidemark.sources import readers
 from tidemark.streaming import sinks
 from tidemark.streaming.live import live_session_counts, live_sliding_counts, merge_sessions_early
-from tidemark.streaming.stateful import live_panes, live_running_average, live_session_panes
+from tidemark.streaming.stateful import live_count_windows, live_panes, live_running_average, live_session_panes
 
 
 def folder(path, events):
@@ -155,6 +155,49 @@ def test_live_panes_leave_out_early_starts(spark, tmp_path):
     assert on_time == {(r.start, r.end, r.key, r["count"]) for r in replayed if r.end <= 500}
 
 
+@pytest.mark.parametrize("size, slide, lines, keyed", [(5, 2, 3, True), (6, 4, 50, True), (2, 3, 7, False)])
+def test_live_count_windows(spark, tmp_path, size, slide, lines, keyed):
+    """However the rows are cut to batches, the windows are those of the replay."""
+    import brute
+    from data import disordered
+
+    from tidemark.sources.ordered import stream_ordered_events
+
+    events = [(t, k, 1) for t, k in disordered(51, n=24)]
+    path = tmp_path / "in"
+    path.mkdir()
+    (path / "a.csv").write_text("\n".join(f"{t},{k},{v}" for t, k, v in events))
+    windows = live_count_windows(stream_ordered_events(spark, str(path), lines_per_batch=lines), size, slide, keyed, arrival="arrival")
+    query = windows.writeStream.format("memory").queryName(f"count_{size}").outputMode("append").trigger(processingTime="0 seconds").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    got = sorted((r.key, r.firing, r.min_ts, r.max_ts, r["count"]) for r in spark.table(f"count_{size}").collect())
+    assert got == brute.count_windows(rows(events), size, slide, keyed) and len(got) >= 5
+
+
+def test_a_look_reads_a_snapshot_and_the_tail(spark, tmp_path):
+    log = sinks._ChangeLog(str(tmp_path), ["key"], 5)
+    want = {}
+    for batch in range(13):
+        changed = [(s, s + 10, key, batch * 10 + s) for s in range(batch % 3, 6, 2) for key in ("A", None)]
+        want |= {(s, key): n for s, _, key, n in changed}
+        log.write(spark.createDataFrame(changed, "start_ms bigint, end_ms bigint, key string, count bigint"), batch)
+    look = sinks.latest(spark, str(tmp_path))
+    assert {(r.start_ms, r.key): r["count"] for r in look.collect()} == want
+    read = {part for f in look.inputFiles() for part in f.split("/") if "=" in part}
+    assert read == {"upto=9", "batch=10", "batch=11", "batch=12"}
+    # a batch that runs again replaces what it wrote, its snapshot too
+    log.write(spark.createDataFrame([(0, 10, "A", 777)], "start_ms bigint, end_ms bigint, key string, count bigint"), 9)
+    assert {(r.start_ms, r.key): r["count"] for r in log.newest(spark).collect()}[0, "A"] in (777, want[0, "A"])
+    # a folder that was not finished does not count
+    (tmp_path / "batch=13").mkdir()
+    assert {(r.start_ms, r.key) for r in sinks.latest(spark, str(tmp_path)).collect()} == set(want)
+    with pytest.raises(ValueError):
+        sinks.latest(spark, str(tmp_path / "nothing"))
+
+
 def test_running_average(spark, tmp_path):
     path = folder(tmp_path / "in", INORDER)
     got, _ = run(live_running_average(stream_events(spark, path), "value"), "averages")

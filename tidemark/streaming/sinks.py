@@ -59,25 +59,52 @@ def to_each_batch(
     return _writer(df, mode, trigger, checkpoint).foreachBatch(write)
 
 
-def to_changelog(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    """Every change of a count as it happens. A batch that is run again replaces its own folder."""
-
-    def write(rows: DataFrame, batch: int) -> None:
-        rows.withColumn("changed_in", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(
-            f"{path}/batch={batch}"
-        )
-
-    return to_each_batch(df, write, checkpoint, "update", trigger)
+class _ChangeLog:
+    """Changed counts by batch, ``path/batch=n``, and from time to time a snapshot of the newest counts,
+    ``path/_snapshots/upto=n``. A folder counts once it has Spark's mark of success."""
+
+    def __init__(self, path: str, keys: list[str], snapshot_every: int):
+        self.path, self.keys, self.every = path, keys, snapshot_every
+
+    def write(self, rows: DataFrame, batch: int) -> None:
+        """One batch; run again, it replaces what it wrote. Every ``snapshot_every`` batches a new snapshot is made of the one
+        before and the batches since."""
+        rows.withColumn("changed_in", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        if (batch + 1) % self.every == 0:
+            self.newest(rows.sparkSession, batch).write.mode("overwrite").parquet(f"{self.path}/_snapshots/upto={batch}")
+
+    def newest(self, spark: SparkSession, made_at: int | None = None) -> DataFrame:
+        """The newest count per window and key, from the last snapshot (one made at ``made_at`` doesn't count) and the tail."""
+        snapshots = [n for n in _numbered(spark, f"{self.path}/_snapshots", "upto") if n != made_at]
+        upto = max(snapshots, default=-1)
+        folders = [f"{self.path}/batch={n}" for n in _numbered(spark, self.path, "batch") if n > upto]
+        folders += [f"{self.path}/_snapshots/upto={upto}"] if snapshots else []
+        if not folders:
+            raise ValueError(f"no batch has been written to {self.path}")
+        group = ["start_ms", "end_ms", *self.keys]
+        newest = spark.read.parquet(*folders).groupBy(*group).agg(F.max(F.struct("changed_in", "count")).alias("_newest"))
+        return newest.select(*group, "_newest.count", "_newest.changed_in")
+
+
+def _numbered(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """Numbers ``n`` of the complete folders ``name=n``. The driver lists names only."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found or [])
+
+
+def to_changelog(
+    df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, keys: list[str] | None = None, snapshot_every: int = 20
+):
+    """Every change of a count as it happens, and every ``snapshot_every`` batches a snapshot, so that a look at the counts
+    (`latest`) reads one snapshot and the batches since. A batch that is run again replaces its own folders."""
+    log = _ChangeLog(path, ["key"] if keys is None else keys, snapshot_every)
+    return to_each_batch(df, log.write, checkpoint, "update", trigger)
 
 
 def latest(spark: SparkSession, path: str, keys: list[str] | None = None) -> DataFrame:
-    """The changelog as a table: the newest count per window and key."""
-    keys = ["key"] if keys is None else keys
-    return (
-        spark.read.parquet(path)
-        .groupBy("start_ms", "end_ms", *keys)
-        .agg(F.max_by("count", "changed_in").alias("count"))
-    )
+    """The change log as a table: the newest count per window and key, as of the last complete batch."""
+    return _ChangeLog(path, ["key"] if keys is None else keys, 1).newest(spark).drop("changed_in")
 
 
 def to_results_and_late(df: DataFrame, results: str, late: str, checkpoint: str, trigger: dict | None = None):

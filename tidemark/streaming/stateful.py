@@ -12,6 +12,7 @@ dropped, while the declared watermark (delay zero) is the progress the state see
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import gcd
 
 import numpy as np
 import pandas as pd
@@ -257,6 +258,69 @@ def live_session_panes(
     )
 
 
+class _CountWindows(StatefulProcessor):
+    """State per key: how many rows came, and the slices that a later window still covers."""
+
+    def __init__(self, size: int, slide: int):
+        self.size, self.slide, self.slice_rows = size, slide, gcd(size, slide)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "n bigint")
+        self.slices = handle.getMapState("slices", "slice bigint", "min_ts bigint, max_ts bigint, n bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n = self.seen.get()[0] if self.seen.exists() else 0
+        held = {k[0]: tuple(v) for k, v in self.slices.iterator()} if n else {}
+        before = set(held)
+        changed: set[int] = set()
+        for ticks in _in_arrival_order(rows):
+            # rows of a slice are next to each other
+            numbers = (np.arange(n, n + len(ticks)) // self.slice_rows) + 1
+            begin = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]])) if len(ticks) else np.empty(0, int)
+            low, high = (f.reduceat(ticks, begin) if len(begin) else begin for f in (np.minimum, np.maximum))
+            sizes = np.diff(np.append(begin, len(ticks)))
+            for number, lo, hi, size in zip(numbers[begin].tolist(), low.tolist(), high.tolist(), sizes.tolist()):
+                old = held.get(number)
+                held[number] = (lo, hi, size) if old is None else (min(old[0], lo), max(old[1], hi), old[2] + size)
+                changed.add(number)
+            out = []
+            for firing in range((n // self.slide + 1) * self.slide, n + len(ticks) + 1, self.slide):
+                last = firing // self.slice_rows
+                window = [held[k] for k in range(max(1, (firing - self.size) // self.slice_rows + 1), last + 1)]
+                out.append((key[0], firing, min(w[0] for w in window), max(w[1] for w in window), sum(w[2] for w in window)))
+            n += len(ticks)
+            # the next window to fire begins after this row
+            passed = ((n // self.slide + 1) * self.slide - self.size) // self.slice_rows
+            for number in [k for k in held if k <= passed]:
+                del held[number]
+            yield pd.DataFrame(out, columns=["key", "firing", "min_ts", "max_ts", "count"])
+        for number in before - set(held):
+            self.slices.removeKey((number,))
+        for number in changed & set(held):
+            self.slices.updateValue((number,), held[number])
+        self.seen.update((n,))
+
+    def close(self) -> None:
+        pass
+
+
+def live_count_windows(
+    events: DataFrame, size: int, slide: int, keyed: bool = True, arrival: str | None = None, time: str = "event_time", key: str = "key"
+) -> DataFrame:
+    """Windows of the last ``size`` rows of a key (of all rows, if not ``keyed``), every ``slide`` rows as they come: ``key,
+    firing, min_ts, max_ts, count``, times in milliseconds, ``firing`` the number of the row that fired it.
+
+    Within a batch rows are taken in ``arrival`` order if there is such a column. The state of a key is one aggregate for each
+    slice of ``gcd(size, slide)`` rows that a window to come covers, at most ``size / gcd`` of them, and not its rows. A
+    key is one task, and so is everything if not ``keyed``: row numbers follow from the order of all its rows.
+    """
+    columns = [(F.col(key) if keyed else F.lit(None).cast("string")).alias("key"), F.unix_millis(time).alias("ts_ms")]
+    rows = events.select(*columns, *([F.col(arrival).alias("arrival")] if arrival else []))
+    return rows.groupBy("key").transformWithStateInPandas(
+        _CountWindows(size, slide), "key string, firing bigint, min_ts bigint, max_ts bigint, count bigint", "Append", "None"
+    )
+
+
 class _RunningAverage(StatefulProcessor):
     """State per key: how many results there were, and their sum."""
 
