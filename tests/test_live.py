@@ -76,6 +76,12 @@ def _live_equals_replay(spark, path, events, which, dropped):
     assert reported(spark, dropped, query) == {"inorder": 0, "delayed": 7}[which]
 
 
+def test_a_watched_folder_is_created(spark, tmp_path):
+    later = tmp_path / "not" / "there"
+    got, _ = run(stream_events(spark, str(later)), "nothing_yet")
+    assert got == [] and later.is_dir()
+
+
 def test_control_rows_move_progress_but_do_not_count(spark, tmp_path):
     path = folder(tmp_path / "in", INORDER)
     counts = live_sliding_counts(stream_events(spark, path), "10 milliseconds", "2 milliseconds", control_key="W")
@@ -228,6 +234,12 @@ def test_sinks(spark, tmp_path):
     assert sorted(r.start_ms for r in spark.read.parquet(late).collect()) == [1, 1, 2, 2, 5, 14, 19]
     assert spark.read.parquet(out).filter("pane_kind = 'on_time' AND start_ms = 6").first()["count"] == 2
 
+    panes = live_panes(stream_events(spark, str(tmp_path / "late")), SlidingPolicy(10, 2, -1, -1))
+    lines = str(tmp_path / "late_lines")
+    sinks.to_results_and_late(panes, str(tmp_path / "r2"), lines, str(tmp_path / "c4"), sinks.UNTIL_DONE, late_as_text=True).start().awaitTermination()
+    got = sorted(r.value for r in spark.read.text(lines).collect())
+    assert got == [f"(1970-01-01 00:00:00.{t:02},1970-01-01 00:00:00.{t:02},1)" for t in (1, 1, 2, 2, 5, 14, 19)]
+
     batch = spark.createDataFrame([(1, 36, "A", 11)], "start bigint, end bigint, key string, count bigint")
     sinks.write_text(batch, str(tmp_path / "batch"))
     assert [r.value for r in spark.read.text(str(tmp_path / "batch")).collect()] == ["(1,36,A,11)"]

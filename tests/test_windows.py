@@ -14,6 +14,7 @@ from tidemark.operators.running import Running, running
 from tidemark.operators.windows import Agg, native_session, native_sliding, sliding, sliding_right_closed, tumbling
 from tidemark.plans.profiles import PROFILES, profile_diff
 from tidemark.plans.tables import replay
+from tidemark.session import in_ranges
 
 WINDOW = ("start", "key", "count")
 
@@ -231,17 +232,32 @@ def test_shuffled_branches_give_the_same(spark, monkeypatch, name):
 
     want = result()
     monkeypatch.setattr(lateness, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(progress, "BLOCK", 16)
     assert result() == want and want
 
 
-def test_blocks_follow_the_density(spark, monkeypatch):
-    """Bounds far apart share blocks, so the window over all blocks stays short."""
-    monkeypatch.setattr(progress, "BLOCK", 8)
-    bounds = [i * 1_000_003 for i in range(400)]
-    position = {b: (i * 37) % 400 for i, b in enumerate(bounds)}
+def test_blocks_follow_the_count(spark):
+    """Bounds far apart share blocks, and one at the end of time doesn't put the others into one."""
+    bounds = [i * 1_000_003 for i in range(400)] + [253_402_300_799_000_000]
+    position = {b: (i * 37) % 401 for i, b in enumerate(bounds)}
     observed = spark.createDataFrame([(b, p) for b, p in position.items() if p % 3], "bound bigint, pos bigint")
     probes = spark.createDataFrame([(b + d,) for b in bounds for d in (0, 5)], "bound bigint")
     found = progress.first_reached(observed, probes, "bound", "pos", "at")
     want = {b + d: min((p for c, p in position.items() if p % 3 and c >= b + d), default=None) for b in bounds for d in (0, 5)}
     assert {r.bound: r["at"] for r in found.collect()} == want
+    sizes = [r["count"] for r in in_ranges(probes, ["bound"], "part", 4).groupBy("part").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
+
+
+def test_a_hot_key_at_fine_ticks_is_cut(spark):
+    """One key at microseconds, with one row far away: no block has more than its share of points."""
+    from tidemark.operators.islands import _in_blocks
+
+    times = [i * 7 for i in range(2_000)] + [253_402_300_799_000_000]
+    points = spark.createDataFrame([(t, "A") for t in times], "t bigint, key string")
+    sizes = [r["count"] for r in _in_blocks(points, "t", ["key"], 250, None).groupBy("_block").count().collect()]
+    assert max(sizes) <= 400 and sum(sizes) == len(times)
+    one, many = (collected(sessions(points, "t", 600_000_000, ["key"], block=b), "start", "end", "count") for b in (None, 250))
+    assert one == many and len(one) == 2
+    ahead = [collected(range_min_ahead(points.withColumn("v", -F.col("t")), points, ["key"], "t", {"v": "m"}, 600_000_000, small), "t", "m")
+             for small in (True, False)]
+    assert ahead[0] == ahead[1]

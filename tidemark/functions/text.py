@@ -27,6 +27,12 @@ def gmt_text(epoch_ms: Column) -> Column:
     return F.concat(F.date_format(seconds, "yyyy-MM-dd HH:mm:ss"), F.lit("."), digits)
 
 
+def format_span(first_ms: Column, last_ms: Column, count: Column, key: Column | None = None) -> Column:
+    """``(first time,last time,count)``, or with the key before the count: a report of a count window, times as `gmt_text`."""
+    parts = [gmt_text(first_ms), gmt_text(last_ms), *([] if key is None else [key]), count.cast("string")]
+    return F.concat(F.lit("("), F.concat_ws(",", *parts), F.lit(")"))
+
+
 def bound_or_default(bound: Column, default: int = -1) -> Column:
     """A window bound that may be missing, as a number."""
     return F.coalesce(bound, F.lit(default).cast("bigint"))

@@ -4,7 +4,8 @@ Rows of a key belong together while the next one follows within ``gap``. The cha
 the whole time axis, so a window function per key would sort a hot key in one task. Here:
 
 1. rows are pre-aggregated per (key, tick);
-2. the time axis is cut into blocks and each (key, block) is chained on its own;
+2. keys and times are cut into blocks of about equally many points, and each (key, block) is chained on its own (a small
+   input is one block);
 3. only the first and last chain of a block can go on in a neighbour. Those (at most two per
    key and block) are chained across blocks; all others are finished.
 """
@@ -17,22 +18,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.ticks import floor_div
+from tidemark.operators.running import Running, running
 from tidemark.operators.windows import COUNT, Aggregate, finished_columns, partial_columns, state_merges
-from tidemark.session import broadcast_if_small, join_null_safe
+from tidemark.session import at_most, broadcast_if_small, expected_bytes, in_ranges, join_null_safe, materialise
 
-# Ticks per block: the most rows a (key, block) can have after the pre-aggregation.
-BLOCK_TICKS = 1 << 20
+# Points one task may chain, and the size that Spark may expect of an input that is not cut into blocks.
+BLOCK_POINTS = 1 << 20
+_SMALL_BYTES = 64 << 20
 
 
-def block_size(gap: int, block: int | None = None) -> int:
-    return block or max(BLOCK_TICKS, 4 * gap)
+def _in_blocks(points: DataFrame, time: str, keys: list[str], block: int | None, rows: DataFrame | None) -> DataFrame:
+    """``points`` with their ``_block``. ``block`` asks for blocks of so many points; ``rows`` is a materialised DataFrame with
+    at least as many rows, if there is one."""
+    if block is not None:
+        points = materialise(points)
+        return in_ranges(points, [*keys, time], "_block", -(-points.count() // block) or 1)
+    small = expected_bytes(points) <= _SMALL_BYTES if rows is None else at_most(rows, BLOCK_POINTS)
+    return points.withColumn("_block", F.lit(0)) if small else in_ranges(points, [*keys, time], "_block")
 
 
 def _in_pieces(
-    points: DataFrame, time: str, keys: list[str], gap: int | None, inclusive: bool, cut_after: str | None, block: int | None
+    points: DataFrame, time: str, keys: list[str], gap: int | None, inclusive: bool, cut_after: str | None, block: int | None,
+    rows: DataFrame | None,
 ):
     """Points with the piece of their block they belong to, and the rule for a break."""
-    width = block_size(gap or 1, block)
 
     def breaks(previous_time: Column, previous_cut: Column, now: Column) -> Column:
         condition = previous_time.isNull()
@@ -43,9 +52,7 @@ def _in_pieces(
             condition = condition | F.coalesce(previous_cut, F.lit(False))
         return condition.cast("int")
 
-    blocked = points.withColumns(
-        {"_block": floor_div(F.col(time), width), "_cut": F.col(cut_after) if cut_after else F.lit(False)}
-    )
+    blocked = _in_blocks(points, time, keys, block, rows).withColumn("_cut", F.col(cut_after) if cut_after else F.lit(False))
     in_block = Window.partitionBy(*keys, "_block").orderBy(time)
     pieces = blocked.withColumn(
         "_break", breaks(F.lag(time).over(in_block), F.lag("_cut").over(in_block), F.col(time))
@@ -82,6 +89,7 @@ def islands(
     inclusive: bool = True,
     cut_after: str | None = None,
     block: int | None = None,
+    rows: DataFrame | None = None,
 ) -> DataFrame:
     """Chain ``points`` (one row per key and ``time``) to islands.
 
@@ -90,7 +98,7 @@ def islands(
     columns to the aggregate that merges them. Returns ``keys, first, last`` and the merged columns.
     """
     merged = [merge(name).alias(name) for name, merge in merges.items()]
-    pieces, breaks = _in_pieces(points, time, keys, gap, inclusive, cut_after, block)
+    pieces, breaks = _in_pieces(points, time, keys, gap, inclusive, cut_after, block, rows)
     bounds = _bounds(pieces, time, keys, merged)
     return (
         _chained(bounds, keys, breaks)
@@ -107,7 +115,7 @@ def label_islands(
 
     ``rows`` is a materialised DataFrame with at least as many rows as ``points``.
     """
-    pieces, breaks = _in_pieces(points, time, keys, None, True, cut_after, block)
+    pieces, breaks = _in_pieces(points, time, keys, None, True, cut_after, block, rows)
     chained = _chained(_bounds(pieces, time, keys, []).filter("_at_edge"), keys, breaks)
     starts = chained.select(
         *keys, "_block", "_piece", F.min("first").over(Window.partitionBy(*keys, "_chain")).alias("_chain_first")
@@ -144,7 +152,7 @@ def sessions(
 
 
 def range_min_ahead(
-    points: DataFrame, probes: DataFrame, keys: list[str], time: str, values: dict[str, str], reach: int
+    points: DataFrame, probes: DataFrame, keys: list[str], time: str, values: dict[str, str], reach: int, small: bool = False
 ) -> DataFrame:
     """For every probe ``(keys, time)``: the smallest values of the key's points in
     ``(time, time + reach]``. ``values`` maps columns of ``points`` to result columns, which are
@@ -152,11 +160,12 @@ def range_min_ahead(
 
     A sliding frame would look at every point of the frame for every row. Instead the axis is
     cut into cells of ``reach + 1`` ticks, so that the range covers the rest of the probe's own
-    cell and a beginning of the next one: one running minimum backwards, one forwards.
+    cell and a beginning of the next one: one running minimum backwards, one forwards. ``running`` spreads a cell that holds
+    many points over tasks; where points and probes are known to be few (``small``) one task may have a whole cell.
     """
     cell = reach + 1
 
-    def rows(df, at, role, with_values):
+    def marked(df, at, role, with_values):
         return df.select(
             *keys,
             at.alias("_at"),
@@ -169,23 +178,24 @@ def range_min_ahead(
 
     time_col = F.col(time)
     everything = (
-        rows(points, time_col, "point", True)
-        .unionByName(rows(probes, time_col, "begin", False))
-        .unionByName(rows(probes, time_col + cell, "end", False))
+        marked(points, time_col, "point", True)
+        .unionByName(marked(probes, time_col, "begin", False))
+        .unionByName(marked(probes, time_col + cell, "end", False))
         .withColumn("_cell", floor_div(F.col("_at"), cell))
         .withColumn("_is_point", F.col("_role") == "point")
+        .withColumn("_back", -F.col("_at"))
     )
     # At equal ticks a probe comes before the points: its own tick is outside the range.
-    whole = (Window.unboundedPreceding, Window.currentRow)
-    in_cell = Window.partitionBy(*keys, "_cell")
-    forwards = in_cell.orderBy(F.col("_at"), F.col("_is_point")).rowsBetween(*whole)
-    backwards = in_cell.orderBy(F.desc("_at"), F.col("_is_point")).rowsBetween(*whole)
+    in_cell = [*keys, "_cell"]
+    up, down = ({f"_{way}_{name}": Running("min", name) for name in values} for way in ("up", "down"))
+    if small:
+        forwards, backwards = (Window.partitionBy(*in_cell).orderBy(at, "_is_point") for at in ("_at", "_back"))
+        both = everything.withColumns({c: r.over(forwards) for c, r in up.items()} | {c: r.over(backwards) for c, r in down.items()})
+    else:
+        both = running(running(everything, in_cell, ["_at", "_is_point"], up), in_cell, ["_back", "_is_point"], down)
     begin = F.col("_role") == "begin"
-    both = {f"_up_{name}": F.min(name).over(forwards) for name in values}
-    both.update({f"_down_{name}": F.min(name).over(backwards) for name in values})
     return (
-        everything.withColumns(both)
-        .filter(~F.col("_is_point"))
+        both.filter(~F.col("_is_point"))
         .groupBy(*keys, F.when(begin, F.col("_at")).otherwise(F.col("_at") - cell).alias(time))
         .agg(
             *[

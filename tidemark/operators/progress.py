@@ -15,11 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ticks import floor_div
 from tidemark.operators.running import MAX_GROUP_ROWS, Running, running
-
-# Bounds per block in the two-level suffix minimum, on average.
-BLOCK = 4096
+from tidemark.session import in_ranges
 
 
 def watermark_per_record(
@@ -103,7 +100,7 @@ def first_reached(
 
     A suffix minimum over one row per bound. If the caller knows that there are few bounds
     (``small``) one window does it; otherwise two levels, within blocks of bounds in parallel
-    and over the block minima (about one row per ``BLOCK`` bounds, however far apart they lie).
+    and over the block minima. Blocks are ranges of about equally many bounds, however far apart they lie.
     """
     no_pos = F.lit(None).cast(observed.schema[pos].dataType)
     points = (
@@ -116,10 +113,7 @@ def first_reached(
     if small:
         suffix = F.min("_pos").over(Window.orderBy(F.desc(bound)).rowsBetween(*upwards))
         return points.withColumn(name, suffix).filter("_probe").select(bound, name)
-    # bounds may lie anywhere from one a tick to one a day: the width of a block follows their density
-    span = points.agg(F.min(bound).alias("lo"), F.max(bound).alias("hi"), F.count("*").alias("n")).first()
-    width = max(1, (span["hi"] - span["lo"] + 1) * BLOCK // span["n"]) if span["n"] else BLOCK
-    points = points.withColumn("_block", floor_div(F.col(bound), width))
+    points = in_ranges(points, [bound], "_block")
     blocks = (
         points.groupBy("_block")
         .agg(F.min("_pos").alias("_block_pos"))
@@ -134,6 +128,6 @@ def first_reached(
     return (
         points.withColumn("_within", F.min("_pos").over(inside))
         .filter("_probe")
-        .join(blocks, F.col("_block") == F.col("_of_block"))
+        .join(F.broadcast(blocks), F.col("_block") == F.col("_of_block"))  # a row for each shuffle partition
         .select(bound, F.least("_within", "_after_block").alias(name))
     )

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.ticks import POSITION, floor_div, never
-from tidemark.operators.islands import block_size, islands, label_islands, range_min_ahead
+from tidemark.operators.islands import islands, label_islands, range_min_ahead
 from tidemark.operators.progress import first_reached
 from tidemark.operators.running import MAX_GROUP_ROWS, Running, running
 from tidemark.operators.windows import Aggregate, finished_columns, merged_columns, partial_columns, state_merges
@@ -108,10 +108,12 @@ def _not_after(pos: Column, bound: Column) -> Column:
     return bound.isNull() | (pos <= bound)
 
 
-def _cuts(points: DataFrame, time: str, keys: list[str], policy: SessionPolicy, closes: str, cut: str) -> DataFrame:
+def _cuts(
+    points: DataFrame, time: str, keys: list[str], policy: SessionPolicy, closes: str, cut: str, few: bool
+) -> DataFrame:
     """``points`` plus ``cut``: nothing ahead within reach had arrived when the point closed."""
     ahead = range_min_ahead(
-        points, points.select(*keys, time), keys, time, {"_first_pos": "_ahead_pos"}, policy.reach
+        points, points.select(*keys, time), keys, time, {"_first_pos": "_ahead_pos"}, policy.reach, few
     )
     joined = join_null_safe(points, ahead, [*keys, time])
     return joined.withColumn(
@@ -167,12 +169,13 @@ def decide(
         )
     )
     summary = points
-    points = _cuts(points, "_t", keys, policy, "_alive_pos", "_cut_after")
+    few = at_most(summary, MAX_GROUP_ROWS)
+    points = _cuts(points, "_t", keys, policy, "_alive_pos", "_cut_after", few)
     late = rows.filter(~timely)
 
     if policy.pre_merge:
         merges = {"count": F.sum} | state_merges(aggs)
-        spine = islands(points, "_t", keys, merges, None, cut_after="_cut_after", block=block)
+        spine = islands(points, "_t", keys, merges, None, cut_after="_cut_after", block=block, rows=summary)
         nothing = late.limit(0).withColumn("island", F.lit(None).cast("bigint"))
         return Decision(
             _with_fire(spine, closing, keys), rows.filter(timely), points, nothing, late.limit(0), late
@@ -190,8 +193,8 @@ def decide(
         F.min("_t").alias("first"), F.max("_t").alias("last"), F.sum("count").alias("count"), *merged_columns(aggs)
     ).drop("island")
 
-    offered = _offered_session(narrow, points, keys, policy, max_group_rows, block)
-    verdicts = _acceptance(offered, points, keys, policy, block)
+    offered = _offered_session(narrow, points, keys, policy, max_group_rows, block, few)
+    verdicts = _acceptance(offered, points, keys, policy, block, few)
     alone = ~F.col("_joins") & _not_after(at, F.col("_accept_pos"))
     return Decision(
         _with_fire(spine, closing, keys),
@@ -211,7 +214,7 @@ def _with_fire(spine: DataFrame, closing: DataFrame, keys: list[str]) -> DataFra
 
 
 def _offered_session(
-    late: DataFrame, points: DataFrame, keys: list[str], policy: SessionPolicy, max_group_rows: int, block: int | None
+    late: DataFrame, points: DataFrame, keys: list[str], policy: SessionPolicy, max_group_rows: int, block: int | None, few: bool
 ) -> DataFrame:
     """``late`` plus ``island``: the earliest session of the key that was open when the row came.
 
@@ -220,7 +223,7 @@ def _offered_session(
     """
     stretches = points
     if policy.accept < policy.alive:
-        again = _cuts(points.drop("_cut_after"), "_t", keys, policy, "_joinable_pos", "_pause_after")
+        again = _cuts(points.drop("_cut_after"), "_t", keys, policy, "_joinable_pos", "_pause_after", few)
         stretches = label_islands(
             again.withColumn("_end_after", F.col("_pause_after")), "_t", keys, "_end_after", "_stretch", points, block
         )
@@ -302,12 +305,14 @@ def _offered_session(
     return materialise(result)
 
 
+# Ticks per block where runs of late ticks are followed: the most rows of a block, one for each tick.
+_BLOCK_TICKS = 1 << 20
 # Rounds of plain relaxation before runs of late ticks are followed inside their blocks.
 _PLAIN_ROUNDS = 6
 
 
 def _acceptance(
-    offered: DataFrame, points: DataFrame, keys: list[str], policy: SessionPolicy, block: int | None
+    offered: DataFrame, points: DataFrame, keys: list[str], policy: SessionPolicy, block: int | None, few: bool
 ) -> DataFrame:
     """``offered`` plus ``_joins``: was the late row accepted by the session it was offered?
 
@@ -325,8 +330,9 @@ def _acceptance(
     late = offered.filter(F.col("island").isNotNull())
     unknown = F.lit(None).cast(POSITION)
     asked = materialise(late.groupBy(*at_tick).agg(F.min("_pos").alias("_least")))
+    few = few and at_most(asked, MAX_GROUP_ROWS)
     in_time = range_min_ahead(
-        points.select(*at_tick, "_first_pos"), asked.select(*at_tick), group, "_t", {"_first_pos": "_in_time"}, policy.reach
+        points.select(*at_tick, "_first_pos"), asked.select(*at_tick), group, "_t", {"_first_pos": "_in_time"}, policy.reach, few
     )
     bounds = materialise(
         join_null_safe(asked, in_time, at_tick).select(*at_tick, unknown.alias("_most"), "_least", "_in_time")
@@ -336,7 +342,7 @@ def _acceptance(
     ticks, rounds = bounds, 0
     while True:
         ahead = range_min_ahead(
-            bounds, ticks.select(*at_tick), group, "_t", {"_most": "_after_most", "_least": "_after_least"}, policy.reach
+            bounds, ticks.select(*at_tick), group, "_t", {"_most": "_after_most", "_least": "_after_least"}, policy.reach, few
         )
         judged = materialise(join_null_safe(waiting, ahead, at_tick))
         joins = F.coalesce(F.col("_pos") > F.least("_after_most", "_in_time"), F.lit(False))
@@ -364,7 +370,7 @@ def _acceptance(
         )
         bounds = materialise(bounds)
         if rounds > _PLAIN_ROUNDS:
-            bounds = materialise(_along_ticks(bounds, group, policy.reach, block_size(policy.reach, block)))
+            bounds = materialise(_along_ticks(bounds, group, policy.reach, block or max(_BLOCK_TICKS, 4 * policy.reach), few))
         ticks = bounds.filter(F.col("_earliest").isNotNull())
         bounds = bounds.select(*at_tick, "_most", "_least", "_in_time")
     result = settled[0]
@@ -373,7 +379,7 @@ def _acceptance(
     return result
 
 
-def _along_ticks(bounds: DataFrame, group: list[str], reach: int, width: int) -> DataFrame:
+def _along_ticks(bounds: DataFrame, group: list[str], reach: int, width: int, few: bool) -> DataFrame:
     """Tighten both bounds down runs of unsettled ticks, from late to early.
 
     One input row per tick, so a block of ``width`` ticks (and the first ``reach`` ticks of the
@@ -384,7 +390,7 @@ def _along_ticks(bounds: DataFrame, group: list[str], reach: int, width: int) ->
     settled = bounds.filter(~waits)
     unsettled = bounds.filter(waits)
     outside = range_min_ahead(
-        settled.select(*group, "_t", "_most"), unsettled.select(*group, "_t"), group, "_t", {"_most": "_outside"}, reach
+        settled.select(*group, "_t", "_most"), unsettled.select(*group, "_t"), group, "_t", {"_most": "_outside"}, reach, few
     )
     own = floor_div(F.col("_t"), width)
     seen_by = F.array(own, floor_div(F.col("_t") - reach, width))

@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import format_average, format_row, gmt_text
+from tidemark.functions.text import format_average, format_row, format_span, gmt_text
 from tidemark.operators import lateness, progress
 from tidemark.operators.averages import running_average
 from tidemark.operators.count_windows import count_windows, each_row_a_window
@@ -21,6 +21,7 @@ from tidemark.operators.windows import COUNT, Agg, Aggregate, Composed, sliding,
 from tidemark.plans.profiles import PROFILES, profile_diff
 from tidemark.plans.tables import MINUTE_US, events, replay
 from tidemark.sources.parsing import parse_lines
+from tidemark.streaming.sinks import late_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -427,6 +428,30 @@ def late_rows_as_windows(spark, folder):
     return each_row_a_window(late, "t", ARRIVAL)
 
 
+_MINUTE_TEXT = "strftime(make_timestamp(t * 60000000), '%Y-%m-%d %H:%M:%S.') || '00'"
+
+
+@query("late_rows_text", f"""WITH {ARR} SELECT '(' || {_MINUTE_TEXT} || ',' || {_MINUTE_TEXT} || ',1)' AS value
+FROM arr WHERE t // 15 * 15 + 59 <= wm""")
+def late_rows_text(spark, folder):
+    late = PROFILES["flink"].late(replay(spark, folder), "t", "pos", SIZE, SLIDE)
+    return late_lines(late.withColumn("ms", F.col("t") * (MINUTE_US // 1000)), "ms")
+
+
+_COUNT_TEXT = "strftime(make_timestamp({0} * 60000000), '%Y-%m-%d %H:%M:%S.') || '00'"
+
+
+@query(
+    "count_window_text",
+    "SELECT '(' || " + _COUNT_TEXT.format("min_ts") + " || ',' || " + _COUNT_TEXT.format("max_ts") + " || ',' || key || ',' || count || ')' AS value FROM ("
+    + _COUNT_WINDOW_SQL.format(arr=ARR, part="key", key="key,", before=4, slide=2) + ")",
+)
+def count_window_text(spark, folder):
+    windows = count_windows(replay(spark, folder), "t", ARRIVAL, 5, 2, ["key"])
+    ms = lambda c: F.col(c) * (MINUTE_US // 1000)
+    return windows.select(format_span(ms("min_ts"), ms("max_ts"), F.col("count"), F.col("key")).alias("value"))
+
+
 _PANES_SQL = """WITH {pairs}, kept AS (
   SELECT *, (wm IS NULL OR s + 59 > wm) AS timely, row_number() OVER (PARTITION BY s, key ORDER BY n) AS r
   FROM pairs WHERE wm IS NULL OR s + 59 + {lateness} > wm),

@@ -67,6 +67,18 @@ def at_most(materialised: DataFrame, rows: int) -> bool:
     return materialised.count() <= rows
 
 
+def expected_bytes(df: DataFrame) -> int:
+    """Size of ``df`` as Spark expects it from the sizes of its files; nothing is run. Where nothing is known, very large."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def in_ranges(df: DataFrame, order: list[str], name: str, parts: int | None = None) -> DataFrame:
+    """``df``, written once, with the number ``name`` of the range of ``order`` that a row is in. Ranges hold about equally many
+    rows, however the values lie; there are ``parts`` of them, or as many as the session has shuffle partitions."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialise(df.repartitionByRange(parts, *order).withColumn(name, F.spark_partition_id().cast("bigint")))
+
+
 def broadcast_if_small(df: DataFrame, rows: DataFrame | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of ``df`` only if it is known to be small.
 

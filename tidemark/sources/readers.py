@@ -33,10 +33,18 @@ def read_events(
     return running(parsed, [], ["arrival"], {"pos": Running("count")}, max_group_rows).drop("arrival")
 
 
+def ensure_folder(spark: SparkSession, folder: str) -> str:
+    """Create a folder that is to be watched, on whatever store it is, if it is not there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    return folder
+
+
 def stream_lines(
     spark: SparkSession, folder: str, files_per_trigger: int | None = None, arrival: str | None = None
 ) -> DataFrame:
-    """New files of a folder as a stream of lines, oldest file first; ``files_per_trigger`` limits a batch.
+    """New files of a folder as a stream of lines, oldest file first; ``files_per_trigger`` limits a batch. The folder is
+    created if it is not there.
 
     ``arrival`` names a LONG column for the time the line's file was written, in microseconds: what a live policy takes
     as order within a batch. Lines of one file have no order on a stream.
@@ -44,7 +52,7 @@ def stream_lines(
     reader = spark.readStream.format("text")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    lines = reader.load(folder)
+    lines = reader.load(ensure_folder(spark, folder))
     return lines.select("value", F.unix_micros("_metadata.file_modification_time").alias(arrival)) if arrival else lines
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
 
-from tidemark.functions.text import format_row
+from tidemark.functions.text import format_row, format_span
 
 # A batch every ten seconds unless asked otherwise.
 EVERY_TEN_SECONDS = {"processingTime": "10 seconds"}
@@ -107,14 +107,32 @@ def latest(spark: SparkSession, path: str, keys: list[str] | None = None) -> Dat
     return _ChangeLog(path, ["key"] if keys is None else keys, 1).newest(spark).drop("changed_in")
 
 
-def to_results_and_late(df: DataFrame, results: str, late: str, checkpoint: str, trigger: dict | None = None):
+def late_lines(late: DataFrame, time: str) -> DataFrame:
+    """A text report of late rows (``time`` in milliseconds), one line ``value`` for each row: ``(time,time,1)``, the report of a
+    count window of one row."""
+    return late.select(format_span(F.col(time), F.col(time), F.lit(1)).alias("value"))
+
+
+def write_late_text(late: DataFrame, time: str, path: str) -> None:
+    """The report of late rows as text files, in place of what is there."""
+    late_lines(late, time).write.mode("overwrite").text(path)
+
+
+def to_results_and_late(
+    df: DataFrame, results: str, late: str, checkpoint: str, trigger: dict | None = None, late_as_text: bool = False
+):
     """Split a stream with a ``pane_kind`` column: rows marked ``late_row`` to one folder, reports to
-    another, in the same batch. A batch that is run again replaces its own files."""
+    another, in the same batch. A batch that is run again replaces its own files. ``late_as_text`` writes late rows as a
+    text report (`late_lines`) and not as Parquet."""
 
     def write(rows: DataFrame, batch: int) -> None:
         rows = rows.persist()
         try:
-            rows.filter("pane_kind = 'late_row'").write.mode("overwrite").parquet(f"{late}/batch={batch}")
+            late_rows = rows.filter("pane_kind = 'late_row'")
+            if late_as_text:
+                write_late_text(late_rows, "start_ms", f"{late}/batch={batch}")
+            else:
+                late_rows.write.mode("overwrite").parquet(f"{late}/batch={batch}")
             rows.filter("pane_kind <> 'late_row'").write.mode("overwrite").parquet(f"{results}/batch={batch}")
         finally:
             rows.unpersist()
