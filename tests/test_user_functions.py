@@ -86,7 +86,7 @@ def plain(rows):
     return (max(values) - min(values) if values else None, latest, len(rows) - len(values))
 
 
-@pytest.fixture(params=[3, 1 << 14])
+@pytest.fixture(params=[3])
 def few_states(request, monkeypatch, spark):
     monkeypatch.setattr(user_functions, "_MOST_STATES", request.param)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_SEEN))

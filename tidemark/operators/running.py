@@ -5,7 +5,7 @@
 fine while groups are small and hopeless once a single key holds a third of the table. So the
 size of the largest group is looked at first:
 
-* small groups: one window function, one shuffle;
+* small groups, or a small input: one window function, one shuffle;
 * otherwise: range-partition by ``(keys, order)`` so that a hot group is spread over many
   tasks, number the sorted rows, cut the lineage, aggregate every (group, chunk) to one row,
   turn those into offsets with a prefix aggregate over the few chunk rows, and finish inside
@@ -20,11 +20,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.ticks import POSITION, position_parts
-from tidemark.session import at_most, broadcast_if_small, materialise
+from tidemark.session import at_most, broadcast_if_small, expected_bytes, materialise
 
 # Largest group a single window task is trusted with.
 MAX_GROUP_ROWS = 1_000_000
 
+# Bytes that a row takes in a file at least, or about: an input that Spark expects to be so small isn't looked at first.
+_ROW_BYTES = 8
+
 _FUNCTIONS = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -74,11 +77,11 @@ def running(
     """``df`` plus one column per entry of ``aggregates``. ``order`` must be unique in a group.
 
     ``rows``, a materialised DataFrame with at least as many rows, saves looking at the groups
-    of a ``df`` that is small as a whole.
+    of a ``df`` that is small as a whole; so does a small size of the files it is read from.
     """
     columns = df.columns
     df, sort = _sortable(df, [order] if isinstance(order, str) else order, descending)
-    small = rows is not None and at_most(rows, max_group_rows)
+    small = expected_bytes(df) <= _ROW_BYTES * max_group_rows if rows is None else at_most(rows, max_group_rows)
     if small or largest_group(df, keys) <= max_group_rows:
         window = Window.partitionBy(*keys).orderBy(*sort)
         result = df.withColumns({name: agg.over(window) for name, agg in aggregates.items()})
