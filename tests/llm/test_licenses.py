@@ -19,11 +19,12 @@ def plain(text, templates=TEMPLATES):
     """The row of `license_report`, without the id."""
     words, base, labels, base_labels, score = words_of(text), [], set(), set(), 0.0
     for p in templates:
-        on = defaultdict(set)
+        on, places = defaultdict(set), defaultdict(list)
         for t, g in enumerate(p.grams):
-            for at in range(len(words) - p.gram + 1):
-                if words[at : at + p.gram] == g.split(" "):
-                    on[at - t].add(t)
+            places[g].append(t)
+        for at in range(len(words) - p.gram + 1):
+            for t in places.get(" ".join(words[at : at + p.gram]), ()):
+                on[at - t].add(t)
         spans, last = [], None
         for d in sorted(on):
             if last is None or d - last > p.slack:
@@ -55,7 +56,7 @@ def made(rng):
 def test_reports_equal_a_plain_search(spark):
     rng = random.Random(5)
     rows = [(i, made(rng)) for i in range(150)]
-    rows += [(200, None), (201, ""), (202, "  -- "), (203, "MIT LICENSE"), (204, "mitİ lİcense mit lİcense"), (205, "(mit license"), (206, "mit license mit license"), (207, "mit licensé"), (208, "Kelvin apache license"), (None, "general public license!"), (3, rows[3][1]), (3, rows[3][1]), (3, "another mit license"), (209, "mit license " * 20_000)]
+    rows += [(200, None), (201, ""), (202, "  -- "), (203, "MIT LICENSE"), (204, "mitİ lİcense mit lİcense"), (205, "(mit license"), (206, "mit license mit license"), (207, "mit licensé"), (208, "Kelvin apache license"), (None, "general public license!"), (3, rows[3][1]), (3, rows[3][1]), (3, "another mit license"), (209, "mit license " * 3_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS th", "1 AS n_words", "'y' AS labels", "2 AS p", "3 AS template")
     want = Counter((doc, *plain(text)) for doc, text in rows)
     got = licenses.license_report(docs)

@@ -145,7 +145,7 @@ def _spans(docs: DataFrame, templates: list[Template]) -> DataFrame:
         merged.groupBy(*key, "span").agg(
             F.max("n_words").alias("n_words"), F.max("copies").alias("copies"), F.countDistinct("t").alias("held"),
             F.min(F.col("diagonal") + F.col("t")).alias("start"), F.max(F.col("diagonal") + F.col("t") + F.col("k")).alias("end"))
-        .withColumn("share", F.col("held") / n_grams)
+        .withColumn("share", F.when(F.col("template").isNotNull(), F.col("held") / n_grams))
         .filter(F.col("template").isNull() | (F.col("share") >= needed))
         .select("doc_id", "th", "n_words", "copies", "template", "start", "end", "share")
     )
@@ -171,13 +171,14 @@ def license_report(docs: DataFrame, templates: list[Template] = TEMPLATES) -> Da
     """
     labels = F.element_at(F.array(*[F.lit(p.label) for p in templates]), F.col("template") + 1)
     base = F.element_at(F.array(*[F.lit(p.base) for p in templates]), F.col("template") + 1)
-    of_base = lambda x: F.when(base, x)
+    found = F.col("template").isNotNull()  # a document's row without a template has no label and is no phrase
+    of_base = lambda x: F.when(found & base, x)
     # a document's spans may be many, its labels are at most as many as templates
     each = _spans(docs, templates).groupBy("doc_id", "th").agg(
         F.max("n_words").cast("long").alias("n_words"), F.max(F.when(F.col("template").isNull(), F.col("copies"))).alias("copies"),
         F.count(of_base(F.lit(1))).alias("n_base"), F.min(of_base(F.col("start"))).cast("long").alias("first_word"),
         F.max(of_base(F.col("start"))).cast("long").alias("last_word"), F.collect_set(of_base(labels)).alias("base_labels"),
-        F.collect_set(labels).alias("labels"), F.coalesce(F.max("share"), F.lit(0.0)).alias("score"),
+        F.collect_set(F.when(found, labels)).alias("labels"), F.coalesce(F.max("share"), F.lit(0.0)).alias("score"),
     )
     joined = lambda c: F.array_join(F.array_sort(c), ",").alias(c)
     result = each.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined("base_labels"), joined("labels"), "score", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
