@@ -1,5 +1,7 @@
 """Main text of pages."""
 
+import time
+
 from tidemark.llm import pages
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body class="has-sidebar"><header class="site-header"><h1>Site</h1></header>
@@ -65,3 +67,30 @@ def test_a_republished_article_keeps_its_text(spark):
         assert text[f"http://loose.example/{i}"] == "Follow us\nLoose body"
         assert text[f"http://large.example/{i}"] == f"Again\nDate {i}"
     assert text["http://large.example/50"] == "50\nDate 50"
+
+
+def test_odd_pages_of_a_megabyte_are_read_in_linear_time():
+    """Each of these took a time that grew with the square of the page, or stopped the task."""
+    odd = [
+        "<div>" * 100_000 + "</p>" * 125_000, "<!-- x " * 145_000, "<a " * 330_000, "<a " * 330_000 + ">", '<a ">" ' * 140_000 + "'",
+        "<a '>\" <a \">' " * 70_000, "<div>x" * 90_000 + "</div>" * 90_000, "<article>" + "<div>x" * 90_000 + "</div>" * 90_000,
+        "<span>" * 90_000 + "</div>" * 90_000, "<ul>" + "<li><b>" * 120_000, "<![CDATA[" * 110_000 + ">",
+        "<article>x</article><div class=ad>" * 28_000, "&#" + "9" * 1_000_000 + ";",
+    ]
+    for html in odd:
+        begin = time.process_time()
+        pages.read_page(html, lambda h: True, lambda h: None)
+        assert time.process_time() - begin < 10, html[:20]  # one to two seconds; the square took ten minutes and more
+    assert text_of("&#" + "9" * 5000 + "; &#x41;&#0000000000065;") == "� AA"
+
+
+def test_nested_templates_in_an_article():
+    """Inner templates go first, and what an outer one still holds is counted without them."""
+    html = "<article><p>The text of the article stays</p><div id=a>aa<div id=b>bbb<div id=c>c</div></div></div></article>"
+    seen = []
+    pages.read_page(html, lambda h: False, seen.append)
+    c, b, a = seen
+    assert pages.read_page(html, {a, b, c}.__contains__) == "The text of the article stays"
+    assert pages.read_page(html, {b, c}.__contains__) == "The text of the article stays\naa"
+    assert pages.read_page(html, {a}.__contains__) == "The text of the article stays"
+    assert pages.read_page(html, {c}.__contains__) == "The text of the article stays\naa\nbbb"

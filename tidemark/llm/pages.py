@@ -15,7 +15,8 @@ Pages whose main text is the same (they differ in advertisements, comments, noti
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -29,7 +30,11 @@ from tidemark.llm.common import broadcast_if_below, emit, stash
 MANY_PAGES = 3
 MANY_PERCENT = 30
 
-_TOKEN = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)[^>]*>", re.S)
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)")
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+_UNQUOTED = re.compile(r"[^>\"']*+")
+_QUOTED = re.compile(r"\"[^\"]*+\"|'[^']*+'")
+_LONG_NUMBER = re.compile(r"&#[0-9]{8,}+;?")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"\s+")
 _SPLIT = re.compile(r"[^a-z]+")
@@ -62,11 +67,103 @@ class _Element:
         self.tag, self.name, self.at, self.out, self.plain = tag, name, at, out, plain
         self.holds = False  # an article or main element
         self.text = False  # a paragraph or the like of an article
-        self.parts: list[str] = []
+        self.parts: list[str] = []  # text, and hashes of elements inside
+
+
+def _decode(text: str) -> str:
+    """Character references decoded; numbers too long to be one are beyond all characters, whatever their length."""
+    if "&" not in text:
+        return text
+    return unescape(_LONG_NUMBER.sub(lambda m: f"&#{min(0x110000, int(m[0][2:].rstrip(';').lstrip('0')[:8] or 0))};", text))
+
+
+class _Tokens:
+    """Markup of a page, found from left to right in time that grows with the page alone: what is known not to come any
+    more isn't looked for again."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.ahead: dict[str, int] = {}  # the next place of a mark, as of the last look
+        self.dead: set[int] = set()  # opening quotes behind which no tag ends
+
+    def _next(self, mark: str, at: int) -> int:
+        found = self.ahead.get(mark, 0)
+        if found < at:
+            found = self.html.find(mark, at)
+            self.ahead[mark] = found = len(self.html) if found < 0 else found
+        return found
+
+    def _tag_end(self, at: int) -> int:
+        """Where the tag ends whose name ends at ``at``: its ``>`` outside quotes; -1 if there is none."""
+        html, size = self.html, len(self.html)
+        openers = []
+        while at <= size:
+            end = _UNQUOTED.match(html, at).end()
+            if end < size and html[end] == ">":
+                return end
+            openers.append(end)
+            if end >= size or end in self.dead:
+                break
+            at = self._next(html[end], end + 1) + 1
+        self.dead.update(openers)
+        return -1
+
+    def first(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """The first piece of markup from ``at`` on: its start and end, the tag (empty for comments and the like), whether it
+        is an end tag, and its attributes."""
+        html, size = self.html, len(self.html)
+        while (start := html.find("<", at)) >= 0 and (close := self._next(">", start + 1)) < size:
+            at = start + 1
+            if name := (_NAME if self.dead else _TAG).match(html, start):
+                if self.dead:
+                    end = self._tag_end(name.end())
+                    attributes = html[name.end() : max(end, 0)]
+                else:
+                    end, attributes = name.end(), name[3]
+                    if end >= size or html[end] != ">":
+                        self.dead.update(m.start() for m in _QUOTED.finditer(html, name.end(2), end))
+                        self.dead.add(end)
+                        end = -1
+                if end < 0:  # a quote is never closed: the tag ends at any ``>``
+                    end, attributes = close, ""
+                return start, end + 1, name[2].lower(), name[1] != "", attributes
+            if html[at] in "!?":
+                end = close + 1
+                for opening, ending in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                    if html.startswith(opening, start) and (found := self._next(ending, start + len(opening))) < size:
+                        end = found + len(ending)
+                return start, end, "", False, ""
+        return None
+
+
+class _Open:
+    """The open elements, with the places of each tag among them, so that none is looked for element by element."""
+
+    def __init__(self) -> None:
+        self.stack = [_Element("html", "", 0, 0, False)]
+        self.places: dict[str, list[int]] = {"p": []}
+        self.stops = [0]
+
+    def push(self, e: _Element) -> None:
+        self.places.setdefault(e.tag, []).append(len(self.stack))
+        if e.tag in _STOPS:
+            self.stops.append(len(self.stack))
+        self.stack.append(e)
+
+    def pop(self) -> _Element:
+        e = self.stack.pop()
+        self.places[e.tag].pop()
+        if e.tag in _STOPS:
+            self.stops.pop()
+        return e
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of these tags; 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
 
 
 def _attributes(source: str) -> dict[str, str]:
-    return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(source)} if source.strip() else {}
+    return {m[1].lower(): _decode(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(source)} if source.strip() else {}
 
 
 def _way_out(tag: str, words: set[str], role: str, in_article: bool) -> int:
@@ -82,30 +179,48 @@ def _way_out(tag: str, words: set[str], role: str, in_article: bool) -> int:
     return 0
 
 
-def read_page(html: str, is_template: Callable[[int], bool], seen: Callable[[int], None] | None = None) -> str:
-    """The main text of a page, without the subtrees whose hash ``is_template`` tells. ``seen`` gets the hashes of all
-    subtrees that may be templates."""
+def read_page(html: str, is_template: Callable[[int], bool] | None, seen: Callable[[int], None] | None = None) -> str:
+    """The main text of a page, without the subtrees whose hash ``is_template`` tells (None: no subtree is hashed).
+    ``seen`` gets the hashes of all subtrees that may be templates.
+
+    The time grows with the page's length alone, whatever is left open, unclosed or nested."""
     out: list[str | None] = []  # text, and None between blocks
-    stack = [_Element("html", "", 0, 0, False)]
+    opened = _Open()
+    stack, places = opened.stack, opened.places
     mains: list[tuple[int, int]] = []  # where article and main elements that are in no other lie in ``out``
     inside = 0  # of how many article and main elements
-    recurring: list[tuple[int, int]] = []  # where templates inside them lie in ``out``
+    recurring: list[tuple[int, int]] = []  # where templates inside them lie in ``out``, inner ones first
 
     def without_templates(start: int) -> None:
         """Delete what recurs from an article's text: the smallest first, while more stays than goes."""
-        size = lambda s, e: sum(len(x) for x in out[s:e] if x)
-        left, gone = size(start, len(out)), 0
-        for n, s, e in sorted((size(s, e), s, e) for s, e in recurring if s >= start):
-            n = size(s, e)  # what lies in it may be gone already
-            if gone + n >= left - n:
+        before = [0]  # characters before each place
+        for x in out[start:]:
+            before.append(before[-1] + len(x or ""))
+        ranked, nested = [], []  # nested: (start, size) of those that may lie in the next one
+        for s, e in recurring:
+            size, own = before[e - start] - before[s - start], 0
+            while nested and nested[-1][0] >= s:
+                own += nested.pop()[1]
+            nested.append((s, size))
+            ranked.append((size, bisect_left(before, before[s - start] + 1), e - s, size - own, s, e))
+        left, spans = before[-1], []
+        gone = 0
+        for _, _, _, own, s, e in sorted(ranked):  # inner ones, which are no larger, are gone before the outer one comes
+            if gone + own >= left - own:
                 break
-            left, gone = left - n, gone + n
-            out[s:e] = [None] * (e - s)
+            left, gone = left - own, gone + own
+            spans.append((s, e))
+        done = start
+        for s, e in sorted(spans):
+            s = max(s, done)
+            if s < e:
+                out[s:e] = [None] * (e - s)
+                done = e
         recurring.clear()
 
     def close() -> None:
         nonlocal inside
-        e = stack.pop()
+        e = opened.pop()
         parent = stack[-1]
         if e.tag in ("article", "main"):
             inside -= 1
@@ -114,15 +229,20 @@ def read_page(html: str, is_template: Callable[[int], bool], seen: Callable[[int
                 del out[e.out :]
             elif not inside:
                 without_templates(e.out)
-                mains[:] = [m for m in mains if m[0] < e.out]
+                while mains and mains[-1][0] >= e.out:
+                    mains.pop()
                 mains.append((e.out, len(out)))
         else:
             value = None
-            some = any(p.strip() for p in e.parts)
-            if inside and not e.at and some and e.tag in _PLAIN:
+            if e.parts and is_template:  # an element's hash is made of its own text and the hashes of those inside
+                digest = xxhash.xxh64_intdigest("\x00".join([e.tag, e.name, *e.parts]).encode("utf-8", "surrogatepass"))
+                parent.parts.append(f"\x01{digest:x}")
+            elif e.parts:
+                parent.parts = e.parts  # only whether there is text
+            if inside and not e.at and e.parts and e.tag in _PLAIN:
                 e.text = True
-            if e.tag in _BLOCK and not e.plain and not e.holds and not e.text and some:
-                value = xxhash.xxh64_intdigest("\x00".join([e.tag, e.name, *e.parts]).encode("utf-8", "surrogatepass")) - (1 << 63)
+            if e.tag in _BLOCK and not e.plain and not e.holds and not e.text and e.parts and is_template:
+                value = digest - (1 << 63)
                 if seen:
                     seen(value)
             gone = e.at == 2 or not e.holds and e.at == 1
@@ -133,66 +253,54 @@ def read_page(html: str, is_template: Callable[[int], bool], seen: Callable[[int
                     gone = True
             if gone:
                 del out[e.out :]
-                mains[:] = [m for m in mains if m[0] < e.out]
-                recurring[:] = [r for r in recurring if r[0] < e.out]
+                while mains and mains[-1][0] >= e.out:
+                    mains.pop()
+                while recurring and recurring[-1][0] >= e.out:
+                    recurring.pop()
             else:
                 parent.text |= e.text
         parent.holds |= e.holds
-        if e.parts:
-            parent.parts.append(f"<{e.tag} {e.name}>{''.join(e.parts)}" if len(e.parts) < 3 else f"<{e.tag} {e.name}>" + "\x00".join(e.parts))
         if e.tag in _BLOCK:
             out.append(None)
 
+    def close_to(depth: int) -> None:
+        while len(stack) > depth:
+            close()
+
     at, size, low = 0, len(html), html.lower() if "<" in html else html
     if len(low) != size:  # lower-casing changed a length: only ASCII matters for the search of end tags
         low = html
+    tokens = _Tokens(html)
     while at < size:
-        m = _TOKEN.search(html, at)
-        text = html[at : m.start() if m else size]
-        if text and (clean := _SPACE.sub(" ", unescape(text))):
+        token = tokens.first(at)
+        text = html[at : token[0] if token else size]
+        if text and (clean := _SPACE.sub(" ", _decode(text))):
             out.append(clean)
             if clean != " ":
                 stack[-1].parts.append(clean.strip())
-        if not m:
+        if not token:
             break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        _, at, tag, ends, source = token
         if not tag:
             continue
-        if m[1] or m[4]:
-            if tag == "p" and not any(e.tag == "p" for e in stack):
+        if ends:
+            depth = places[tag][-1] if places.get(tag) else 0
+            if tag == "p" and not depth:
                 out.append(None)
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    while len(stack) > depth:
-                        close()
-                    break
-                if stack[depth].tag in ("article", "main") and tag not in ("body", "html", "article", "main"):
-                    break
+            if depth and (tag in ("body", "html", "article", "main") or depth > opened.last(("article", "main"))):
+                close_to(depth)
             continue
-        if tag in _ENDS_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == "p":
-                    while len(stack) > depth:
-                        close()
-                    break
-                if stack[depth].tag in _STOPS:
-                    break
-        if tag in _CLOSES:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag in _CLOSES[tag]:
-                    while len(stack) > depth:
-                        close()
-                    break
-                if stack[depth].tag in _STOPS:
-                    break
+        if tag in _ENDS_P and places["p"] and places["p"][-1] > opened.stops[-1]:
+            close_to(places["p"][-1])
+        if tag in _CLOSES and (depth := opened.last(_CLOSES[tag])) > opened.stops[-1]:
+            close_to(depth)
         if tag in _BLOCK:
             out.append(None)
         elif tag in _INLINE_SPACE:
             out.append(" ")
         if tag in _VOID:
             continue
-        attributes = _attributes(m[3] or "")
+        attributes = _attributes(source)
         name = attributes.get("class", "") + " " + attributes.get("id", "")
         words = {w for w in _SPLIT.split(name.lower()) if w}
         way = _way_out(tag, words, attributes.get("role", "").lower(), inside > 0)
@@ -202,10 +310,10 @@ def read_page(html: str, is_template: Callable[[int], bool], seen: Callable[[int
             end = html.find(">", at)
             at = size if end < 0 else end + 1
             continue
-        if (m[3] or "").rstrip().endswith("/") and tag not in _BLOCK:
+        if source.rstrip().endswith("/") and tag not in _BLOCK:
             continue
         plain = inside > 0 and tag in _PLAIN and not words and "role" not in attributes
-        stack.append(_Element(tag, " ".join(sorted(words)), way, len(out), plain))
+        opened.push(_Element(tag, " ".join(sorted(words)), way, len(out), plain))
         inside += tag in ("article", "main")
     while len(stack) > 1:
         close()
@@ -272,7 +380,7 @@ def main_text(pages: DataFrame, many: int = MANY_PAGES, percent: int = MANY_PERC
         for batch in batches:
             texts = []
             for html, drop in zip(batch.column("html").to_pylist(), batch.column("drop").to_pylist()):
-                texts.append(read_page(html, set(drop or ()).__contains__) if html else "")
+                texts.append(read_page(html, set(drop).__contains__ if drop else None) if html else "")
             yield emit({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": texts, "n_chars": [len(t) for t in texts]}, schema)
 
     return joined.select("page_id", "url", "html", "drop").mapInArrow(of, "page_id long, url string, text string, n_chars long")
