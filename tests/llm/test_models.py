@@ -1,5 +1,6 @@
 """Learned operators: held-out accuracy, recall and round trips."""
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -82,6 +83,64 @@ def test_languages_of_odd_rows(spark):
     assert {r.lang_pred for r in language.identify(docs.selectExpr("doc_id", "text", "cast(null as string) lang")).collect()} == {"und"}
 
 
+def plain_languages(rows):
+    """Naive Bayes over hashed runs of one to three characters, count by count."""
+    def hashes(text):
+        x = [ord(c) if c.isalpha() else 32 for c in f" {text.lower()} "]
+        for size in (1, 2, 3):
+            for i in range(len(x) - size + 1):
+                if set(x[i : i + size]) == {32}:
+                    continue
+                h = x[i] * (0x165667B1 if size == 1 else 0x9E3779B1) % 2**32
+                if size > 1:
+                    h ^= x[i + 1] * 0x85EBCA77 % 2**32
+                if size > 2:
+                    h = h * 0xC2B2AE3D % 2**32 ^ x[i + 2] * 0x27D4EB2F % 2**32
+                h = (h + size - 1) % 2**32
+                h ^= h >> 15
+                yield (h * 0x2C1B3C6D % 2**32) >> 18
+    seen = {}
+    for doc, text, lang in rows:
+        if crc_mod(doc, 4) != 2 and text is not None and lang is not None:
+            seen.setdefault(lang, Counter()).update(hashes(text))
+    out = {}
+    for doc, text, _ in rows:
+        own = Counter(hashes(text or ""))
+        total = {}
+        for lang in sorted(seen):
+            norm = sum(seen[lang].values()) + language.ALPHA * language.BUCKETS
+            total[lang] = sum(n * math.log((seen[lang][b] + language.ALPHA) / norm) for b, n in own.items())
+        best = max(total, key=total.get) if own and total else None
+        out[doc] = (best, 1 / sum(math.exp(t - total[best]) for t in total.values())) if best else ("und", 0.0)
+    return out
+
+
+def test_languages_against_a_plain_version_in_slices(spark):
+    """Any number of languages to a pass gives what one pass gives."""
+    rnd = random.Random(3)
+    words = [["".join(rnd.choice("abcdefghijklmn\u00e9\u00fc"[k : k + 9]) for _ in range(rnd.randrange(1, 6))) for _ in range(12)] for k in range(7)]
+    rows = [(i, " ".join(rnd.choices(words[i % 7], k=rnd.randrange(0, 9))) + rnd.choice(["", ".", " 12"]), f"l{i % 7}") for i in range(300)]
+    rows += [(1000, None, "l1"), (1001, "123", "l2"), (1002, words[3][0], None), (1003, words[3][1], "never seen" * 1000), (1004, "...", "only signs")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    plain = plain_languages(rows)
+    for size in (None, 1, 3, 9):
+        found = {r.doc_id: r for r in language.identify(docs, languages=size).collect()}
+        assert len(found) == len(rows)
+        for doc, (lang, score) in plain.items():
+            assert found[doc].lang_pred == lang and abs(found[doc].score - score) < 1e-9
+
+
+def test_three_thousand_languages(spark):
+    name = lambda i: "".join(chr(0x4E00 + (i * 7 + k) % 20_000) for k in range(3))
+    rows = [(2 * i + fold, f"{name(i)} {name(i)}", f"{i:04d}") for i in range(3000) for fold in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    learned = {lang for doc, _, lang in rows if crc_mod(doc, 4) != 2}
+    found = language.identify(docs, languages=1500).collect()
+    known = [r for r in found if f"{r.doc_id // 2:04d}" in learned]
+    assert len(found) == 6000 and len(known) > 5000
+    assert sum(r.lang_pred == f"{r.doc_id // 2:04d}" for r in known) >= 0.9 * len(known)
+
+
 def sequential(totals, shares, window, chunk):
     """Deficit round-robin as a loop: (queue, chunk number) in the order of service."""
     quantum = [max(1, int(np.floor(s / sum(shares) * window * 1024))) for s in shares]
