@@ -191,6 +191,40 @@ def test_packing_is_an_exact_round_trip(spark):
     assert packing.pack(none(spark)).count() == 0
 
 
+def test_queues_beyond_what_a_task_knows_give_the_same_places(spark):
+    docs = documents(spark)
+    key = lambda r: tuple(r)
+    for targets in (None, {r.source: 1.0 + i for i, r in enumerate(docs.select("source").distinct().orderBy("source").collect()) if r.source}):
+        few, many = (sorted(map(key, packing.pack(docs, targets=targets, window=256, chunk=32, most_queues=most).collect()), key=str) for most in (1024, 1))
+        assert few == many and few
+
+
+def test_three_thousand_sources_keep_their_shares(spark):
+    """A named target holds its share of every window however many other sources there are; the others keep theirs."""
+    rows = [(i, "a b c d e f g", f"s{i % 3000:04d}") for i in range(6000)] + [(10_000 + i, "x y z " * 33, "big") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    out = packing.pack(docs, targets={"big": 3000.0, "s0000": 1.0}, window=2048, chunk=16).collect()
+    out.sort(key=lambda r: (r.sequence_id, r.offset))
+    end = 0
+    for r in out:
+        assert r.sequence_id * 2048 + r.offset == end
+        end += r.length
+    assert end == 6000 * 8 + 300 * 100
+    # "big" has 3,000 of 3,000 * 1,500.5 + 3,000 parts without own targets given: the mean of both is the others' share
+    shares = {"big": 3000.0, "s0000": 1.0} | {f"s{i:04d}": 1500.5 for i in range(1, 3000)}
+    queues = sorted(shares)
+    totals = {q: 30_000 if q == "big" else 16 for q in queues}
+    rounds = packing.Rounds([totals[q] for q in queues], [shares[q] for q in queues], 2048, 16)
+    at = {q: i for i, q in enumerate(queues)}
+    source = {i: s for i, _, s in rows}
+    first = {}
+    for r in out:
+        q = source[r.doc_id]
+        first[q] = min(first.get(q, 1 << 60), r.sequence_id * 2048 + r.offset)
+    for q in ["big", *queues[1::97]]:
+        assert first[q] == rounds.place(np.array([at[q]]), np.array([0]))[0]
+
+
 def test_word_by_word_ids_equal_whole_texts():
     tokenizer = packing.WordTokenizer(packing.default_vocabulary())
     texts = ["It's HERE, isn't it? ", "a<|endoftext|>b <|EndOfText|>", "x́ e ́a İ Σ abcΣ \x1c q\x85z​ Å", None, "", "123 4é5!!*** \U0001F600", "क़ ab\x00cd"]

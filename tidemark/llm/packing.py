@@ -6,14 +6,19 @@ chunks as its deficit covers and carries the rest over. What has been served aft
 and a queue's length alone, so the place of any chunk in the output is computed from the queues' totals: no task walks the
 queues, and deficits carry across windows and tasks exactly as in one long walk.
 
+With so many queues that the totals would not fit in every task, the same places are the running sum of all chunks in the order
+of their rounds and queues, and are joined to the documents.
+
 A queue's order needs the tokens before each document. Documents are dealt to blocks of their queue, so a hot source is
 spread over many tasks; blocks are summed first and documents only within their block.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +28,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
 from tidemark.llm.common import LOWER, shuffle_partitions, stash, text_bytes
+from tidemark.operators.running import Running, running
 
 WINDOW = 2048
 CHUNK = 256
 END = 1
-# With more sources, sources share queues by a hash of their name: what each task knows of the queues stays bounded.
+# With more sources, the places of chunks come from a table; what each task knows of the queues stays bounded.
 MOST_QUEUES = 1024
 _BLOCK_DOCUMENTS = 1 << 15
 _UNIT = 1024  # shares of a window are held in parts of a token
@@ -167,7 +173,7 @@ class Rounds:
     def __init__(self, totals: list[int], shares: list[float], window: int, chunk: int):
         self.chunk = chunk
         self.total = np.array(totals, np.int64)
-        self.quantum = np.maximum(1, np.floor(np.array(shares) / sum(shares) * window * _UNIT)).astype(np.int64)
+        self.quantum = np.maximum(1, np.floor(np.array(shares) / math.fsum(shares) * window * _UNIT)).astype(np.int64)
         self.last = -(-self.total * _UNIT // self.quantum)  # the round in which a queue runs out
 
     def served(self, rounds: np.ndarray) -> np.ndarray:
@@ -190,15 +196,16 @@ class Rounds:
         return out
 
 
-def cut(begin: np.ndarray, n: np.ndarray, queue: np.ndarray, rounds: Rounds, window: int) -> tuple[np.ndarray, ...]:
-    """The pieces of documents that lie at ``begin`` in their queues: document, first token, length, output place."""
-    first, last = begin // rounds.chunk, (begin + n - 1) // rounds.chunk
+def cut(begin: np.ndarray, n: np.ndarray, chunk: int, place_of: Callable[[np.ndarray, np.ndarray], np.ndarray], window: int) -> tuple[np.ndarray, ...]:
+    """The pieces of documents that lie at ``begin`` in their queues: document, first token, length, output place.
+    ``place_of`` tells where the chunks of documents (by the documents' and the chunks' numbers) begin in the output."""
+    first, last = begin // chunk, (begin + n - 1) // chunk
     count = last - first + 1
     doc = np.repeat(np.arange(len(n)), count)
     number = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + first[doc]
-    at = np.maximum(number * rounds.chunk, begin[doc])
-    length = np.minimum((number + 1) * rounds.chunk, (begin + n)[doc]) - at
-    place = rounds.place(queue[doc], number) + at - number * rounds.chunk
+    at = np.maximum(number * chunk, begin[doc])
+    length = np.minimum((number + 1) * chunk, (begin + n)[doc]) - at
+    place = place_of(doc, number) + at - number * chunk
     start = at - begin[doc]
     # cut at the end of a sequence, then join neighbours that lie together in one
     room = window - place % window
@@ -212,8 +219,45 @@ def cut(begin: np.ndarray, n: np.ndarray, queue: np.ndarray, rounds: Rounds, win
     return doc[heads], start[heads], np.add.reduceat(length, heads) if len(heads) else length, place[heads]
 
 
+def _rates(queues: DataFrame, targets: Mapping[str, float] | None, window: int) -> DataFrame:
+    """``queue, total, quantum``: each queue's parts of tokens a round, as in `Rounds`."""
+    if targets:
+        wanted = queues.sparkSession.createDataFrame([(q, float(x)) for q, x in targets.items()], "queue string, target double")
+        queues = stash(queues.join(F.broadcast(wanted), "queue", "left"))  # a parameter is broadcast
+        given = [r["target"] for r in queues.filter("target IS NOT NULL").orderBy("queue").select("target").collect()]
+        mean = sum(given) / len(given) if given else 1.0
+        total = float(sum(map(Fraction, given)) + (queues.count() - len(given)) * Fraction(mean))
+        queues = queues.select("queue", "total", F.coalesce("target", F.lit(mean)).alias("share"))
+    else:
+        total = float(queues.agg(F.sum("total")).first()[0])
+        queues = queues.withColumn("share", F.col("total").cast("double"))
+    quantum = F.floor(F.col("share") / F.lit(total) * window * _UNIT).cast("long")
+    return queues.select("queue", "total", F.greatest(F.lit(1).cast("long"), quantum).alias("quantum"))
+
+
+def _chunk_places(placed: DataFrame, queues: DataFrame, chunk: int) -> DataFrame:
+    """``queue, number, place``: where each chunk begins in the output. A chunk is made by the document that its first token
+    lies in; chunks are output in the order of the rounds in which they are served, those of a round by queue."""
+    spans = placed.select("queue", F.expr(f"(begin + {chunk - 1}) div {chunk}").alias("first"), F.expr(f"(begin + n - 1) div {chunk}").alias("last"))
+    chunks = spans.filter("first <= last").select("queue", F.explode(F.sequence("first", "last")).alias("number")).join(queues, "queue")
+    end = F.least((F.col("number") + 1) * chunk, F.col("total"))
+    rounds = F.expr(f"cast((least((number + 1) * {chunk}, total) * {_UNIT} + quantum - 1) div quantum as long)")
+    chunks = stash(chunks.select("queue", "number", rounds.alias("round"), (end - F.col("number") * chunk).alias("length")))
+    before = running(chunks, [], ["round", "queue", "number"], {"place": Running("sum", "length", inclusive=False)})
+    return before.select("queue", "number", F.coalesce("place", F.lit(0)).cast("long").alias("place"))
+
+
+def _with_places(placed: DataFrame, queues: DataFrame, chunk: int) -> DataFrame:
+    """``placed`` with ``places``, those of all chunks that a document lies in, in order."""
+    places = _chunk_places(placed, queues, chunk)
+    number = F.explode(F.sequence(F.expr(f"begin div {chunk}"), F.expr(f"(begin + n - 1) div {chunk}")))
+    found = placed.select("queue", "begin", number.alias("number")).join(places, ["queue", "number"])
+    found = found.groupBy("queue", "begin").agg(F.array_sort(F.collect_list(F.struct("number", "place"))).alias("p"))
+    return placed.join(found.select("queue", "begin", F.col("p.place").alias("places")), ["queue", "begin"])
+
+
 def pack(docs: DataFrame, vocabulary: str | None = None, targets: Mapping[str, float] | None = None,
-         window: int = WINDOW, chunk: int = CHUNK) -> DataFrame:
+         window: int = WINDOW, chunk: int = CHUNK, most_queues: int = MOST_QUEUES) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``: the pieces of all documents, packed.
 
     A document is its text's ids and the end id. Sequences hold ``window`` tokens; only the last may hold fewer.
@@ -222,19 +266,18 @@ def pack(docs: DataFrame, vocabulary: str | None = None, targets: Mapping[str, f
 
     ``docs`` has ``doc_id``, ``text`` and ``source``; other columns are not looked at. A null text is empty and gives
     the end id alone; a null source is the source named by the empty string; rows without id are packed like others.
-    Rows that repeat are packed as often as they come. An empty table gives no pieces.
+    Rows that repeat are packed as often as they come. An empty table gives no pieces. There may be any number of sources,
+    each with a queue of its own; with more than ``most_queues`` the same places are found by joins.
     """
     path = vocabulary or default_vocabulary()
     tokens = stash(_tokens(docs, path))
-    if tokens.select("queue").distinct().limit(MOST_QUEUES + 1).count() > MOST_QUEUES:
-        if targets:
-            raise ValueError(f"targets need at most {MOST_QUEUES} sources")
-        tokens = tokens.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(MOST_QUEUES)).cast("string"))
     blocks = max(8 * shuffle_partitions(docs.sparkSession), tokens.count() // _BLOCK_DOCUMENTS)
     tokens = tokens.withColumn("block", F.pmod(F.xxhash64("doc_id", "th"), F.lit(blocks)))
     sums = stash(tokens.groupBy("queue", "block").agg(F.sum("n").alias("n")))
-    totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # MOST_QUEUES rows at most
-    queues = sorted(totals)
+    totals_of = sums.groupBy("queue").agg(F.sum("n").alias("total"))
+    totals = {r["queue"]: r["total"] for r in totals_of.limit(most_queues + 1).collect()}
+    many = len(totals) > most_queues
+    queues = [] if many else sorted(totals)
     if targets:
         given = [float(targets[q]) for q in queues if q in targets]
         shares = [float(targets.get(q, sum(given) / len(given) if given else 1)) for q in queues]
@@ -248,9 +291,15 @@ def pack(docs: DataFrame, vocabulary: str | None = None, targets: Mapping[str, f
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n = batch.column("n").to_numpy()
-            queue = np.array([numbers[q] for q in batch.column("queue").to_pylist()], np.int64)
-            doc, start, length, place = cut(batch.column("begin").to_numpy(), n, queue, rounds, window)
+            begin, n = batch.column("begin").to_numpy(), batch.column("n").to_numpy()
+            if many:
+                places = batch.column("places")
+                flat, base = places.flatten().to_numpy(), places.offsets.to_numpy()[:-1] - places.offsets[0].as_py() - begin // chunk
+                place_of = lambda doc, number: flat[base[doc] + number]
+            else:
+                queue = np.array([numbers[q] for q in batch.column("queue").to_pylist()], np.int64)
+                place_of = lambda doc, number: rounds.place(queue[doc], number)
+            doc, start, length, place = cut(begin, n, chunk, place_of, window)
             ids = [memoryview(np.frombuffer(x, kind).astype("<u4").tobytes()) for x in batch.column("ids").to_pylist()]
             parts = [ids[d][4 * s : 4 * (s + k)] for d, s, k in zip(doc.tolist(), start.tolist(), length.tolist())]
             crc = np.fromiter(map(zlib.crc32, parts), np.int64, len(parts))
@@ -265,6 +314,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, targets: Mapping[str, f
         .join(base, ["queue", "block"])
         .select("doc_id", "queue", "n", "ids", (F.col("base") + F.col("inside")).alias("begin"))
     )
+    if many:
+        placed = _with_places(placed, stash(_rates(totals_of, targets, window)), chunk)
     return placed.mapInArrow(pieces, ", ".join(f"{f.name} long" for f in _PIECES))
 
 
