@@ -1,10 +1,11 @@
-"""Repeated passages by prefix-partitioned suffix trees over words.
+"""Repeated passages by hashes of suffixes' first words, in bins by prefix, in place of suffix trees.
 
 Every word starts a suffix. Prefixes split the suffixes into groups that fit in memory: a prefix that too many suffixes
-share is made one word longer, until its groups are small or it is ``window`` words long. A group holds a subtree of the
-suffix tree, and is one bin of a shuffle. Only nodes at least ``window`` words deep matter, so a suffix is sent as a hash
-of its first ``window`` words, and sorting a group's hashes brings the leaves under one deep node together; a node with
-leaves in several documents is a repeat. Neighbouring suffixes of a document under such nodes join to the maximal repeats.
+share is made one word longer, until its groups are small or it is ``window`` words long. A group is one bin of a shuffle.
+Of a suffix tree only nodes at least ``window`` words deep would matter, so a suffix is sent as a hash of its first ``window``
+words, and sorting a group's hashes brings the leaves under one such node together; a node with leaves in several documents
+is a repeat. Suffixes are not ordered beyond that depth and there are no deeper nodes: neighbouring suffixes of a document
+that repeat join to passages, whichever documents they are shared with.
 
 Before anything is sent, each task looks at the documents it holds: leaves that repeat there are settled on the spot, and
 only the first document of each node is sent. A passage that is in a third of all documents thus costs a row per task and
@@ -323,7 +324,7 @@ def spans(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_passages(docs: DataFrame, window: int = 13) -> DataFrame:
-    """``doc_id, n_words, begins, ends``: the maximal repeated passages of each row, as word numbers (see `repeats`)."""
+    """``doc_id, n_words, begins, ends``: the longest runs of covered words of each row, as word numbers (see `repeats`)."""
 
     def of(doc_id, words, covered):
         begins, ends = spans(covered)
