@@ -7,6 +7,7 @@ from tidemark.operators import session_policies
 from tidemark.operators.session_panes import early_panes, session_panes
 from tidemark.operators.session_policies import SessionPolicy, policy_sessions
 from tidemark.plans.profiles import PROFILES
+from tidemark.session import expected_bytes, written
 
 GOLDEN = {
     ("spark", 0): {(1, 36, "A"): 11, (27, 40, "W"): 0},
@@ -150,6 +151,28 @@ def test_early_reports_with_lateness(spark, seed, every, chunk, policy, flush):
     assert {"early", "late", "on_time"} == {r[0] for r in want}
 
 
+# a backlog that comes newest first: each row is accepted a round after the one before
+BACKLOG = [(300, "A"), (301, "B")] + [(t, "A") for t in range(296, 180, -4)]
+
+
+def test_early_reports_after_many_rounds(spark):
+    """Sizes that Spark expects stay numbers that can be read, however many rounds the late rows took."""
+    policy = PROFILES["flink"].session_policy(10)
+    got = early_panes(table(spark, BACKLOG), "t", "pos", policy, ["key"], 2).collect()
+    want = brute.session_panes(BACKLOG, 10, True, policy.fire, policy.alive, policy.accept, early=2)
+    assert sorted((r.pane_kind, r.start, r.end - 10, r.key, r["count"]) for r in got) == want
+    assert len(want) > 10
+
+
+def test_an_unreadable_size_counts_as_very_large(spark):
+    wide = spark.range(3).withColumn("x", F.lit(1))
+    for _ in range(13):
+        wide = wide.join(wide.select("id"), "id").checkpoint()
+    assert expected_bytes(wide) > 1 << 60
+    assert written(wide).count() == 3
+    assert expected_bytes(written(wide)) < 1 << 20
+
+
 def test_parts_unite_like_intervals():
     from tidemark.operators.session_panes import _united
 
