@@ -164,6 +164,20 @@ def test_early_reports_after_many_rounds(spark):
     assert len(want) > 10
 
 
+def reports(panes):
+    return sorted((r.pane_kind, r.start, r.end - 10, r.key, r["count"]) for r in panes.collect())
+
+
+def test_session_reports_after_many_rounds(spark, monkeypatch):
+    """Where no table is known to be small, the rounds look at expected sizes, and so do the chunks of a session."""
+    policy, events = POLICIES["merged_late"], [(315, "B"), *BACKLOG]
+    monkeypatch.setattr(session_policies, "MAX_GROUP_ROWS", 3)
+    got = session_panes(table(spark, events), "t", "pos", policy, ["key"], max_group_rows=4)
+    want = brute.session_panes(events, 10, True, policy.fire, policy.alive, policy.accept)
+    assert reports(got) == want
+    assert len(want) > 10
+
+
 def test_an_unreadable_size_counts_as_very_large(spark):
     wide = spark.range(3).withColumn("x", F.lit(1))
     for _ in range(13):
