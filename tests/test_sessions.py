@@ -178,6 +178,17 @@ def test_session_reports_after_many_rounds(spark, monkeypatch):
     assert len(want) > 10
 
 
+def test_early_reports_with_lateness_after_many_rounds(spark, monkeypatch):
+    """Early counters of a session in one task, and of one in chunks."""
+    policy, events = POLICIES["merged_late"], [*BACKLOG, (315, "B"), (270, "A"), (262, "A")]
+    monkeypatch.setattr(session_policies, "MAX_GROUP_ROWS", 3)
+    want = brute.session_panes(events, 10, True, policy.fire, policy.alive, policy.accept, early=3)
+    for rows_of_a_chunk in (4, 1000):
+        got = session_panes(table(spark, events), "t", "pos", policy, ["key"], early_every=3, max_group_rows=rows_of_a_chunk)
+        assert reports(got) == want
+    assert {"early", "late", "on_time"} == {r[0] for r in want}
+
+
 def test_an_unreadable_size_counts_as_very_large(spark):
     wide = spark.range(3).withColumn("x", F.lit(1))
     for _ in range(13):
