@@ -232,6 +232,37 @@ def test_word_by_word_ids_equal_whole_texts():
     assert [np.frombuffer(x, tokenizer.kind).tolist() for x in tokenizer([t and t.encode() for t in texts])] == want
 
 
+def test_a_word_is_looked_up_once_for_all_its_places(monkeypatch):
+    tokenizer = packing.WordTokenizer(packing.default_vocabulary())
+    asked = Counter()
+
+    class Counting(packing._Known):
+        def get(self, word, default=None):
+            asked[word] += 1
+            return super().get(word, default)
+
+        def __getitem__(self, word):
+            asked[word] += 1
+            return super().__getitem__(word)
+
+    known = Counting()
+    known.update(tokenizer.known)
+    tokenizer.known = known
+    texts = ["one two " * 500, " Two\u00a0x three.\tone\x0b\x0c", None, "", "\n", "one two <|EndOfText|> three. " * 300]
+    want = [tokenizer.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+    def ids():
+        return [np.frombuffer(x, tokenizer.kind).tolist() for x in tokenizer([t and t.encode() for t in texts])]
+
+    assert ids() == want
+    assert asked[b"one"] >= 1 and max(asked.values()) < 10
+    monkeypatch.setattr(packing, "_PART_BYTES", 7)  # texts in parts of their own, words that there is no room for
+    monkeypatch.setattr(packing, "_MOST_WORDS", 2)
+    known.clear()
+    known[b""] = b""
+    assert ids() == want
+
+
 def test_recall_of_nearest_neighbours(spark):
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows = vectors.collect()

@@ -22,6 +22,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +39,7 @@ MOST_QUEUES = 1024
 _BLOCK_DOCUMENTS = 1 << 15
 _UNIT = 1024  # shares of a window are held in parts of a token
 _MOST_WORDS = 1_500_000
+_PART_BYTES = 8 << 20  # of texts whose words are looked up at once
 
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("queue", pa.string()), ("n", pa.int64()), ("ids", pa.binary())])
 _PIECES = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
@@ -83,6 +85,7 @@ class WordTokenizer:
             self.ends[i] = token.endswith("</w>")
         self.kind = np.uint16 if len(self.ends) <= 1 << 16 else np.uint32
         self.known = _Known()
+        self.known[b""] = b""  # beside white space at an end of a text
         # for lower-cased Latin letters the normaliser and the splitter have nothing to do
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = None
@@ -128,12 +131,41 @@ class WordTokenizer:
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text, as bytes."""
         # special tokens are told by their case, all other text is lower-cased by the vocabulary anyway
-        split = [(t if b"<|" in t else t.translate(LOWER)).split() for t in (t or b"" for t in texts)]
-        self._learn([w for w in set().union(*split) if w not in self.known])
-        ids = self.known.__getitem__
-        out = [b"".join(map(ids, words)) for words in split]
+        lowered = [(t if b"<|" in t else t.translate(LOWER)) for t in (t or b"" for t in texts)]
+        sizes = np.fromiter(map(len, lowered), np.int64, len(lowered))
+        part = np.cumsum(sizes) // _PART_BYTES
+        heads = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(lowered)]
+        return [ids for s, e in zip(heads, heads[1:]) for ids in self._ids(lowered[s:e])]
+
+    def _ids(self, texts: list[bytes]) -> list[bytes]:
+        """A word is looked up once, whatever the number of its places in the texts."""
+        if not any(texts):
+            return texts
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+        coded = split.flatten().dictionary_encode()
+        words = _values(coded.dictionary)
+        ids = list(map(self.known.get, words))
+        new = [i for i, known in enumerate(ids) if known is None]
+        self._learn([words[i] for i in new])
+        for i in new:
+            ids[i] = self.known[words[i]]
         self.known.guests.clear()
-        return out
+        held, width = np.frombuffer(b"".join(ids), self.kind), np.dtype(self.kind).itemsize
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        word = coded.indices.to_numpy()
+        n = size[word]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        place = np.repeat((np.cumsum(size) - size)[word] - ends[:-1], n)
+        place += np.arange(len(place))
+        raw, cuts = held[place].tobytes(), (ends[split.offsets.to_numpy()] * width).tolist()
+        return [raw[s:e] for s, e in zip(cuts, cuts[1:])]
+
+
+def _values(words: pa.StringArray) -> list[bytes]:
+    _, offsets, data = words.buffers()
+    cuts = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].tolist()
+    held = data.to_pybytes()
+    return [held[s:e] for s, e in zip(cuts, cuts[1:])]
 
 
 _loaded: dict[str, WordTokenizer] = {}
@@ -154,8 +186,8 @@ def _tokens(docs: DataFrame, path: str) -> DataFrame:
         tokenizer = _loaded[path]
         end = np.array([END], tokenizer.kind).tobytes()
         for batch in batches:
-            for s in range(0, batch.num_rows, 1000):
-                part = batch.slice(s, 1000)
+            for s in range(0, batch.num_rows, 2500):
+                part = batch.slice(s, 2500)
                 ids = [x + end for x in tokenizer(text_bytes(part.column("text")))]
                 n = [len(x) // len(end) for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), part.column("queue"), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], schema=_TOKENS)
