@@ -263,6 +263,16 @@ def test_a_word_is_looked_up_once_for_all_its_places(monkeypatch):
     assert ids() == want
 
 
+def test_words_apart_from_punctuation_have_the_ids_of_whole_texts():
+    tokenizer, rng = packing.WordTokenizer(packing.default_vocabulary()), random.Random(5)
+    signs = [*"aAzsÉßÿ×Σ\u0131\u017f'.,;:!?*%$#&|)(<>- 1²\t\u6f22\u0301\u0327\u00ad\u200d", "'s", "'ll", "<|", "e\u0301", "one", "one.", "one,"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 14))) for _ in range(3000)]
+    want = [e.ids for e in tokenizer.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, tokenizer.kind).tolist() for x in tokenizer([t.encode() for t in texts])] == want
+    tokenizer([b"one! one? one"])
+    assert b"one" in tokenizer.known and b"one!" not in tokenizer.known
+
+
 def test_recall_of_nearest_neighbours(spark):
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows = vectors.collect()
