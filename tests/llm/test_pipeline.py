@@ -2,16 +2,18 @@
 
 import re
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
-from odd import documents
+from odd import PASSAGE, documents
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
 from check_queries import normal, rows_of
-from tidemark.llm import packing, quality, simhash, winnowing
+from tidemark.llm import common, packing, quality, simhash, winnowing
+from tidemark.session import ensure_checkpoint_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,6 +54,33 @@ def test_stages(spark, tmp_path):
     assert packed == sizes
 
 
+@pytest.mark.parametrize("largest_broadcast", [common.BROADCAST_BYTES, 0])
+def test_small_tables_are_written_in_few_files(spark, monkeypatch, largest_broadcast):
+    """However many shuffle partitions there are: files are many processes at a time where they are local."""
+    docs, labels = documents(spark), spark.read.parquet(f"{SF}/labels.parquet")
+    items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    few = spark.conf.get("spark.sql.shuffle.partitions")
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    stages = {
+        "quality": lambda: quality.keep_good(docs, labels), "near_duplicates": lambda: simhash.keep_one(docs),
+        "decontamination": lambda: winnowing.decontaminate(docs, items), "packing": lambda: packing.pack(docs)}
+    want = {name: Counter(tuple(r) for r in stage().collect()) for name, stage in list(stages.items())[:3]}
+    monkeypatch.setattr(common, "BROADCAST_BYTES", largest_broadcast)
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        for name, stage in stages.items():
+            before = set(folder.rglob("part-*"))
+            out = stage()
+            files = set(folder.rglob("part-*")) - before
+            written = Counter(str(f.parent) for f in files)
+            # what holds texts or comes of them task by task may have a part for each partition
+            assert sum(n > docs.rdd.getNumPartitions() for n in written.values()) <= (name == "decontamination")
+            if name in want:
+                assert Counter(tuple(r) for r in out.collect()) == want[name]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", few)
+
+
 def test_stages_bear_odd_rows(spark, tmp_path):
     docs = documents(spark)
     for name, stage in corpus_pipeline.STAGES:

@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from tidemark.llm.common import LOWER, shuffle_partitions, stash, text_bytes
+from tidemark.llm.common import LOWER, give_back, shuffle_partitions, stash, text_bytes
 from tidemark.operators.running import Running, running
+from tidemark.session import in_parts
 
 WINDOW = 2048
 CHUNK = 256
@@ -148,7 +149,8 @@ class WordTokenizer:
         whole = pa.array(texts, pa.binary()).view(pa.string())
         apart = pc.replace_substring_regex(whole, _WORD_END, r"\1 \2")
         split = pc.ascii_split_whitespace(pc.if_else(plain, apart, whole))
-        coded = split.flatten().dictionary_encode()
+        coded, texts_at = split.flatten().dictionary_encode(), split.offsets.to_numpy()
+        del whole, apart, split
         words = _values(coded.dictionary)
         ids = list(map(self.known.get, words))
         new = [i for i, known in enumerate(ids) if known is None]
@@ -163,7 +165,7 @@ class WordTokenizer:
         ends = np.concatenate([[0], np.cumsum(n)])
         place = np.repeat((np.cumsum(size) - size)[word] - ends[:-1], n)
         place += np.arange(len(place))
-        raw, cuts = held[place].tobytes(), (ends[split.offsets.to_numpy()] * width).tolist()
+        raw, cuts = held[place].tobytes(), (ends[texts_at] * width).tolist()
         return [raw[s:e] for s, e in zip(cuts, cuts[1:])]
 
 
@@ -197,6 +199,8 @@ def _tokens(docs: DataFrame, path: str) -> DataFrame:
                 ids = [x + end for x in tokenizer(text_bytes(part.column("text")))]
                 n = [len(x) // len(end) for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), part.column("queue"), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], schema=_TOKENS)
+                del ids
+                give_back()
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"),
@@ -309,9 +313,10 @@ def pack(docs: DataFrame, vocabulary: str | None = None, targets: Mapping[str, f
     """
     path = vocabulary or default_vocabulary()
     tokens = stash(_tokens(docs, path))
-    blocks = max(8 * shuffle_partitions(docs.sparkSession), tokens.count() // _BLOCK_DOCUMENTS)
+    n_rows = tokens.count()
+    blocks = max(8 * shuffle_partitions(docs.sparkSession), n_rows // _BLOCK_DOCUMENTS)
     tokens = tokens.withColumn("block", F.pmod(F.xxhash64("doc_id", "th"), F.lit(blocks)))
-    sums = stash(tokens.groupBy("queue", "block").agg(F.sum("n").alias("n")))
+    sums = stash(in_parts(tokens.groupBy("queue", "block").agg(F.sum("n").alias("n")), n_rows))
     totals_of = sums.groupBy("queue").agg(F.sum("n").alias("total"))
     totals = {r["queue"]: r["total"] for r in totals_of.limit(most_queues + 1).collect()}
     many = len(totals) > most_queues
@@ -343,6 +348,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, targets: Mapping[str, f
             crc = np.fromiter(map(zlib.crc32, parts), np.int64, len(parts))
             columns = [batch.column("doc_id").take(pa.array(doc)), start, length, crc, n[doc], place // window, place % window]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) if isinstance(c, np.ndarray) else c for c in columns], schema=_PIECES)
+            del ids, parts
+            give_back()
 
     before = Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("queue", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import emit, stash, text_bytes
+from tidemark.llm.common import broadcast_if_below, emit, give_back, stash, text_bytes
+from tidemark.session import materialise
 
 FEATURES = 256
 _BINS = 1000
@@ -73,6 +74,7 @@ def describe(docs: DataFrame) -> DataFrame:
         for batch in batches:
             x = [statistics(t) for t in text_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], schema=_STATS)
+            give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(of, "doc_id long, x array<double>")
@@ -207,5 +209,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold
 def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that are not predicted to be of low quality, with all their columns. Rows of one id go
     together if any is; a row without id stays."""
-    away = quality_scores(docs, labels, folds, threshold).filter("predicted = 0").select(F.col("doc_id").alias("_away")).distinct()
-    return docs.join(away, F.col("doc_id").cast("long") == F.col("_away"), "left_anti").select(*docs.columns)
+    away = materialise(quality_scores(docs, labels, folds, threshold).filter("predicted = 0").select(F.col("doc_id").alias("_away")))
+    return docs.join(broadcast_if_below(away, away.count(), 64), F.col("doc_id").cast("long") == F.col("_away"), "left_anti").select(*docs.columns)

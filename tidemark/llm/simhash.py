@@ -20,8 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, emit, shuffle_partitions, text_bytes
-from tidemark.session import materialise
+from tidemark.llm.common import LOWER, broadcast_if_below, emit, give_back, shuffle_partitions, text_bytes
+from tidemark.session import in_parts, materialise
 
 _SEED = 42
 # Rows of one bin of anchors, which one task holds in memory.
@@ -128,6 +128,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
         for batch in batches:
             fp = np.array([simhash(t, width) for t in text_bytes(batch.column("text"))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], schema=_FINGERPRINTS)
+            give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(of, "doc_id long, fp long")
@@ -164,14 +165,14 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root``: the smallest node that each node of ``edges`` (``a, b``) reaches.
 
     Large-star and small-star steps alternate until nothing changes; each is a minimum by node and a join, and is
-    written to the checkpoint folder."""
+    written to the checkpoint folder, in as many parts as the edges need."""
 
-    def star(of: DataFrame, large: bool) -> DataFrame:
+    def star(of: DataFrame, large: bool, rows: int) -> DataFrame:
         pairs = of.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if large:
             pairs = pairs.union(of.select(F.col("b").alias("u"), F.col("a").alias("v")))
         # written, so that both sides of the join are plain shuffles and a hub's rows can be split
-        least = materialise(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = materialise(in_parts(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), rows))
         moved = pairs.join(least, "u")
         if large:
             out = moved.filter(F.col("v") > F.col("u")).select(F.col("m").alias("b"), F.col("v").alias("a"))
@@ -180,15 +181,26 @@ def components(edges: DataFrame) -> DataFrame:
         return out.filter("a <> b").select("a", "b").distinct()
 
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
-    seen = None
+    rows, seen = edges.count(), None
     while True:
-        edges = materialise(star(star(edges, True), False))
+        edges = materialise(in_parts(star(star(edges, True, rows), False, rows), rows))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        rows = now[0]
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = now
 
 
+def _classes(docs: DataFrame, threshold: int, width: int) -> tuple[DataFrame, DataFrame, int]:
+    """``doc_id, fp`` of each row; ``fp, component_id`` of each fingerprint; the number of rows."""
+    rows = materialise(fingerprints(docs, width))
+    n = rows.count()
+    nodes = materialise(in_parts(rows.groupBy("fp").agg(F.min("doc_id").alias("node")).filter("node is not null"), n))
+    roots = components(materialise(in_parts(links(nodes, threshold), n)))
+    named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    return rows, named, n
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 3, width: int = 3) -> DataFrame:
     """``doc_id, fp, component_id``: the fingerprint of each row and the smallest ``doc_id`` it reaches over links.
 
@@ -197,16 +209,14 @@ def near_duplicates(docs: DataFrame, threshold: int = 3, width: int = 3) -> Data
     returned; its id counts for nothing, and its component is that of its fingerprint (null if no such row has an id).
     An empty table gives no rows.
     """
-    rows = materialise(fingerprints(docs, width))
-    nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("node")).filter("node is not null"))
-    roots = components(materialise(links(nodes, threshold)))
-    named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    rows, named, _ = _classes(docs, threshold, width)
     return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, threshold: int = 3, width: int = 3) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest ``doc_id``. Rows without id stay;
     rows of one id that stays all stay, since they are one document."""
-    found = near_duplicates(docs, threshold, width)
-    away = found.filter(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
-    return docs.join(away, "doc_id", "left_anti").select(*docs.columns)
+    rows, named, n = _classes(docs, threshold, width)
+    found = rows.join(named, "fp").filter(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
+    away = materialise(in_parts(found, n))
+    return docs.join(broadcast_if_below(away, away.count(), 64), "doc_id", "left_anti").select(*docs.columns)

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Codes, broadcast_if_below, emit, flushes, ngram_hashes, row_key, same_row, text_bytes, within
-from tidemark.session import materialise
+from tidemark.llm.common import Codes, broadcast_if_below, emit, flushes, give_back, ngram_hashes, row_key, same_row, text_bytes, within
+from tidemark.session import in_parts, materialise
 
 BUFFER_BYTES = 12 << 20
 
@@ -108,6 +108,8 @@ def _kept_of_documents(rows: DataFrame, k: int, w: int) -> DataFrame:
             row = np.repeat(np.arange(len(lengths)), lengths)[at]
             ids = table.column("doc_id").combine_chunks().take(pa.array(row))
             yield emit({"doc_id": ids, "th": table.column("th").to_numpy()[row], "h": h.view(np.int64)}, _KEPT)
+            del codes, at, h, row, ids
+            give_back()
 
     return rows.mapInArrow(of, "doc_id long, th long, h long")
 
@@ -136,6 +138,7 @@ def _windows_around(rows: DataFrame, k: int, w: int, lens: list[int]) -> DataFra
                             second += w2[begin].tolist()
                 out.append((doc, th, len(words), starts, sizes, first, second))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_AROUND)], schema=_AROUND)
+            give_back()
 
     return rows.mapInArrow(of, "doc_id long, th long, n_words long, starts array<long>, lens array<long>, w1 array<long>, w2 array<long>")
 
@@ -158,6 +161,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, kgram: in
     too. An item without id hits words but is not listed. Without documents the result is empty; without items nothing
     is hit.
     """
+    return _found(docs, items, window, kgram, one_in)[0]
+
+
+def _found(docs: DataFrame, items: DataFrame, window: int, kgram: int, one_in: int) -> tuple[DataFrame, DataFrame]:
+    """What `contamination` returns, and a written table with as many rows."""
     windows = materialise(windows_of(items, window))
     sizes = windows.groupBy("len").count().collect()  # at most ``window`` rows
     lens, n_windows = sorted(r["len"] for r in sizes), sum(r["count"] for r in sizes)
@@ -166,7 +174,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, kgram: in
     w = shortest - k + 1
 
     rows = row_key(docs)
-    kept = materialise(_kept_of_items(items, window, k, w))
+    kept = materialise(in_parts(_kept_of_items(items, window, k, w), n_windows))
     shared = _kept_of_documents(rows, k, w).join(broadcast_if_below(kept, kept.count(), 64), "h")
     hits = shared.groupBy("doc_id", "th").agg(F.collect_set("h").alias("hits"))
     with_hits = rows.join(hits, same_row(rows, hits), "left").select(rows["doc_id"], rows["th"], "text", "hits")
@@ -182,15 +190,17 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, kgram: in
         .select("doc_id", "th", F.expr(_COVERED).alias("n_hit"), F.array_sort("ids").alias("items"))
     )
     n_hit, ids = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
-    return (
+    found = (
         around.select("doc_id", "th", "n_words").alias("d").join(matched.alias("m"), F.expr("d.doc_id <=> m.doc_id AND d.th = m.th"), "left")
         .select("d.doc_id", "n_words", n_hit.alias("n_hit"), ids.alias("items"), ((n_hit > 0) & (n_hit * one_in >= F.col("n_words"))).alias("contaminated"))
     )
+    return found, around
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, kgram: int = 5, one_in: int = 20) -> DataFrame:
     """The rows of ``docs`` that are not contaminated (see `contamination`), with all their columns. Rows of one id
     go together if any of them is contaminated; a row without id stays."""
-    found = contamination(docs, items, window, kgram, one_in)
+    found, around = _found(docs, items, window, kgram, one_in)
     away = found.filter("contaminated").select(F.col("doc_id").alias("_away")).distinct()
-    return docs.join(away, F.col("doc_id").cast("long") == F.col("_away"), "left_anti").select(*docs.columns)
+    away = materialise(in_parts(away, around.count()))
+    return docs.join(broadcast_if_below(away, away.count(), 64), F.col("doc_id").cast("long") == F.col("_away"), "left_anti").select(*docs.columns)
